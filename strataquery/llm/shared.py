@@ -57,3 +57,18 @@ def parallelism(spark: SparkSession) -> int:
 def id_crc(column: str) -> Column:
     """crc32 of an id written as text; null ids count as 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0))
+
+
+#: Sampled ids for each bound that range_bounds looks for.
+SAMPLE_PER_PART = 50
+
+
+def range_bounds(df: DataFrame, id_col: str, parts: int) -> list[int]:
+    """Ascending ids that cut df's rows into about parts even ranges, from a bounded sample chosen by the ids' hash."""
+    n = df.count()
+    if n == 0 or parts < 2:
+        return []
+    every = max(1, n // (SAMPLE_PER_PART * parts))
+    sample = df.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(F.lit("bounds"), id_col), F.lit(every)) == 0)).select(F.col(id_col).cast("long").alias("id"))
+    ids = sorted(r.id for r in sample.distinct().collect())
+    return sorted({ids[len(ids) * i // parts] for i in range(1, parts)}) if ids else []
