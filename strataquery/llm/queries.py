@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
 from .mixing import OP5_SQL, op5_mix
+from .quality import op4_quality
 from .token_files import op10_token_files
 from .topk import OP1_SQL, op1_topk
 from .url_filter import OP8_SQL, op8_url_filter
@@ -15,6 +16,7 @@ from .url_filter import OP8_SQL, op8_url_filter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_bpe": op2_bpe,
+    "op4_quality": op4_quality,
     "op5_mix": op5_mix,
     "op8_url_filter": op8_url_filter,
     "op10_token_files": op10_token_files,
