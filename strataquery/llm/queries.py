@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
+from .class_lm import op7_class_lm
+from .fingerprint import op6_fingerprints
 from .mixing import OP5_SQL, op5_mix
 from .quality import op4_quality
 from .token_files import op10_token_files
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_quality": op4_quality,
     "op5_mix": op5_mix,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_class_lm": op7_class_lm,
     "op8_url_filter": op8_url_filter,
     "op10_token_files": op10_token_files,
 }
