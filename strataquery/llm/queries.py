@@ -10,6 +10,7 @@ from .bpe import op2_bpe
 from .class_lm import op7_class_lm
 from .fingerprint import op6_fingerprints
 from .mixing import OP5_SQL, op5_mix
+from .near_dup import op9_near_dup
 from .quality import op4_quality
 from .token_files import op10_token_files
 from .topk import OP1_SQL, op1_topk
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fingerprints": op6_fingerprints,
     "op7_class_lm": op7_class_lm,
     "op8_url_filter": op8_url_filter,
+    "op9_near_dup": op9_near_dup,
     "op10_token_files": op10_token_files,
 }
 SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op5_mix": OP5_SQL, "op8_url_filter": OP8_SQL}
