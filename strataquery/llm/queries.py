@@ -11,6 +11,7 @@ from .class_lm import op7_class_lm
 from .fingerprint import op6_fingerprints
 from .mixing import OP5_SQL, op5_mix
 from .near_dup import op9_near_dup
+from .pii import op3_pii
 from .quality import op4_quality
 from .token_files import op10_token_files
 from .topk import OP1_SQL, op1_topk
@@ -19,6 +20,7 @@ from .url_filter import OP8_SQL, op8_url_filter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_bpe": op2_bpe,
+    "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op5_mix": op5_mix,
     "op6_fingerprints": op6_fingerprints,
