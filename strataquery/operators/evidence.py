@@ -1,0 +1,159 @@
+"""Source-evidence operators on relations of names, lines, hunks, groups and carrier operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.words import holds_all, identifier_words, shares_any
+
+#: Statements that open a branch, and operators with their opposites.
+BRANCHES = ("if", "for", "while", "try", "except", "match", "case")
+OPPOSITE = {"==": "!=", "!=": "==", "is": "is not", "is not": "is"}
+
+
+def match_names(names: DataFrame, query_words: list[str]) -> DataFrame:
+    """Occurrences (path, name) whose words hold all words of the query."""
+    return names.where(holds_all(identifier_words(F.col("name")), query_words))
+
+
+def lexical_neighborhood(names: DataFrame, seed: str, seed_words: list[str]) -> DataFrame:
+    """Names that share a word with the seed, with counts; the seed itself is the exact pass."""
+    near = names.where(shares_any(identifier_words(F.col("name")), seed_words))
+    counted = near.groupBy("name").agg(F.count(F.lit(1)).alias("occurrences"), F.countDistinct("path").alias("paths"))
+    return counted.withColumn("pass", F.when(F.col("name") == seed, "exact").otherwise("lexical"))
+
+
+def shared_file(names: DataFrame, seed: str) -> DataFrame:
+    """In how many files each other name stands beside the seed."""
+    files = names.where(F.col("name") == seed).select("path").distinct()
+    others = names.where(F.col("name") != seed).select("path", "name").distinct()
+    return others.join(files, "path", "left_semi").groupBy("name").agg(F.count(F.lit(1)).alias("files"))
+
+
+def cooccurrence(names: DataFrame, seed: str) -> DataFrame:
+    """Sums over files of how often seed and name both come, where both come more than once."""
+    counts = names.groupBy("path", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    seeds = counts.where(F.col("name") == seed).select("path", F.col("n").alias("seed_n"))
+    return counts.where(F.col("name") != seed).join(seeds, "path").groupBy("name").agg(F.sum(F.least("n", "seed_n")).alias("weight"))
+
+
+def repeated(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """Groups of equal keys that occur at least twice, with counts and the first place."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences"), F.countDistinct(place).alias("paths"), F.min(place).alias("first_path")).where("occurrences > 1")
+
+
+def member_groups(members: DataFrame, least: int = 2) -> DataFrame:
+    """Ordered member lists that at least two owners share: members(owner, seq, member)."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", "member"))), lambda x: x["member"].cast("string"))
+    owners = members.groupBy("owner").agg(F.array_join(listed, ",").alias("members"), F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
+    return owners.groupBy("members", "size").agg(F.count(F.lit(1)).alias("occurrences"), F.min("owner").alias("first_owner")).where("occurrences > 1")
+
+
+def fingerprinted(bodies: DataFrame) -> DataFrame:
+    """bodies(id, body) with the SHA-256 of the body."""
+    return bodies.withColumn("fingerprint", F.sha2(F.col("body").cast("binary"), 256))
+
+
+def duplicate_groups(bodies: DataFrame) -> DataFrame:
+    return fingerprinted(bodies).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("occurrences"), F.min("id").alias("first_id")).where("occurrences > 1")
+
+
+def duplicate_pairs(bodies: DataFrame) -> DataFrame:
+    """All pairs within each group, as the report lists them; the join is on the fingerprint alone."""
+    marked = fingerprinted(bodies).select("id", "fingerprint")
+    return marked.alias("a").join(marked.alias("b"), "fingerprint").where("a.id < b.id").select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
+
+
+def density(nodes: DataFrame) -> DataFrame:
+    """Per file sums of primitive and specialised counts and the primitive share, null where there are none."""
+    files = nodes.groupBy("path").agg(F.sum("primitive").alias("primitive_count"), F.sum("specialized").alias("specialized_count"))
+    return files.withColumn("primitive_ratio", F.try_divide("primitive_count", F.col("primitive_count") + F.col("specialized_count")))
+
+
+def shared_scopes(occurrences: DataFrame, names: list[str]) -> DataFrame:
+    """Scopes that hold every one of the names: relational division."""
+    found = occurrences.where(F.col("name").isin(names)).groupBy("scope").agg(F.countDistinct("name").alias("k"), F.count(F.lit(1)).alias("occurrences"))
+    return found.where(F.col("k") == len(names)).select("scope", "occurrences")
+
+
+def lifecycle_groups(operations: DataFrame) -> DataFrame:
+    return operations.groupBy("scope", "field").agg(F.count(F.lit(1)).alias("operations"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+def transitions(operations: DataFrame) -> DataFrame:
+    """Neighbours in a path's order that are of one scope; the order is that of the whole path, the filter comes after."""
+    order = Window.partitionBy("path").orderBy("seq")
+    before = {c: F.lag(c).over(order).alias(f"from_{c}") for c in ("scope", "field", "seq")}
+    return operations.select("path", "scope", "field", "seq", *before.values()).where("scope = from_scope").select("path", "scope", "from_field", F.col("field").alias("to_field"), "from_seq", F.col("seq").alias("to_seq"))
+
+
+def guard_rollup(guards: DataFrame) -> DataFrame:
+    """Guards by carrier, field, normalised operator and value: a guard that leaves early counts as its opposite."""
+    opposite = F.create_map(*(F.lit(x) for pair in OPPOSITE.items() for x in pair))
+    operator = F.when(F.col("early_exit"), F.try_element_at(opposite, F.col("operator"))).otherwise(F.col("operator"))
+    return guards.withColumn("effect_when", operator).groupBy("carrier", "value", "effect_when").agg(
+        F.count(F.lit(1)).alias("guards"), F.count_if("early_exit").alias("early_exits"), F.count_if(~F.col("early_exit")).alias("enclosed")
+    )
+
+
+def field_affinity(accesses: DataFrame, least: int = 2) -> DataFrame:
+    """Field pairs that at least so many functions use together: accesses(function, field)."""
+    fields = accesses.select("function", "field").distinct()
+    right = fields.select("function", F.col("field").alias("right_field"))
+    pairs = fields.withColumnRenamed("field", "left_field").join(right, "function").where("left_field < right_field")
+    return pairs.groupBy("left_field", "right_field").agg(F.count(F.lit(1)).alias("functions")).where(F.col("functions") >= least)
+
+
+def range_overlaps(topic: DataFrame, prior: DataFrame) -> DataFrame:
+    """Hunks of one path whose line ranges overlap, with the number of lines; an empty range counts as one line."""
+    end = lambda side: F.col(f"{side}.start") + F.greatest(F.col(f"{side}.count"), F.lit(1))
+    lines = F.greatest(F.lit(0), F.least(end("t"), end("p")) - F.greatest("t.start", "p.start"))
+    joined = topic.alias("t").join(prior.alias("p"), F.col("t.path") == F.col("p.path"))
+    return joined.select(F.col("t.id").alias("topic_id"), F.col("p.id").alias("prior_id"), lines.cast("long").alias("overlap")).where("overlap > 0")
+
+
+def branch_additions(lines: DataFrame) -> DataFrame:
+    """Lines (id, line, text) that open a branch, with the keyword."""
+    keyword = F.regexp_extract("text", r"^\s*(" + "|".join(BRANCHES) + r")\b", 1)
+    return lines.select("id", "line", keyword.alias("keyword")).where("keyword <> ''")
+
+
+def inventory(files: DataFrame) -> DataFrame:
+    """files(path, content): bytes, lines and kind of each file."""
+    name = F.substring_index("path", "/", -1)
+    kind = F.when(name == "__init__.py", "package").when(name.startswith("test_") | F.array_contains(F.split("path", "/"), "tests"), "test").otherwise("module")
+    newlines = F.length("content") - F.length(F.replace(F.col("content"), F.lit("\n")))
+    rest = F.when((F.length("content") > 0) & ~F.col("content").endswith("\n"), 1).otherwise(0)
+    return files.select("path", kind.alias("kind"), F.octet_length("content").cast("long").alias("bytes"), (newlines + rest).cast("long").alias("lines"))
+
+
+def import_targets(edges: DataFrame, modules: DataFrame) -> DataFrame:
+    """edges(source, target) with the node each import leads to: a tracked module, else the name marked as foreign."""
+    known = modules.select(F.col("module").alias("target"), F.col("module").alias("node"))
+    return edges.join(known, "target", "left").select("source", "target", F.coalesce("node", F.concat(F.lit("module:"), F.col("target"))).alias("node"))
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """Degree and weight of every node of an undirected graph; parallel edges are summed, a loop counts twice."""
+    simple = edges.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum("weight").alias("weight"))
+    ends = simple.select(F.col("a").alias("node"), "weight").unionAll(simple.select(F.col("b").alias("node"), "weight"))
+    return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("weight"))
+
+
+def mapping_status(symbols: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Whether anything tests each symbol, and how many candidates do."""
+    counted = evidence.groupBy("symbol").agg(F.countDistinct("test").alias("candidates"))
+    joined = symbols.join(counted, "symbol", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
+    return joined.withColumn("mapping_status", F.when(F.col("candidates") > 0, "mapped").otherwise("unmapped"))
+
+
+def capped(rows: DataFrame, order: list[str], limit: int) -> DataFrame:
+    """The first limit rows with the count of all and whether any were left out."""
+    total = rows.agg(F.count(F.lit(1)).alias("edge_count"))
+    return rows.orderBy(*order).limit(limit).crossJoin(F.broadcast(total)).withColumn("edges_truncated", F.col("edge_count") > limit)
+
+
+def behavioral(edges: DataFrame, seed) -> DataFrame:
+    """What the seed meets and how: edges(owner, neighbor, relationship)."""
+    return edges.where(F.col("owner") == seed).groupBy("neighbor", "relationship").agg(F.count(F.lit(1)).alias("sites"))
