@@ -40,16 +40,15 @@ def imports(x: DataFrame) -> DataFrame:
 
 def import_graph(x: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the import graph: a tracked module (also when it lies below src), else the name marked as foreign."""
-    parsed = x.where("parse_status <> 'unreadable'").select("module").distinct()
-    alias = parsed.select(F.col("module").alias("target_module"), F.col("module").alias("known"))
-    plain = parsed.where("module like 'src.%'").select(F.substring("module", 5, 1 << 20).alias("target_module"), F.col("module").alias("known"))
+    tracked = x.select("module").distinct()
+    alias = tracked.select(F.col("module").alias("target_module"), F.col("module").alias("known"))
+    plain = tracked.where("module like 'src.%'").select(F.substring("module", 5, 1 << 20).alias("target_module"), F.col("module").alias("known"))
     # a module of its own name wins over one below src
     lookup = alias.unionByName(plain.join(alias.select("target_module"), "target_module", "left_anti"))
     found = relation(x, "imports").join(lookup, "target_module", "left")
     target = F.coalesce("known", F.concat(F.lit("module:"), F.col("target_module")))
-    provenance = F.concat_ws(":", "path", F.col("line").cast("string"))
-    edges = found.select(F.col("source_module").alias("source"), target.alias("target"), F.lit(1.0).alias("weight"), provenance.alias("provenance"))
-    return parsed.select(F.col("module").alias("node")), edges
+    edges = found.select(F.col("source_module").alias("source"), target.alias("target"), F.lit(1.0).alias("weight"), F.lit("python.import").alias("provenance"))
+    return tracked.select(F.col("module").alias("node")), edges
 
 
 def complexity(x: DataFrame) -> DataFrame:

@@ -92,7 +92,8 @@ def pair_cochange(changes: DataFrame, a, b) -> DataFrame:
     """cochange of one pair: always one row, with score 0 where no commit changes both."""
     lo, hi = min(a, b), max(a, b)
     found = scoped_cochange(changes, a).where((F.col("left_path") == lo) & (F.col("right_path") == hi))
-    one = changes.sparkSession.range(1).select(F.lit(lo).cast("long").alias("left_path"), F.lit(hi).cast("long").alias("right_path"))
+    kind = changes.schema["path"].dataType
+    one = changes.sparkSession.range(1).select(F.lit(lo).cast(kind).alias("left_path"), F.lit(hi).cast(kind).alias("right_path"))
     return one.join(found, ["left_path", "right_path"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("commit_count", F.coalesce("commit_count", F.lit(0)))
 
 

@@ -100,14 +100,12 @@ def added_branches(found: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
     return each.select("commit", "path", (F.col("new_start") + F.col("at")).alias("line"), keyword.alias("keyword"), text.alias("text")).where("keyword <> ''")
 
 
-def change_status(changes: DataFrame, found: DataFrame, commit_status: str, binary: DataFrame) -> DataFrame:
-    """A commit's changed paths with hunk_status and number of hunks: changes(path, previous_path, status), binary(path)."""
+def change_status(changes: DataFrame, found: DataFrame, commit_status: str, binary: bool) -> DataFrame:
+    """A commit's changed paths with hunk_status and number of hunks: changes(path, previous_path, status)."""
     at = found.groupBy("path").agg(F.count(F.lit(1)).alias("hunks"))
     joined = changes.join(at, "path", "left").join(at.select(F.col("path").alias("previous_path"), F.col("hunks").alias("before")), "previous_path", "left")
-    joined = joined.join(binary.select("path", F.lit(True).alias("is_binary")).distinct(), "path", "left")
     number = F.coalesce("hunks", F.lit(0)) + F.coalesce("before", F.lit(0))
-    status = (
-        F.when(F.lit(commit_status).isin("initial", "merge"), F.lit(commit_status)).when("is_binary", "binary")
-        .when(number > 0, "available").when(F.col("status") == "R", "rename_only").otherwise("no_hunks")
-    )
+    status = F.when(number > 0, "available").when(F.col("status") == "R", "rename_only").otherwise("no_hunks")
+    if commit_status in ("initial", "merge") or binary:
+        status = F.lit(commit_status if commit_status in ("initial", "merge") else "binary")
     return joined.select("path", "previous_path", "status", number.alias("hunk_count"), status.alias("hunk_status"))

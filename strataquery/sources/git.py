@@ -96,25 +96,35 @@ def read_commits(repository: str, options: dict[str, str], _: list) -> Iterator[
 
 
 def read_changes(repository: str, options: dict[str, str], _: list) -> Iterator[tuple]:
-    """Changed paths with line counts. Binary files have no counts and are left out; merges have no rows."""
-    commit = committed = None
+    """Changed paths with line counts, newest first. Binary files have no counts and are left out; merges have no rows.
+
+    path is the newest name of the file: a rename gives its old name, from there backward, the name that the new one has.
+    commit_seq numbers the commits that have rows.
+    """
+    commit = committed = counted = None
     commit_seq, seq = -1, 0
+    newest: dict[str, str] = {}
     found = iter(fields(log(repository, options, "-z", "--numstat", "--find-renames", "--format=%x01%H%x02%ct")))
     for item in found:
         item = item.lstrip("\n")
         while item.startswith("\x01"):
             head, _, item = item[1:].partition("\n")
             commit, _, committed = head.partition("\x02")
-            commit_seq += 1
         if not item:
             continue
         added, deleted, path = item.split("\t", 2)
         previous = None
         if not path:
             previous, path = next(found), next(found)
-        if added != "-":
-            yield seq, commit_seq, commit, int(committed), path, int(added), int(deleted), previous
-            seq += 1
+        if added == "-":
+            continue
+        path = newest.get(path, path)
+        if previous is not None:
+            newest[previous] = path
+        if commit != counted:
+            commit_seq, counted = commit_seq + 1, commit
+        yield seq, commit_seq, commit, int(committed), path, int(added), int(deleted), previous
+        seq += 1
 
 
 def read_name_status(repository: str, options: dict[str, str], commits: list[str]) -> Iterator[tuple]:

@@ -42,7 +42,7 @@ def test_files_commits_changes(spark, repository):
     assert git.read(spark, at, "commits", limit=1).count() == 2
     changes = git.read(spark, at, "changes").orderBy("seq").collect()
     assert [(r.commit_seq, r.commit, r.path, r.additions, r.deletions, r.previous_path) for r in changes] == [
-        (0, second, "d.py", 0, 0, "a.py"), (0, second, "e.py", 1, 0, None), (1, first, "a.py", 9, 0, None), (1, first, "b.txt", 1, 0, None),
+        (0, second, "d.py", 0, 0, "a.py"), (0, second, "e.py", 1, 0, None), (1, first, "d.py", 9, 0, None), (1, first, "b.txt", 1, 0, None),
     ]
     status = git.read(spark, at, "name_status", commits=[second]).orderBy("seq").collect()
     assert [(r.status, r.path, r.previous_path) for r in status] == [("R", "d.py", "a.py"), ("A", "e.py", None)]
