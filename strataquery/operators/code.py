@@ -198,3 +198,33 @@ def shared_scopes(x: DataFrame, terms: list[str]) -> DataFrame:
 def cluster(x: DataFrame, terms: list[str]) -> DataFrame:
     role = F.when(F.col("kind") == "reference", "read").when(F.col("kind") == "assignment", "write").otherwise(F.col("kind"))
     return relation(x, "names").where(F.col("name").isin(sorted(set(terms)))).select(*PLACE, "name", role.alias("role")).orderBy(*PLACE, "name", "role")
+
+
+def structural_complexity(x: DataFrame, measure: str) -> DataFrame:
+    """One measure of every function: its count, or why there is none."""
+    return relation(x, "measures").where(F.col("measure") == measure).drop("measure").orderBy(*PLACE, "qualified_name")
+
+
+def profiles(x: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """targets(at, path, qualified_name) in their order: metrics and the first sites of each kind of the one function that
+    a target names; match_status tells when there is none, more than one, or when its file cannot be parsed."""
+    key = ["path", "qualified_name"]
+    rank = Window.partitionBy("at", "kind").orderBy("line", "column", "text")
+    near = relation(x, "sites").join(F.broadcast(targets.select("at", *key)), key).withColumn("__n", F.row_number().over(rank))
+    listed = F.sort_array(F.collect_list(F.when(F.col("__n") <= most, F.struct("kind", "line", "column", "text")))).alias("sites")
+    sites = near.groupBy("at").agg(listed, (F.max("__n") > most).alias("sites_truncated"))
+    counts = relation(x, "measures").groupBy(*key, "line", "column").agg(F.sort_array(F.collect_list(F.struct("measure", "count", "diagnostic"))).alias("measures"))
+    wanted = targets.join(relation(x, "functions").join(counts, [*key, "line", "column"], "left"), key, "left")
+    wanted = wanted.withColumn("matches", F.count("line").over(Window.partitionBy("at"))).dropDuplicates(["at"])
+    wanted = wanted.join(x.select("path", F.col("parse_status").alias("file_status")), "path", "left").join(sites, "at", "left")
+    status = F.when(F.col("file_status").isin("syntax_error", "unreadable"), "unavailable").when(F.col("matches") == 0, "not_found").when(F.col("matches") > 1, "ambiguous").otherwise("found")
+    kept = [c for c in wanted.columns if c not in ("at", "matches", "file_status", *key)]
+    told = wanted.withColumn("match_status", status)
+    return told.select("at", *key, "match_status", *(F.when(F.col("match_status") == "found", F.col(c)).alias(c) for c in kept)).orderBy("at")
+
+
+def class_methods(x: DataFrame, path: str, qualified_name: str, limit: int) -> DataFrame:
+    """The first methods that stand directly in a class, with the number of all."""
+    own = relation(x, "functions").where((F.col("path") == path) & (F.col("kind") == "method"))
+    direct = own.where(F.regexp_replace("qualified_name", r"\.[^.]*$", "") == qualified_name)
+    return direct.withColumn("method_count", F.count(F.lit(1)).over(Window.partitionBy("path"))).orderBy(*PLACE).limit(limit)

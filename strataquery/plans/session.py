@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from ..functions.lineage import checkpointed
 from ..operators import code, evidence, graph, history, hunks
 from ..sources import git, python_code
+from ..sources.structure import MEASURES
 
-#: The most commits of a window, paths of a packet, terms of a cluster, places in an index, targets.
-MOST = {"commits": 5000, "paths": 8, "terms": 8, "places": 32, "targets": 16}
+#: The most commits of a window, paths of a packet, terms of a cluster, places in an index, targets, sites.
+MOST = {"commits": 5000, "paths": 8, "terms": 8, "places": 32, "targets": 16, "sites": 16}
 SHA = re.compile(r"[0-9a-fA-F]{7,40}")
 REVISION = re.compile(r"[A-Za-z0-9_./-]+([~^][0-9]*)?")
 
@@ -143,6 +144,11 @@ class Session:
             return head | {"status": "rejected", "error": {"code": "repository_access_failed", "message": str(e), "command": list(e.command), "returncode": e.returncode, "stderr": e.stderr}}
 
 
+def contract() -> list[dict[str, Any]]:
+    """Every operation with its parameters, sorted by name."""
+    return [{"name": n, "parameters": [{"name": p.rstrip("?"), "required": not p.endswith("?")} for p in OPERATIONS[n][1]]} for n in sorted(OPERATIONS)]
+
+
 def plain(value: Any) -> Any:
     if isinstance(value, DataFrame):
         return [plain(r) for r in value.collect()]
@@ -411,6 +417,47 @@ def on_term(name: str, **reports: Callable[[DataFrame, str], DataFrame]) -> None
     operation(name, "term")(lambda s, term: {key: f(s.source(), term) for key, f in reports.items()} | {"warnings": code.warnings(s.source())})
 
 
+@operation("python.structural_complexity", "measure")
+def _structural(s: Session, measure: str) -> dict:
+    if measure not in MEASURES:
+        raise Rejected("unsupported_measure", f"measure must be one of {', '.join(MEASURES)}")
+    return {"measure": measure, "functions": code.structural_complexity(s.source(), measure), "warnings": code.warnings(s.source())}
+
+
+def target(path: str, qualified_name: str) -> tuple[str, str]:
+    if not path.endswith(".py") or not all(p.isidentifier() for p in str(qualified_name).split(".")):
+        raise Rejected("invalid_query", "a target is a .py path and a dotted name")
+    return check("path", path), qualified_name
+
+
+@operation("python.function_profiles", "targets")
+def _profiles(s: Session, targets: list) -> dict:
+    if not 1 <= len(targets) <= MOST["targets"]:
+        raise Rejected("invalid_query", f"targets must be 1 to {MOST['targets']}")
+    rows = [(i, *target(*t)) for i, t in enumerate(targets)]
+    return {"profiles": code.profiles(s.source(), s.spark.createDataFrame(rows, "at int, path string, qualified_name string"), MOST["sites"])}
+
+
+@operation("python.function_profile", "path", "qualified_name")
+def _profile(s: Session, path: str, qualified_name: str) -> dict:
+    return _profiles(s, [(path, qualified_name)])
+
+
+@operation("python.class_profile", "path", "qualified_name", "limit?")
+def _class_profile(s: Session, path: str, qualified_name: str, limit: int = 16) -> dict:
+    """A class, its fields' annotations, its first methods with their profiles and what they do to their receiver's fields."""
+    path, qualified_name = target(path, qualified_name)
+    if limit > MOST["targets"]:
+        raise Rejected("invalid_query", f"limit must be at most {MOST['targets']}")
+    x = s.source([path])
+    methods = code.class_methods(x, path, qualified_name, limit)
+    targets = methods.selectExpr("cast(row_number() over (order by line, column) as int) as at", "path", "qualified_name")
+    density = python_code.relation(x, "density").where(F.col("name") == qualified_name)
+    found = python_code.relation(x, "types").where(F.col("qualified_name") == qualified_name)
+    used = python_code.relation(x, "operations").where("carrier = 'self'").join(methods.select(F.col("qualified_name").alias("scope")), "scope", "left_semi")
+    return {"class": found, "density": density, "methods": methods, "profiles": code.profiles(x, targets, MOST["sites"]), "receiver_accesses": used.orderBy(*code.PLACE)}
+
+
 on_source("python.inventory", code.inventory, "files")
 on_source("python.imports", code.imports, "edges")
 on_source("python.complexity", code.complexity, "functions")

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from .structure import COMPREHENSIONS, MEASURES, measured
+
 #: Annotations that count as primitive, methods that change their object, operator names.
 PRIMITIVE = {"bool", "bytes", "dict", "float", "int", "list", "set", "str", "tuple"}
 GENERIC = {"Collection", "Dict", "Iterable", "List", "Mapping", "MutableMapping", "MutableSequence", "Sequence", "Set", "Tuple"}
@@ -131,6 +133,38 @@ def functions(m: Module) -> Iterator[dict]:
         }
 
 
+def measures(m: Module) -> Iterator[dict]:
+    for n in m.all(*FUNCTIONS):
+        for name in MEASURES:
+            yield place(n) | {"qualified_name": m.qualified(n), "measure": name} | measured(n, name)
+
+
+def sites(m: Module) -> Iterator[dict]:
+    """If-guards, comparisons, attribute reads and writes, and comprehensions in each function's own body."""
+    for f in m.all(*FUNCTIONS):
+        name = m.qualified(f)
+        todo: list[ast.AST] = list(f.body)
+        while todo:
+            n = todo.pop()
+            if isinstance(n, (*SCOPES, ast.Lambda)):
+                continue
+            todo += ast.iter_child_nodes(n)
+            if isinstance(n, ast.If):
+                found = [("guard", ast.unparse(n.test))]
+            elif isinstance(n, ast.Compare):
+                found = [("comparison", " ".join(OPERATORS[type(o).__name__] for o in n.ops))]
+            elif isinstance(n, ast.Attribute) and not isinstance(n.ctx, ast.Del):
+                written = isinstance(n.ctx, ast.Store)
+                both = written and isinstance(m.parent[id(n)], ast.AugAssign)
+                found = [(kind, ast.unparse(n)) for kind, is_so in (("attribute_read", not written or both), ("attribute_write", written)) if is_so]
+            elif isinstance(n, COMPREHENSIONS):
+                found = [("comprehension", f"{len(n.generators)} generators, {sum(len(g.ifs) for g in n.generators)} filters")]
+            else:
+                continue
+            for kind, text in found:
+                yield place(n) | {"qualified_name": name, "kind": kind, "text": text}
+
+
 def literals(m: Module) -> Iterator[dict]:
     """Constants but for None, booleans, Ellipsis, empty text, and numbers equal to -1, 0 or 1."""
     for n in m.all(ast.Constant):
@@ -222,7 +256,7 @@ def types(m: Module) -> Iterator[dict]:
         members = [t.id for s in n.body if isinstance(s, ast.Assign) for t in s.targets if isinstance(t, ast.Name)]
         around = [s.name for s in m.scopes(n) if isinstance(s, ast.ClassDef)]
         enum = any(b.endswith("Enum") for b in bases)
-        yield place(n) | {"name": n.name, "qualified_name": ".".join([*around, n.name]), "kind": "enum" if enum else "type", "members": members if enum else []}
+        yield place(n) | {"name": n.name, "end_line": n.end_lineno, "qualified_name": ".".join([*around, n.name]), "kind": "enum" if enum else "type", "members": members if enum else []}
 
 
 def member(n: ast.AST) -> tuple[str, str] | None:
@@ -370,11 +404,13 @@ RELATIONS: dict[str, tuple[Callable[[Module], Iterator[dict]], str]] = {
     "names": (names, _AT + "name string, kind string, walk_seq long, parent_seq long, scope_seqs array<long>"),
     "imports": (imports, "source_module string, target_module string, imported_names array<string>, aliases array<string>, relative_level int, line int, unresolved boolean"),
     "functions": (functions, _AT + "qualified_name string, kind string, end_line int, line_count int, branch_count int, cyclomatic_count int, max_nesting_depth int"),
+    "measures": (measures, _AT + "qualified_name string, measure string, count long, diagnostic string"),
+    "sites": (sites, _AT + "qualified_name string, kind string, text string"),
     "literals": (literals, _AT + "kind string, value string"),
     "groups": (groups, _AT + "owner string, kind string, members array<string>"),
     "density": (density, _AT + "name string, primitive_count long, specialized_count long"),
     "helpers": (helpers, _AT + "qualified_name string, kind string, end_line int, fingerprint string, statement_count int, parameter_count int, call_count int, branch_count int"),
-    "types": (types, _AT + "name string, qualified_name string, kind string, members array<string>"),
+    "types": (types, _AT + "name string, end_line int, qualified_name string, kind string, members array<string>"),
     "discriminations": (discriminations, _AT + "owner string, member string, kind string, operator string, expression string, side int, pair int"),
     "encounters": (encounters, _AT + "owner string, neighbor string, relationship string, detail string"),
     "operations": (operations, _AT + "carrier string, field string, kind string, scope string"),

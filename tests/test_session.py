@@ -82,7 +82,7 @@ def test_branches_and_merges(session, repository):  # noqa: F811
 def test_all_operations_answer(session, repository):  # noqa: F811
     commit(repository, {"pkg/__init__.py": "", "pkg/order.py": "class Order:\n    x: int\n    y: int\n", "bad.py": "def nope(:\n"})
     last = commit(repository, {"pkg/use.py": "from .order import Order\n\ndef use(order: Order):\n    if order.x == 1:\n        return order\n", "tests/test_use.py": "from pkg.use import use\n\ndef test_use():\n    use(1)\n"})
-    given = {"term": "order", "path": "pkg/use.py", "left_path": "pkg/use.py", "right_path": "tests/test_use.py", "paths": ["pkg/use.py"], "terms": ["order", "Order"], "commit": last, "revision": "HEAD", "lines": [1]} | BOUNDS
+    given = {"term": "order", "path": "pkg/use.py", "left_path": "pkg/use.py", "right_path": "tests/test_use.py", "paths": ["pkg/use.py"], "terms": ["order", "Order"], "commit": last, "revision": "HEAD", "lines": [1], "measure": "paths", "qualified_name": "use", "targets": [("pkg/use.py", "use")]} | BOUNDS
     for name, (_, parameters) in OPERATIONS.items():
         out = session.run(name, **{p.rstrip("?"): given[p.rstrip("?")] for p in parameters if p.rstrip("?") in given})
         assert json.loads(to_json(out))["status"] == "ok", (name, out)
@@ -92,6 +92,22 @@ def test_all_operations_answer(session, repository):  # noqa: F811
     assert data(session, "python.term_change_evidence", term="order", **BOUNDS)["dimensions"]["ownership"]["occurrence_count"] == 1
 
 
+def test_profiles(session, repository):  # noqa: F811
+    text = "class C:\n    x: int\n    def f(self, a):\n        if a.x < 1:\n            self.x += 1\n        return [i for i in a]\n    def f2(self): return lambda: 1\ndef two(): pass\ndef two(): pass\n"
+    commit(repository, {"a.py": text, "bad.py": "def nope(:\n"})
+    out = data(session, "python.function_profiles", targets=[("a.py", "two"), ("a.py", "C.f"), ("bad.py", "nope"), ("a.py", "none"), ("a.py", "C.f2")])["profiles"]
+    assert [p["match_status"] for p in out] == ["ambiguous", "found", "unavailable", "not_found", "found"]
+    assert [(x["kind"], x["text"]) for x in out[1]["sites"]] == [
+        ("attribute_read", "a.x"), ("attribute_read", "self.x"), ("attribute_write", "self.x"), ("comparison", "lt"),
+        ("comprehension", "1 generators, 0 filters"), ("guard", "a.x < 1"),
+    ]
+    assert {m["measure"]: (m["count"], m["diagnostic"]) for m in out[4]["measures"]}["operands"] == (None, "Lambda is not defined for operands.")
+    found = data(session, "python.class_profile", path="a.py", qualified_name="C", limit=1)
+    assert [m["qualified_name"] for m in found["methods"]] == ["C.f"] and found["methods"][0]["method_count"] == 2
+    assert found["density"][0]["primitive_count"] == 1 and [a["kind"] for a in found["receiver_accesses"]] == ["field_write"]
+    assert session.run("python.structural_complexity", measure="odd")["error"]["code"] == "unsupported_measure"
+
+
 def test_empty_repository_answers(session):
     assert data(session, "git.history", **BOUNDS)["commits"] == []
     assert data(session, "git.distributions", **BOUNDS)["weeks"] == []
