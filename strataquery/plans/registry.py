@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence as ev
+from ..operators import graph as gr
 from ..operators import history as hi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -289,6 +290,32 @@ def graph_degrees(spark, sf_dir):
     return ev.degrees(Tables(spark, sf_dir).orders.select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("target"), F.lit(1).cast("long").alias("weight")))
 
 
+def places(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Suppliers below nations below regions, as nodes and edges; r:, n: and s: keep their names apart."""
+    region, nation, supplier = (F.concat(F.lit(f"{k}:"), F.col(c)) for k, c in (("r", "n_regionkey"), ("n", "n_nationkey"), ("s", "s_suppkey")))
+    up = t.nation.select(nation.alias("source"), region.alias("target"), F.lit(1.0).alias("weight"))
+    below = t.supplier.select(supplier.alias("source"), F.concat(F.lit("n:"), F.col("s_nationkey")).alias("target"), F.lit(1.0).alias("weight"))
+    nodes = t.region.select(F.concat(F.lit("r:"), F.col("r_regionkey")).alias("node"))
+    return nodes, up.unionAll(below)
+
+
+_TREE = """p as (select 'n:' || n_nationkey as child, 'r:' || n_regionkey as parent, 'r:' || n_regionkey as top, 1 + (select count(*) from supplier where s_nationkey = n_nationkey) as below from nation
+ union all select 's:' || s_suppkey, 'n:' || s_nationkey, 'r:' || n_regionkey, 1 from supplier join nation on s_nationkey = n_nationkey),
+ m as (select node, top from (select child as node, top from p union all select 'r:' || r_regionkey, 'r:' || r_regionkey from region) group by all)"""
+
+
+@query("graph_components", f"with {_TREE} select node, min(node) over (partition by top) as label, count(*) over (partition by top) as size from m")
+def graph_components(spark, sf_dir):
+    labels = gr.components(*places(Tables(spark, sf_dir)))
+    return labels.join(labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label").select("node", "label", "size")
+
+
+@query("graph_edge_betweenness", f"""with {_TREE}, c as (select top, count(*) as size from m group by 1), n as (select count(*) as n from m)
+ select least(child, parent) as a, greatest(child, parent) as b, round(2.0::double * below * (size - below) / (n * (n - 1)), 6) as betweenness from p join c on c.top = p.top cross join n""")
+def graph_edge_betweenness(spark, sf_dir):
+    return gr.edge_betweenness(*places(Tables(spark, sf_dir))).withColumn("betweenness", F.round("betweenness", 6))
+
+
 @query("test_mapping_status", """select p_partkey as symbol, count(distinct l_orderkey) as candidates, case when count(distinct l_orderkey) > 0 then 'mapped' else 'unmapped' end as mapping_status
  from part left join lineitem on l_partkey = p_partkey group by 1""")
 def test_mapping_status(spark, sf_dir):
