@@ -173,18 +173,37 @@ def guards(x: DataFrame, carrier: str) -> DataFrame:
 def guard_groups(x: DataFrame, carrier: str) -> DataFrame:
     keys = ["carrier", "field", "value", "effect_when"]
     places = F.sort_array(F.collect_list(F.struct(*PLACE))).alias("occurrences")
-    return guards(x, carrier).groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrence_count"), F.countDistinct("path").alias("path_count"), places).orderBy(*keys)
+    of = lambda role: F.sum(F.size(F.filter("effects", lambda e: e["role"] == role)))
+    return guards(x, carrier).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("occurrence_count"), F.countDistinct("path").alias("path_count"), of("modification").alias("modifications"), of("access").alias("accesses"), places
+    ).orderBy(*keys)
+
+
+def external(x: DataFrame, name: str, carrier: str) -> DataFrame:
+    """Rows of accesses or rules outside the carrier's class, on parameters of its name or type."""
+    return relation(x, name).where(((F.col("carrier") == carrier) | (F.col("carrier_type") == carrier)) & ~F.array_contains("classes", carrier))
 
 
 def field_affinities(x: DataFrame, carrier: str) -> DataFrame:
-    """Field pairs that two functions or more outside the carrier's class use together, with reads and writes."""
-    used = relation(x, "accesses").where((F.col("carrier_type") == carrier) & ~F.array_contains("classes", carrier)).select("function", "field", "role", *PLACE)
+    """Field pairs that two functions or more outside the carrier's class use together, with reads, writes and deletions."""
+    used = external(x, "accesses", carrier).select("function", "field", "role", *PLACE)
     fields = used.select("function", "field").distinct()
     pairs = fields.withColumnRenamed("field", "left_field").join(fields.withColumnRenamed("field", "right_field"), "function").where("left_field < right_field")
     both = pairs.join(used, "function").where("field = left_field or field = right_field")
-    return both.groupBy("left_field", "right_field").agg(
-        F.countDistinct("function").alias("functions"), F.count(F.lit(1)).alias("occurrences"), F.count_if(F.col("role") == "read").alias("reads"), F.count_if(F.col("role") == "write").alias("writes")
-    ).where("functions > 1").orderBy("left_field", "right_field")
+    roles = [F.count_if(F.col("role") == role).alias(f"{role}s") for role in ("read", "write", "delete")]
+    return both.groupBy("left_field", "right_field").agg(F.countDistinct("function").alias("functions"), F.count(F.lit(1)).alias("occurrences"), *roles).where("functions > 1").orderBy("left_field", "right_field")
+
+
+def repeated_rules(x: DataFrame, carrier: str) -> DataFrame:
+    """Equal rules on a carrier's field that occur twice or more."""
+    return occurrences(external(x, "rules", carrier), ["kind", "field", "operator", "value"], [*PLACE, "function", "expression"])
+
+
+def rule_tests(x: DataFrame, carrier: str) -> DataFrame:
+    """What tests the functions that use the carrier's fields."""
+    users = external(x, "accesses", carrier).select("function").unionAll(external(x, "rules", carrier).select("function"))
+    last = users.select(F.substring_index("function", ".", -1).alias("symbol")).distinct()
+    return relation(x, "tests").join(last, "symbol", "left_semi").orderBy("symbol", *PLACE)
 
 
 def shared_scopes(x: DataFrame, terms: list[str]) -> DataFrame:

@@ -523,12 +523,12 @@ def _lifecycle(s: Session, term: str, since_unix_time: int | None = None, limit:
 
 @operation("python.external_field_rules", "term")
 def _rules(s: Session, term: str) -> dict:
-    return {"declarations": code.declarations(s.source(), term), "affinities": code.field_affinities(s.source(), term)}
+    return {"declarations": code.declarations(s.source(), term), "affinities": code.field_affinities(s.source(), term), "rules": code.repeated_rules(s.source(), term), "tests": code.rule_tests(s.source(), term)}
 
 
 @operation("python.external_field_rules.history", "term", *BOUNDS)
 def _rules_history(s: Session, term: str, since_unix_time: int, limit: int) -> dict:
-    seen = python_code.relation(s.source(), "accesses").where(F.col("carrier_type") == term).select("path").unionAll(code.declarations(s.source(), term).select("path")).distinct()
+    seen = code.external(s.source(), "accesses", term).select("path").unionAll(code.external(s.source(), "rules", term).select("path")).unionAll(code.declarations(s.source(), term).select("path")).distinct()
     files = _snapshot(s, since_unix_time, limit)
     return _rules(s, term) | {"history": files | {"files": files["files"].join(seen, "path", "left_semi").orderBy("path")}}
 

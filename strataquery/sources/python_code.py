@@ -24,6 +24,8 @@ PRIMITIVE = {"bool", "bytes", "dict", "float", "int", "list", "set", "str", "tup
 GENERIC = {"Collection", "Dict", "Iterable", "List", "Mapping", "MutableMapping", "MutableSequence", "Sequence", "Set", "Tuple"}
 MUTATORS = {"append", "clear", "extend", "insert", "pop", "remove", "reverse", "sort", "update"}
 OPERATORS = {"Eq": "eq", "NotEq": "not_eq", "Lt": "lt", "LtE": "lt_eq", "Gt": "gt", "GtE": "gt_eq", "In": "in", "NotIn": "not_in", "Is": "is", "IsNot": "is_not"}
+COMPARED = {"Eq": "==", "NotEq": "!=", "Is": "is", "IsNot": "is not", "Lt": "<", "LtE": "<=", "Gt": ">", "GtE": ">=", "In": "in", "NotIn": "not in"}
+COMPUTED = {"Add": "+", "Sub": "-", "Mult": "*", "Div": "/", "FloorDiv": "//", "Mod": "%", "Pow": "**"}
 SYMBOLS = {"Eq": "==", "NotEq": "!=", "Is": "is", "IsNot": "is not"}
 
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -356,27 +358,122 @@ def predicates(test: ast.expr) -> Iterator[tuple[str, str, str, str, bool]]:
             yield *other, operator, ast.unparse(left), negated
 
 
-def leaves(body: list[ast.stmt]) -> bool:
-    return bool(body) and isinstance(body[-1], (ast.Return, ast.Raise, ast.Continue, ast.Break))
+def exit_kind(body: list[ast.stmt]) -> str | None:
+    """return, raise, continue or break, for a block of nothing but these."""
+    exits = {ast.Return: "return", ast.Raise: "raise", ast.Continue: "continue", ast.Break: "break"}
+    return exits[type(body[0])] if body and all(type(s) in exits for s in body) else None
+
+
+def behind(m: Module, statement: ast.stmt) -> list[ast.stmt]:
+    """The statements that follow in the same block."""
+    for _, block in ast.iter_fields(m.parent[id(statement)]):
+        if isinstance(block, list) and any(s is statement for s in block):
+            return block[next(i for i, s in enumerate(block) if s is statement) + 1 :]
+    return []
+
+
+def effects(statements: list[ast.stmt], carrier: str) -> list[dict]:
+    """What statements do to a carrier: stores and method calls modify it, loads access it. A load whose text is part of a
+    modification's text is that modification's own."""
+    on = lambda x: isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name) and x.value.id == carrier
+    found: dict[tuple, str] = {}
+    for n in (x for s in statements for x in ast.walk(s)):
+        targets = n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AugAssign) else []
+        if any(map(on, targets)):
+            what = ("modification", "attribute_store")
+        elif isinstance(n, ast.Call) and on(n.func):
+            what = ("modification", "mutative_call")
+        elif on(n) and isinstance(n.ctx, ast.Load):
+            what = ("access", "attribute_load")
+        else:
+            continue
+        found.setdefault((n.lineno, n.col_offset, *what), ast.unparse(n))
+    changed = [text for key, text in found.items() if key[2] == "modification"]
+    kept = sorted((*key, text) for key, text in found.items() if key[2] == "modification" or not any(text in c for c in changed))
+    return [dict(zip(("line", "column", "role", "kind", "expression"), k)) for k in kept]
 
 
 def guards(m: Module) -> Iterator[dict]:
-    """If-statements on a carrier; control_shape tells whether the guard leaves early, by its else, or encloses its effects."""
+    """If-statements on a carrier that decide about effects on it: those behind an early exit, else those of the body."""
     for n in m.all(ast.If):
-        shape = "early_exit" if leaves(n.body) and not n.orelse else "else_exit" if leaves(n.orelse) else "enclosed_branch"
+        leaves, other = exit_kind(n.body), exit_kind(n.orelse)
+        if leaves and not n.orelse:
+            shape, way, ruled = "early_exit", leaves, behind(m, n)
+        elif other and not leaves:
+            shape, way, ruled = "else_exit", other, n.body
+        else:
+            shape, way, ruled = "enclosed_branch", None, n.body
         for carrier, field, operator, value, negated in predicates(n.test):
-            yield place(n) | {"carrier": carrier, "field": field, "operator": operator, "value": value, "unary_not": negated, "control_shape": shape, "expression": ast.unparse(n.test), "scope": m.scope(n)}
+            if done := effects(ruled, carrier):
+                yield place(n) | {
+                    "carrier": carrier, "field": field, "operator": operator, "value": value, "unary_not": negated, "control_shape": shape,
+                    "exit_kind": way, "expression": ast.unparse(n.test), "scope": m.scope(n), "effects": done,
+                }
+
+
+def own_nodes(function: ast.AST) -> Iterator[ast.AST]:
+    """Nodes of a function's body, without functions and classes in it."""
+    todo: list[ast.AST] = list(function.body)
+    while todo:
+        n = todo.pop()
+        if not isinstance(n, SCOPES):
+            yield n
+            todo += ast.iter_child_nodes(n)
+
+
+def held(function: ast.AST) -> dict[str, str | None]:
+    """Parameters with the plain name that annotates them."""
+    every = (*function.args.posonlyargs, *function.args.args, *function.args.kwonlyargs)
+    return {a.arg: a.annotation.id if isinstance(a.annotation, ast.Name) else None for a in every}
+
+
+def owner(m: Module, function: ast.AST) -> dict:
+    classes = [s.name for s in m.scopes(function) if isinstance(s, ast.ClassDef)]
+    return {"function": ".".join([*classes, function.name]), "classes": classes}
 
 
 def accesses(m: Module) -> Iterator[dict]:
-    """Fields that functions read or write on a parameter, with the parameter's plain annotation."""
-    for n in m.all(*FUNCTIONS):
-        held = {a.arg: a.annotation.id if isinstance(a.annotation, ast.Name) else None for a in parameters(n)}
-        for x in (x for s in n.body for x in ast.walk(s)):
-            found = member(x)
-            if found and found[0] in held and not isinstance(x.ctx, ast.Del):
-                classes = [s.name for s in m.scopes(n) if isinstance(s, ast.ClassDef)]
-                yield place(x) | {"function": m.qualified(n), "classes": classes, "carrier": found[0], "carrier_type": held[found[0]], "field": found[1], "role": "read" if isinstance(x.ctx, ast.Load) else "write"}
+    """Fields that functions read, write or delete on a parameter."""
+    for f in m.all(*FUNCTIONS):
+        known = held(f)
+        for n in own_nodes(f):
+            found = member(n)
+            if found and found[0] in known:
+                role = {ast.Load: "read", ast.Store: "write", ast.Del: "delete"}[type(n.ctx)]
+                yield place(n) | owner(m, f) | {"carrier": found[0], "carrier_type": known[found[0]], "field": found[1], "role": role}
+
+
+def rule_parts(n: ast.AST) -> tuple[str, str, list[tuple[ast.AST, str]]] | None:
+    """Kind and operator of a rule, and its candidates: the carrier's field and the text it is held against."""
+    if isinstance(n, ast.Compare) and len(n.ops) == 1:
+        sides = n.left, n.comparators[0]
+        return "comparison", COMPARED[type(n.ops[0]).__name__], [(sides[0], ast.unparse(sides[1])), (sides[1], ast.unparse(sides[0]))]
+    if isinstance(n, ast.BinOp) and type(n.op).__name__ in COMPUTED:
+        return "calculation", COMPUTED[type(n.op).__name__], [(n.left, ast.unparse(n.right)), (n.right, ast.unparse(n.left))]
+    if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and len(n.args) < 2 and not n.keywords:
+        return "call", n.func.attr, [(n.func.value, ast.unparse(n.args[0]) if n.args else "")]
+    if isinstance(n, ast.JoinedStr):
+        return "format", "f-string", [(v.value, "") for v in n.values if isinstance(v, ast.FormattedValue)]
+    return None
+
+
+def rules(m: Module) -> Iterator[dict]:
+    """Comparisons, calculations, calls and formats on a parameter's field. Of two sides on one carrier the left one counts;
+    a format counts when it has one field of its carrier."""
+    for f in m.all(*FUNCTIONS):
+        known = held(f)
+        for n in own_nodes(f):
+            if (parts := rule_parts(n)) is None:
+                continue
+            kind, operator, candidates = parts
+            on = [(found, text) for c, text in candidates if (found := member(c)) and found[0] in known]
+            kin = lambda x, y: x == y or (known[x] is not None and known[x] == known[y])  # noqa: B023, E731
+            for i, ((carrier, field), text) in enumerate(on):
+                others = on[:i] if kind != "format" else on[:i] + on[i + 1 :]
+                if not any(kin(carrier, o[0][0]) for o in others):
+                    yield place(n) | owner(m, f) | {
+                        "carrier": carrier, "carrier_type": known[carrier], "kind": kind, "field": field, "operator": operator, "value": text, "expression": ast.unparse(n),
+                    }
 
 
 def tests(m: Module) -> Iterator[dict]:
@@ -415,7 +512,8 @@ RELATIONS: dict[str, tuple[Callable[[Module], Iterator[dict]], str]] = {
     "encounters": (encounters, _AT + "owner string, neighbor string, relationship string, detail string"),
     "operations": (operations, _AT + "carrier string, field string, kind string, scope string"),
     "bindings": (bindings, _AT + "carrier string, relation string, kind string, other string, scope string"),
-    "guards": (guards, _AT + "carrier string, field string, operator string, value string, unary_not boolean, control_shape string, expression string, scope string"),
+    "guards": (guards, _AT + "carrier string, field string, operator string, value string, unary_not boolean, control_shape string, exit_kind string, expression string, scope string, effects array<struct<line:int,column:int,role:string,kind:string,expression:string>>"),
+    "rules": (rules, _AT + "function string, classes array<string>, carrier string, carrier_type string, kind string, field string, operator string, value string, expression string"),
     "accesses": (accesses, _AT + "function string, classes array<string>, carrier string, carrier_type string, field string, role string"),
     "tests": (tests, _AT + "test string, symbol string, evidence string"),
 }

@@ -83,10 +83,10 @@ def test_lifecycle(spark):
 
 
 def test_guards_tell_what_holds_at_their_effects(spark):
-    text = "def f(order):\n    if order.status == 'open':\n        order.n = 1\ndef g(order):\n    if order.status != 'open':\n        return\n    go(order)\ndef h(order):\n    if not isinstance(order, T):\n        raise E\n"
+    text = "def f(order):\n    if order.status == 'open':\n        order.n = 1\ndef g(order):\n    if order.status != 'open':\n        return\n    go(order)\n    go(order.n)\ndef h(order):\n    if not isinstance(order, T):\n        raise E\n    order.pop(order.n)\ndef i(order):\n    if order.x is None:\n        return\n"
     x = extraction(spark, ("a.py", text))
-    assert rows(code.guards(x, "order"), "line", "control_shape", "effect_when") == [(2, "enclosed_branch", "=="), (5, "early_exit", "=="), (9, "early_exit", "isinstance")]
-    assert rows(code.guard_groups(x, "order"), "field", "effect_when", "occurrence_count") == [("", "isinstance", 1), ("status", "==", 2)]
+    assert rows(code.guards(x, "order"), "line", "control_shape", "effect_when") == [(2, "enclosed_branch", "=="), (5, "early_exit", "=="), (10, "early_exit", "isinstance")]
+    assert rows(code.guard_groups(x, "order"), "field", "effect_when", "occurrence_count", "modifications", "accesses") == [("", "isinstance", 1, 1, 0), ("status", "==", 2, 1, 1)]
 
 
 def test_discriminations_and_encounters(spark):
@@ -114,6 +114,13 @@ def test_affinities(spark):
     assert rows(code.field_affinities(extraction(spark, ("a.py", text)), "Order"), "left_field", "right_field", "functions", "reads", "writes") == [("x", "y", 2, 3, 1)]
 
 
+def test_rules(spark):
+    text = "def a(o: Order):\n    return o.x == 1, o.n * 2, o.s.strip(), f'{o.x}!'\ndef b(p: Order, q: Order):\n    return 1 == p.x, 2 * q.n, p.s.strip(), f'{p.x}{q.x}', p.x == q.n\nclass Order:\n    def c(self, o: Order): return o.x == 1\ndef test_b():\n    b(1, 2)\n"
+    x = extraction(spark, ("a.py", text))
+    assert rows(code.repeated_rules(x, "Order"), "kind", "field", "operator", "value", "occurrence_count") == [("calculation", "n", "*", "2", 2), ("call", "s", "strip", "", 2), ("comparison", "x", "==", "1", 2)]
+    assert rows(code.rule_tests(x, "Order"), "test", "symbol") == [("test_b", "b")]
+
+
 def test_tests(spark):
     text = "from m import pay as p, charge\nimport m\ndef test_a():\n    p()\n    m.pay()\ndef test_b():\n    charge = 1\n    charge\ndef other(): p()\n"
     x = extraction(spark, ("test_a.py", text))

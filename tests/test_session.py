@@ -81,7 +81,7 @@ def test_branches_and_merges(session, repository):  # noqa: F811
 
 def test_all_operations_answer(session, repository):  # noqa: F811
     commit(repository, {"pkg/__init__.py": "", "pkg/order.py": "class Order:\n    x: int\n    y: int\n", "bad.py": "def nope(:\n"})
-    last = commit(repository, {"pkg/use.py": "from .order import Order\n\ndef use(order: Order):\n    if order.x == 1:\n        return order\n", "tests/test_use.py": "from pkg.use import use\n\ndef test_use():\n    use(1)\n"})
+    last = commit(repository, {"pkg/use.py": "from .order import Order\n\ndef use(order: Order):\n    if order.x == 1:\n        order.y = 2\n    return order\n", "tests/test_use.py": "from pkg.use import use\n\ndef test_use():\n    use(1)\n"})
     given = {"term": "order", "path": "pkg/use.py", "left_path": "pkg/use.py", "right_path": "tests/test_use.py", "paths": ["pkg/use.py"], "terms": ["order", "Order"], "commit": last, "revision": "HEAD", "lines": [1], "measure": "paths", "qualified_name": "use", "targets": [("pkg/use.py", "use")]} | BOUNDS
     for name, (_, parameters) in OPERATIONS.items():
         out = session.run(name, **{p.rstrip("?"): given[p.rstrip("?")] for p in parameters if p.rstrip("?") in given})
