@@ -93,7 +93,7 @@ def duplicates_compact(x: DataFrame) -> DataFrame:
 
 
 def declarations(x: DataFrame, term: str) -> DataFrame:
-    return relation(x, "types").where(F.col("name") == term).orderBy(*PLACE)
+    return relation(x, "types").where(F.col("name") == term).drop("full_name").orderBy(*PLACE)
 
 
 def discriminations(x: DataFrame, term: str) -> DataFrame:
@@ -114,6 +114,12 @@ def neighborhood(x: DataFrame, term: str) -> DataFrame:
     return near.groupBy("name").agg(F.count(F.lit(1)).alias("occurrences"), F.sort_array(F.collect_list(F.struct(*PLACE))).alias("locations")).select("name", kind, "occurrences", "locations").orderBy("pass", "name")
 
 
+def neighborhood_edges(x: DataFrame, term: str) -> DataFrame:
+    """From the seed to each of its neighborhood's names, weighed by how often the name occurs."""
+    reason = F.when(F.col("pass") == "exact", "exact identifier match").otherwise("shared identifier word")
+    return neighborhood(x, term).select(F.lit(term).alias("seed"), F.col("name").alias("neighbor"), F.col("occurrences").alias("weight"), F.col("pass").alias("discovery_pass"), reason.alias("reason")).orderBy("discovery_pass", "neighbor")
+
+
 def structural(x: DataFrame, term: str) -> DataFrame:
     """name, reason, weight: shared file, repeated co-occurrence, siblings in the tree, shared scope, import target."""
     every = relation(x, "names")
@@ -206,17 +212,46 @@ def rule_tests(x: DataFrame, carrier: str) -> DataFrame:
     return relation(x, "tests").join(last, "symbol", "left_semi").orderBy("symbol", *PLACE)
 
 
-def shared_scopes(x: DataFrame, terms: list[str]) -> DataFrame:
-    """Scopes in which every one of the names occurs."""
-    wanted = sorted(set(terms))
-    inside = relation(x, "names").where(F.col("name").isin(wanted)).select("path", "name", F.explode("scope_seqs").alias("scope_seq"))
-    held = inside.groupBy("path", "scope_seq").agg(F.countDistinct("name").alias("k"), F.count(F.lit(1)).alias("occurrences"))
-    return held.where(F.col("k") == len(wanted)).select("path", "scope_seq", "occurrences").orderBy("path", "scope_seq")
+def variables(x: DataFrame, terms: list[str]) -> DataFrame:
+    return relation(x, "variables").where(F.col("name").isin(sorted(set(terms))))
 
 
 def cluster(x: DataFrame, terms: list[str]) -> DataFrame:
-    role = F.when(F.col("kind") == "reference", "read").when(F.col("kind") == "assignment", "write").otherwise(F.col("kind"))
-    return relation(x, "names").where(F.col("name").isin(sorted(set(terms)))).select(*PLACE, "name", role.alias("role")).orderBy(*PLACE, "name", "role")
+    """Plain names and parameters of the terms, each with the guards it stands under."""
+    return variables(x, terms).drop("returned").orderBy(*PLACE, "name", "role")
+
+
+def held_by_all(rows: DataFrame, terms: list[str], keys: list[str]) -> DataFrame:
+    """Keys under which every one of the names occurs."""
+    return rows.groupBy(*keys).agg(F.countDistinct("name").alias("__k"), F.count(F.lit(1)).alias("occurrences")).where(F.col("__k") == len(set(terms))).drop("__k")
+
+
+def shared_scopes(x: DataFrame, terms: list[str]) -> DataFrame:
+    """Scopes in which every one of the names occurs; a module's own has the empty name."""
+    return held_by_all(variables(x, terms), terms, ["path", "scope"]).orderBy("path", "scope")
+
+
+def shared_guards(x: DataFrame, terms: list[str]) -> DataFrame:
+    """Guards of the stacks under which every one of the names occurs in one scope."""
+    stacks = held_by_all(variables(x, terms).where("size(guards) > 0"), terms, ["path", "scope", "guards"])
+    return stacks.select("path", F.explode("guards").alias("g")).select("path", "g.*").distinct().orderBy(*PLACE, "kind", "expression", "branch")
+
+
+def cluster_constructions(x: DataFrame, terms: list[str]) -> DataFrame:
+    return relation(x, "constructions").where(F.col("name").isin(sorted(set(terms)))).orderBy(*PLACE, "name", "kind")
+
+
+def cluster_aliases(x: DataFrame, terms: list[str]) -> DataFrame:
+    """Single assignments of a plain name to another, once for each of the names in it."""
+    found = relation(x, "bindings").where(F.col("carrier").isin(sorted(set(terms))) & (F.col("relation") == "alias"))
+    ways = [F.when((F.col("kind") == "source") == here, F.col("carrier")).otherwise(F.col("other")).alias(name) for here, name in ((True, "source"), (False, "target"))]
+    return found.select(F.col("carrier").alias("name"), *PLACE, "scope", *ways, F.lit("assignment").alias("kind")).orderBy(*PLACE, "source", "target", "name")
+
+
+def cluster_boundaries(x: DataFrame, terms: list[str]) -> DataFrame:
+    """Parameters, and names that are returned as they are."""
+    kind = F.when(F.col("returned"), "return").otherwise("parameter")
+    return variables(x, terms).where("returned or role = 'parameter'").select("name", *PLACE, "scope", kind.alias("kind"), F.col("name").alias("detail")).orderBy(*PLACE, "kind")
 
 
 def structural_complexity(x: DataFrame, measure: str) -> DataFrame:
@@ -247,3 +282,24 @@ def class_methods(x: DataFrame, path: str, qualified_name: str, limit: int) -> D
     own = relation(x, "functions").where((F.col("path") == path) & (F.col("kind") == "method"))
     direct = own.where(F.regexp_replace("qualified_name", r"\.[^.]*$", "") == qualified_name)
     return direct.withColumn("method_count", F.count(F.lit(1)).over(Window.partitionBy("path"))).orderBy(*PLACE).limit(limit)
+
+
+def classes(x: DataFrame, path: str, qualified_name: str) -> DataFrame:
+    """A file's classes of a dotted name, with the annotations of their fields."""
+    counts = relation(x, "density").select("path", "line", "column", "primitive_count", "specialized_count")
+    named = relation(x, "types").where((F.col("path") == path) & (F.col("full_name") == qualified_name)).select(*PLACE, F.col("full_name").alias("qualified_name"), "end_line")
+    told = named.join(counts, PLACE, "left").na.fill(0, ["primitive_count", "specialized_count"])
+    total = F.col("primitive_count") + F.col("specialized_count")
+    return told.withColumn("total_count", total).withColumn("primitive_ratio", F.try_divide("primitive_count", total)).orderBy(*PLACE)
+
+
+def receiver_accesses(x: DataFrame, methods: DataFrame, most: int) -> DataFrame:
+    """The first sites at which each method uses its class's fields through its receiver, with the number of all."""
+    key = ["path", "qualified_name", "method_line"]
+    rank = Window.partitionBy(*key).orderBy("line", "column", "field", "operations")
+    found = relation(x, "receiver_fields").withColumn("__n", F.row_number().over(rank))
+    sites = F.sort_array(F.collect_list(F.when(F.col("__n") <= most, F.struct("line", "column", "field", "operations"))))
+    told = found.groupBy(*key).agg(F.count(F.lit(1)).alias("site_count"), sites.alias("sites"))
+    own = methods.select("path", "qualified_name", F.col("line").alias("method_line")).join(told, key, "left").na.fill(0, ["site_count"])
+    filled = F.coalesce("sites", F.array().cast(told.schema["sites"].dataType))
+    return own.withColumn("sites", filled).withColumn("truncated", F.col("site_count") > most).orderBy("method_line")

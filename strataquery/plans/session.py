@@ -149,6 +149,22 @@ def contract() -> list[dict[str, Any]]:
     return [{"name": n, "parameters": [{"name": p.rstrip("?"), "required": not p.endswith("?")} for p in OPERATIONS[n][1]]} for n in sorted(OPERATIONS)]
 
 
+def check_examples(examples: list[dict[str, Any]]) -> list[str]:
+    """What is wrong with examples {tool, arguments}: operations or arguments that do not exist, arguments that lack."""
+    declared = {o["name"]: o["parameters"] for o in contract()}
+    wrong = []
+    for i, example in enumerate(examples, 1):
+        name, given = example.get("tool"), set(example.get("arguments", {}))
+        if name not in declared:
+            wrong.append(f"example {i}: unknown tool {name!r}")
+            continue
+        if odd := sorted(given - {p["name"] for p in declared[name]}):
+            wrong.append(f"example {i}: unknown arguments: {', '.join(odd)}")
+        if lacking := sorted({p["name"] for p in declared[name] if p["required"]} - given):
+            wrong.append(f"example {i}: missing required arguments: {', '.join(lacking)}")
+    return wrong
+
+
 def plain(value: Any) -> Any:
     if isinstance(value, DataFrame):
         return [plain(r) for r in value.collect()]
@@ -450,12 +466,14 @@ def _class_profile(s: Session, path: str, qualified_name: str, limit: int = 16)
     if limit > MOST["targets"]:
         raise Rejected("invalid_query", f"limit must be at most {MOST['targets']}")
     x = s.source([path])
+    found = code.classes(x, path, qualified_name)
+    number = found.count()
+    if number != 1:
+        unread = not x.where("parse_status <> 'parsed'").isEmpty()
+        return {"match_status": "ambiguous" if number else "unavailable" if unread else "not_found", "match_count": number, "warnings": code.warnings(x)}
     methods = code.class_methods(x, path, qualified_name, limit)
     targets = methods.selectExpr("cast(row_number() over (order by line, column) as int) as at", "path", "qualified_name")
-    density = python_code.relation(x, "density").where(F.col("name") == qualified_name)
-    found = python_code.relation(x, "types").where(F.col("qualified_name") == qualified_name)
-    used = python_code.relation(x, "operations").where("carrier = 'self'").join(methods.select(F.col("qualified_name").alias("scope")), "scope", "left_semi")
-    return {"class": found, "density": density, "methods": methods, "profiles": code.profiles(x, targets, MOST["sites"]), "receiver_accesses": used.orderBy(*code.PLACE)}
+    return {"match_status": "found", "class": found, "methods": methods, "profiles": code.profiles(x, targets, MOST["sites"]), "receiver_accesses": code.receiver_accesses(x, methods, MOST["sites"]), "warnings": code.warnings(x)}
 
 
 on_source("python.inventory", code.inventory, "files")
@@ -466,10 +484,17 @@ on_source("python.groups", code.groups, "groups")
 on_source("python.primitive_density", code.density, "files")
 on_term("python.names", occurrences=code.names)
 on_term("python.discriminations", declarations=code.declarations, discriminations=code.discriminations)
-on_term("python.neighborhood", nodes=code.neighborhood)
+on_term("python.neighborhood", nodes=code.neighborhood, edges=code.neighborhood_edges)
 on_term("python.neighborhood.structural", edges=code.structural)
 on_term("python.neighborhood.behavioral", edges=code.behavioral)
-on_term("python.carrier_guards", occurrences=code.guards, groups=code.guard_groups)
+
+
+@operation("python.carrier_guards", "term", "path?")
+def _carrier_guards(s: Session, term: str, path: str | None = None) -> dict:
+    if not term.isidentifier():
+        raise Rejected("invalid_query", "term must be an identifier")
+    x = s.source([path] if path else None)
+    return {"occurrences": code.guards(x, term), "groups": code.guard_groups(x, term), "warnings": code.warnings(x)}
 
 
 @operation("python.graph_topology")
@@ -503,13 +528,26 @@ def _historical(s: Session, term: str, since_unix_time: int, limit: int) -> dict
     return {"provenance": s.scope(since_unix_time, limit), "edges": ways.join(seeds, "seed_path", "left_semi").orderBy("seed_path", "neighbor")}
 
 
-@operation("python.variable_cluster", "term?", "terms?")
-def _cluster(s: Session, term: str | None = None, terms: list[str] | None = None) -> dict:
+@operation("python.variable_cluster", "term?", "terms?", "since_unix_time?", "limit?")
+def _cluster(s: Session, term: str | None = None, terms: list[str] | None = None, since_unix_time: int | None = None, limit: int | None = None) -> dict:
+    """Where names occur and under which guards, how they are made, renamed and handed over, and what tests use them; of two
+    names or more also the scopes and guards that all share."""
     if not term and not terms:
         raise Rejected("invalid_query", "term or terms must be given")
     wanted = list(terms or [term])
+    if len(set(wanted)) < len(wanted) or not all(isinstance(t, str) and t.isidentifier() for t in wanted):
+        raise Rejected("invalid_query", "names must be different identifiers")
     x = s.source()
-    return {"occurrences": code.cluster(x, wanted), "shared_scopes": code.shared_scopes(x, wanted) if terms else []} | {of: {t: code.bindings(x, t, of) for t in wanted} for of in ("construction", "alias", "boundary")}
+    out = {
+        "names": wanted, "occurrences": code.cluster(x, wanted), "shared_scopes": code.shared_scopes(x, wanted) if terms else [],
+        "shared_guards": code.shared_guards(x, wanted) if terms else [], "construction_sites": code.cluster_constructions(x, wanted),
+        "aliases": code.cluster_aliases(x, wanted), "boundaries": code.cluster_boundaries(x, wanted),
+        "test_evidence": [{"name": t, "report": _tests(s, t)} for t in wanted], "history_evidence": None, "warnings": code.warnings(x),
+    }
+    if since_unix_time and limit:
+        past = _snapshot(s, since_unix_time, limit)
+        out["history_evidence"] = past | {"files": past["files"].join(code.variables(x, wanted).select("path").distinct(), "path", "left_semi").orderBy("path")}
+    return out
 
 
 @operation("python.object_lifecycle", "term", "since_unix_time?", "limit?")
@@ -538,7 +576,8 @@ def _seed(s: Session, term: str) -> dict:
     nodes = code.neighborhood(s.source(), term)
     places = nodes.select("name", "pass", F.explode("locations").alias("at")).select("name", "pass", "at.*")
     more = {"carrier_guards": code.guards(s.source(), term), "object_lifecycle": _lifecycle(s, term)} if term.isidentifier() else {"carrier_guards": None, "object_lifecycle": None}
-    return {"nodes": nodes, "locations": places} | more
+    edges = code.neighborhood_edges(s.source(), term)
+    return {"nodes": nodes, "edges": edges, "locations": places, "warnings": code.warnings(s.source())} | more
 
 
 @operation("python.term_change_evidence", "term", *BOUNDS)
@@ -549,7 +588,8 @@ def _term_change(s: Session, term: str, since_unix_time: int, limit: int) -> dic
     index = {
         "ownership": {"source": "carrier_guards", "available": known, "occurrence_count": seed["carrier_guards"].count() if known else 0, "group_count": code.guard_groups(s.source(), term).count() if known else 0},
         "multiplicity": {"source": "nodes", "node_count": seed["nodes"].count(), "location_count": total, "locations": places.limit(MOST["places"]), "locations_truncated": total > MOST["places"]},
-        "history": {"source": "history.files", "file_count": files["files"].count()},
+        "coupling": {"source": "edges", "edge_count": seed["edges"].count()},
+        "history": {"source": "history.files", "file_count": files["files"].count(), "paths": files["files"].select("path").orderBy("path")},
         "representations": {
             "source": "object_lifecycle", "available": known, "construction_count": seed["object_lifecycle"]["constructions"].count() if known else 0,
             "operation_count": seed["object_lifecycle"]["operations"].count() if known else 0,

@@ -85,6 +85,66 @@ def names(m: Module) -> Iterator[dict]:
         yield place(n) | {"name": name, "kind": kind, "walk_seq": m.seq[id(n)], "parent_seq": m.seq[id(m.parent[id(n)])], "scope_seqs": around}
 
 
+def guard_stacks(m: Module) -> Callable[[ast.AST], list[dict]]:
+    """A reader of the tests of if and while that lead to a node, outermost first. A while's else has none of its own."""
+    sides: dict[int, str] = {}
+    told: dict[tuple[int, str], dict] = {}
+    for n in m.all(ast.If, ast.While):
+        sides |= {id(s): "body" for s in n.body}
+        sides |= {id(s): "else" for s in n.orelse if isinstance(n, ast.If)}
+
+    def guard(n: ast.AST, branch: str) -> dict:
+        if (key := (id(n), branch)) not in told:
+            told[key] = place(n.test) | {"kind": "if" if isinstance(n, ast.If) else "while", "expression": m.segment(n.test), "branch": branch}
+        return told[key]
+
+    def read(node: ast.AST) -> list[dict]:
+        way = [node, *m.above(node)]
+        stack = [guard(up, sides[id(down)]) for down, up in zip(way, way[1:]) if id(down) in sides][::-1]
+        return [g | {"depth": i} for i, g in enumerate(stack, 1)]
+
+    return read
+
+
+def variables(m: Module) -> Iterator[dict]:
+    """Plain names and parameters with the guards they stand under."""
+    roles, guards_of = {ast.Load: "read", ast.Store: "write", ast.Del: "delete"}, guard_stacks(m)
+    for n in m.all(ast.Name, ast.arg):
+        plain = isinstance(n, ast.Name)
+        yield place(n) | {
+            "name": n.id if plain else n.arg, "role": roles[type(n.ctx)] if plain else "parameter", "scope": m.scope(n),
+            "returned": isinstance(m.parent[id(n)], ast.Return), "guards": guards_of(n),
+        }
+
+
+def constructions(m: Module) -> Iterator[dict]:
+    """What is assigned to names and to attributes; an attribute is known by its last part."""
+    for n in m.all(ast.Assign, ast.AnnAssign, ast.NamedExpr):
+        kind = {ast.Assign: "assignment", ast.AnnAssign: "annotated_assignment", ast.NamedExpr: "named_assignment"}[type(n)]
+        for t in n.targets if isinstance(n, ast.Assign) else [n.target] if n.value is not None else []:
+            if isinstance(t, ast.Name):
+                yield place(t) | {"name": t.id, "scope": m.scope(n), "target": t.id, "kind": kind, "value": m.segment(n.value)}
+            elif isinstance(t, ast.Attribute):
+                yield place(t) | {"name": t.attr, "scope": m.scope(n), "target": m.segment(t), "kind": "attribute_assignment", "value": m.segment(n.value)}
+
+
+def receiver_fields(m: Module) -> Iterator[dict]:
+    """How methods use their class's annotated fields through their first positional parameter, whatever its name."""
+    for c in m.all(ast.ClassDef):
+        fields = {s.target.id for s in c.body if isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name)}
+        for f in (s for s in c.body if isinstance(s, FUNCTIONS)):
+            first = [a.arg for a in (*f.args.posonlyargs, *f.args.args)][:1]
+            if any(ast.unparse(d) in ("staticmethod", "builtins.staticmethod") for d in f.decorator_list):
+                continue
+            for n in own_nodes(f, (*SCOPES, ast.Lambda)):
+                found = member(n)
+                if not found or found[0] not in first or found[1] not in fields or isinstance(n.ctx, ast.Del):
+                    continue
+                both = isinstance(m.parent[id(n)], ast.AugAssign) and isinstance(n.ctx, ast.Store)
+                done = ["read", "write"] if both else ["write"] if isinstance(n.ctx, ast.Store) else ["read"]
+                yield place(n) | {"qualified_name": m.qualified(f), "method_line": f.lineno, "field": found[1], "operations": done}
+
+
 def imported_module(source: str, package: bool, level: int, target: str | None) -> tuple[str, bool]:
     """Absolute name of a from-import, and whether its dots lead out of the tracked package."""
     if not level:
@@ -258,7 +318,7 @@ def types(m: Module) -> Iterator[dict]:
         members = [t.id for s in n.body if isinstance(s, ast.Assign) for t in s.targets if isinstance(t, ast.Name)]
         around = [s.name for s in m.scopes(n) if isinstance(s, ast.ClassDef)]
         enum = any(b.endswith("Enum") for b in bases)
-        yield place(n) | {"name": n.name, "end_line": n.end_lineno, "qualified_name": ".".join([*around, n.name]), "kind": "enum" if enum else "type", "members": members if enum else []}
+        yield place(n) | {"name": n.name, "end_line": n.end_lineno, "qualified_name": ".".join([*around, n.name]), "kind": "enum" if enum else "type", "members": members if enum else [], "full_name": m.qualified(n)}
 
 
 def member(n: ast.AST) -> tuple[str, str] | None:
@@ -411,12 +471,12 @@ def guards(m: Module) -> Iterator[dict]:
                 }
 
 
-def own_nodes(function: ast.AST) -> Iterator[ast.AST]:
+def own_nodes(function: ast.AST, without: tuple[type, ...] = SCOPES) -> Iterator[ast.AST]:
     """Nodes of a function's body, without functions and classes in it."""
     todo: list[ast.AST] = list(function.body)
     while todo:
         n = todo.pop()
-        if not isinstance(n, SCOPES):
+        if not isinstance(n, without):
             yield n
             todo += ast.iter_child_nodes(n)
 
@@ -499,6 +559,9 @@ _AT = "line int, column int, "
 #: Each relation's reader and the fields of its rows.
 RELATIONS: dict[str, tuple[Callable[[Module], Iterator[dict]], str]] = {
     "names": (names, _AT + "name string, kind string, walk_seq long, parent_seq long, scope_seqs array<long>"),
+    "variables": (variables, _AT + "name string, role string, scope string, returned boolean, guards array<struct<line:int,column:int,kind:string,expression:string,branch:string,depth:int>>"),
+    "constructions": (constructions, _AT + "name string, scope string, target string, kind string, value string"),
+    "receiver_fields": (receiver_fields, _AT + "qualified_name string, method_line int, field string, operations array<string>"),
     "imports": (imports, "source_module string, target_module string, imported_names array<string>, aliases array<string>, relative_level int, line int, unresolved boolean"),
     "functions": (functions, _AT + "qualified_name string, kind string, end_line int, line_count int, branch_count int, cyclomatic_count int, max_nesting_depth int"),
     "measures": (measures, _AT + "qualified_name string, measure string, count long, diagnostic string"),
@@ -507,7 +570,7 @@ RELATIONS: dict[str, tuple[Callable[[Module], Iterator[dict]], str]] = {
     "groups": (groups, _AT + "owner string, kind string, members array<string>"),
     "density": (density, _AT + "name string, primitive_count long, specialized_count long"),
     "helpers": (helpers, _AT + "qualified_name string, kind string, end_line int, fingerprint string, statement_count int, parameter_count int, call_count int, branch_count int"),
-    "types": (types, _AT + "name string, end_line int, qualified_name string, kind string, members array<string>"),
+    "types": (types, _AT + "name string, end_line int, qualified_name string, kind string, members array<string>, full_name string"),
     "discriminations": (discriminations, _AT + "owner string, member string, kind string, operator string, expression string, side int, pair int"),
     "encounters": (encounters, _AT + "owner string, neighbor string, relationship string, detail string"),
     "operations": (operations, _AT + "carrier string, field string, kind string, scope string"),

@@ -106,7 +106,26 @@ def test_structural_and_scopes(spark):
         ("c", "repeated co-occurrence"): 2,
         ("b", "AST adjacency"): 2, ("b", "shared scope"): 1, ("m", "import target"): 1,
     }
-    assert rows(code.shared_scopes(x, ["seed", "b"]), "path", "occurrences") == [("a.py", 4)]
+    assert rows(code.shared_scopes(x, ["seed", "b"]), "path", "scope", "occurrences") == [("a.py", "f", 4)]
+
+
+def test_cluster(spark):
+    text = "def f(a, b):\n    if a and b:\n        while b:\n            a = c = b\n            self.a = 1\n        else:\n            del a\n    elif b:\n        return a\n    x = a\n    if (a := b): pass\na = b = 0\ndef g(b): return a\n"
+    x = extraction(spark, ("a.py", text), ("bad.py", "def nope(:\n"))
+    seen = {(r.line, r.column, r.role): [(g.kind, g.branch, g.expression, g.depth) for g in r.guards] for r in code.cluster(x, ["a", "b"]).collect() if r.name == "a" and r.line < 10}
+    both = ("if", "body", "a and b", 1)
+    assert seen == {
+        (1, 6, "parameter"): [], (2, 7, "read"): [], (4, 12, "write"): [both, ("while", "body", "b", 2)], (7, 16, "delete"): [both],
+        (9, 15, "read"): [("if", "else", "a and b", 1), ("if", "body", "b", 2)],
+    }
+    assert rows(code.shared_scopes(x, ["a", "b"]), "scope", "occurrences") == [("", 2), ("f", 13), ("g", 2)]
+    assert rows(code.shared_guards(x, ["a", "b"]), "line", "kind", "expression", "depth") == [(2, "if", "a and b", 1), (3, "while", "b", 2)]
+    assert rows(code.cluster_constructions(x, ["a"]), "line", "target", "kind", "value") == [
+        (4, "a", "assignment", "b"), (5, "self.a", "attribute_assignment", "1"), (11, "a", "named_assignment", "b"), (12, "a", "assignment", "0"),
+    ]
+    assert rows(code.cluster_aliases(x, ["a"]), "line", "name", "source", "target") == [(10, "a", "a", "x")]
+    assert rows(code.cluster_boundaries(x, ["a"]), "line", "kind", "scope") == [(1, "parameter", "f"), (9, "return", "f"), (13, "return", "g")]
+    assert code.shared_guards(x, ["a", "none"]).collect() == [] and code.cluster(x, ["none"]).collect() == []
 
 
 def test_affinities(spark):

@@ -1,11 +1,14 @@
 """Queries by name on small repositories."""
 
+import hashlib
 import json
+from dataclasses import replace
 
 import pytest
 from test_git import commit, repository, run  # noqa: F401
 
-from strataquery.plans.session import OPERATIONS, Session, plain, to_json
+from strataquery.plans.session import OPERATIONS, Session, check_examples, plain, to_json
+from strataquery.plans.topic_cache import TopicCache, TopicKey
 
 BOUNDS = {"since_unix_time": 1, "limit": 10}
 
@@ -104,10 +107,54 @@ def test_profiles(session, repository):  # noqa: F811
     assert {m["measure"]: (m["count"], m["diagnostic"]) for m in out[4]["measures"]}["operands"] == (None, "Lambda is not defined for operands.")
     found = data(session, "python.class_profile", path="a.py", qualified_name="C", limit=1)
     assert [m["qualified_name"] for m in found["methods"]] == ["C.f"] and found["methods"][0]["method_count"] == 2
-    assert found["density"][0]["primitive_count"] == 1 and [a["kind"] for a in found["receiver_accesses"]] == ["field_write"]
+    assert (found["class"][0]["primitive_count"], found["class"][0]["primitive_ratio"]) == (1, 1.0)
+    assert [(a["site_count"], a["truncated"], a["sites"]) for a in found["receiver_accesses"]] == [(1, False, [{"line": 5, "column": 12, "field": "x", "operations": ["read", "write"]}])]
+    status = lambda path, name: data(session, "python.class_profile", path=path, qualified_name=name)["match_status"]
+    assert (status("a.py", "D"), status("bad.py", "C"), status("none.py", "C")) == ("not_found", "unavailable", "not_found")
     assert session.run("python.structural_complexity", measure="odd")["error"]["code"] == "unsupported_measure"
 
 
+def test_receivers_of_any_name(session, repository):  # noqa: F811
+    text = "class C:\n    x: int\n    y: str = ''\n    def f(me, self):\n        me.x, self.y = me.z, lambda: me.y\n        del me.x\n    @staticmethod\n    def s(me): return me.x\n    def g(): pass\n" + "    def h(s):\n" + "        s.x\n" * 20
+    commit(repository, {"a.py": text + "def f():\n    class C: pass\nclass D: pass\nclass D: pass\n"})
+    found = data(session, "python.class_profile", path="a.py", qualified_name="C")
+    assert [(a["qualified_name"], a["site_count"], a["truncated"], len(a["sites"])) for a in found["receiver_accesses"]] == [("C.f", 1, False, 1), ("C.s", 0, False, 0), ("C.g", 0, False, 0), ("C.h", 20, True, 16)]
+    assert data(session, "python.class_profile", path="a.py", qualified_name="f.C")["class"][0]["total_count"] == 0
+    assert data(session, "python.class_profile", path="a.py", qualified_name="D") == {"match_status": "ambiguous", "match_count": 2, "warnings": []}
+
+
+def test_cluster_with_history_and_guards_of_one_file(session, repository):  # noqa: F811
+    commit(repository, {"a.py": "def f(o, p):\n    if o.x == p:\n        o.x = 1\n", "b.py": "def g(o):\n    if o.x == 1:\n        o.x = 2\n"})
+    out = data(session, "python.variable_cluster", terms=["o", "p"], **BOUNDS)
+    assert [s["scope"] for s in out["shared_scopes"]] == ["f"] and [f["path"] for f in out["history_evidence"]["files"]] == ["a.py", "b.py"]
+    assert data(session, "python.variable_cluster", term="p")["history_evidence"] is None
+    assert [o["path"] for o in data(session, "python.carrier_guards", term="o")["occurrences"]] == ["a.py", "b.py"]
+    assert [o["path"] for o in data(session, "python.carrier_guards", term="o", path="b.py")["occurrences"]] == ["b.py"]
+    assert session.run("python.variable_cluster", terms=["o", "p q"])["status"] == "rejected"
+    assert data(session, "python.neighborhood", term="o")["edges"] == [{"seed": "o", "neighbor": "o", "weight": 6, "discovery_pass": "exact", "reason": "exact identifier match"}]
+    change = data(session, "python.term_change_evidence", term="o", **BOUNDS)["dimensions"]
+    assert change["coupling"]["edge_count"] == 1 and [f["path"] for f in change["history"]["paths"]] == ["a.py", "b.py"]
+
+
+def test_examples():
+    assert check_examples([{"tool": "git.history", "arguments": BOUNDS}, {"tool": "python.inventory"}, {"tool": "python.names", "arguments": {"term": "a"}}]) == []
+    assert check_examples([{"tool": "no"}, {}, {"tool": "git.history", "arguments": {"limit": 1, "odd": 2}}]) == [
+        "example 1: unknown tool 'no'", "example 2: unknown tool None", "example 3: unknown arguments: odd", "example 3: missing required arguments: since_unix_time",
+    ]
+
+
+def test_topic_cache(spark, tmp_path):
+    cache, key = TopicCache(spark, str(tmp_path)), TopicKey("r1", "abc", "exact", 1, 10)
+    assert key.told()["digest"] == hashlib.sha256(b'{"limit":10,"matching_policy":"exact","repository_revision":"r1","since_unix_time":1,"topic_sha":"abc"}').hexdigest()
+    assert cache.lookup(key)["cache_status"] == "miss"
+    cache.store(key, '{"member_count": 3}')
+    assert (cache.lookup(key)["cache_status"], cache.lookup(key)["report"]) == ("hit", {"member_count": 3})
+    later = cache.lookup(replace(key, repository_revision="r2"))
+    assert (later["cache_status"], later["report"], later["invalidation"]["differences"]) == ("invalidated", None, {"repository_revision": ("r1", "r2")})
+    cache.store(replace(key, repository_revision="r2"), "{}")
+    assert cache.lookup(key)["cache_status"] == "invalidated" and cache.lookup(replace(key, limit=11))["cache_status"] == "miss"
+
+
 def test_empty_repository_answers(session):
     assert data(session, "git.history", **BOUNDS)["commits"] == []
     assert data(session, "git.distributions", **BOUNDS)["weeks"] == []
