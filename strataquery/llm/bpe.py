@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, tidy
 
 #: Characters segmented at once; slots of the table of known pre-tokens; ids it holds before it starts anew.
 CHUNK_CHARS, SLOT_BITS, STORE_IDS = 1_000_000, 20, 6_000_000
@@ -379,7 +379,7 @@ def encode_documents(documents: DataFrame, path: str, id_col: str = "doc_id", te
                     names=[*(f.name for f in kept), "token_ids", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return ready.mapInArrow(run, schema)
+    return ready.mapInArrow(tidy(run), schema)
 
 
 def text_parts(batch: pa.RecordBatch, column: int, most: int = 4 * CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:

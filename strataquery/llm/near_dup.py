@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, table
+from .shared import materialize, table, tidy
 from .textvec import byte_view, chunks, finish, words_of
 
 #: Words of a k-mer, and the least similarity: shingles aligned in order, over all shingles of either text.
@@ -148,7 +148,7 @@ def sketch_table(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     [part.column(0), part.column(1), pa.array(np.diff(edges)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], names=["id", "tid", "n", "bands"]
                 )
 
-    return ready.mapInArrow(run, "id long, tid binary, n long, bands array<long>")
+    return ready.mapInArrow(tidy(run), "id long, tid binary, n long, bands array<long>")
 
 
 def _compatible(n: str, m: str):
@@ -168,7 +168,7 @@ def _verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
     first = bodies.select(F.col("tid").alias("a"), F.col("text").alias("text_a"))
     second = bodies.select(F.col("tid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _tile(key: tuple, rows: pa.Table) -> pa.Table:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import id_crc, table
+from .shared import give_back, id_crc, table, tidy
 from .textvec import byte_view, chunks, words_of
 
 #: The fit reads at most so many positives and so many unlabelled documents, the first by a hash of their ids.
@@ -131,12 +131,16 @@ def fit_quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                 x = features(part.column(1)).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([r.tobytes() for r in x])], names=["id", "positive", "unlabelled", "x"])
 
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "positive", "unlabelled").mapInArrow(run, "id long, positive int, unlabelled boolean, x binary").toArrow()
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "positive", "unlabelled").mapInArrow(tidy(run), "id long, positive int, unlabelled boolean, x binary").toArrow()
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
     order = np.lexsort((*x.T[:2], rows["id"].to_numpy())) if len(x) else np.zeros(0, int)  # alike on every run
     x = x[order]
     positive, unlabelled = (rows[c].to_numpy(zero_copy_only=False).astype(bool)[order] if len(x) else np.zeros(0, bool) for c in ("positive", "unlabelled"))
-    return fit_nnpu(x[positive], x[unlabelled], prior)
+    del rows
+    model = fit_nnpu(x[positive], x[unlabelled], prior)
+    del x
+    give_back()
+    return model
 
 
 def score_quality(documents: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -157,7 +161,7 @@ def score_quality(documents: DataFrame, model: QualityModel, id_col: str = "doc_
             for part in chunks(batch, last):
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(model.score(features(part.column(last)).astype(np.float64)), pa.float64())], names=names)
 
-    return ready.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return ready.mapInArrow(tidy(run), schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

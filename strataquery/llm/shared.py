@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +75,24 @@ def range_bounds(df: DataFrame, id_col: str, parts: int) -> list[int]:
     sample = df.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(F.lit("bounds"), id_col), F.lit(every)) == 0)).select(F.col(id_col).cast("long").alias("id"))
     ids = sorted(r.id for r in sample.distinct().collect())
     return sorted({ids[len(ids) * i // parts] for i in range(1, parts)}) if ids else []
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's pool, and the heap where the C library can be asked to."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, giving its memory back at the end: Python workers are used again, and what one task freed would
+    otherwise stay beside the memory of all that follow."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied

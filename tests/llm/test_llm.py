@@ -300,3 +300,18 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier" and len(corpus_pipeline.STAGES) == 5
     rows = corpus_pipeline.run(spark, at).collect()
     assert rows and all(r.n_tokens == len(r.token_ids) for r in rows)
+
+
+def test_tidy_passes_all_batches_and_errors():
+    from strataquery.llm.shared import tidy
+
+    assert list(tidy(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3]
+
+    def fails(batches):
+        yield next(batches)
+        raise ValueError("odd")
+
+    ended = tidy(fails)(iter([1]))
+    assert next(ended) == 1
+    with pytest.raises(ValueError, match="odd"):
+        next(ended)
