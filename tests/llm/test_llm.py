@@ -120,6 +120,17 @@ def test_pii(spark):
     assert pii.find_pii(docs(spark, [])).collect() == []
 
 
+def test_pii_finds_addresses_with_zero_parts(spark):
+    texts = ["at 10.0.0.1 now", "127.0.0.1", "192.168.0.1", "0.0.0.0", "00.1.1.1 000.000.00.0", "1.2.3.4", "0.0.0.256", "256.0.0.1", "0300.0.0.1", "0" * 3000 + ".0.0." + "0" * 3000]
+    rows = {r.id: r for r in pii.find_pii(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        found = [(s.start, s.end) for s in rows[i].base if s.kind == "ip"]
+        assert found == [m.span() for m in re.finditer(PLAIN["ip"], t) if all(int(x) <= 255 for x in m.group().split("."))]
+    assert [len(rows[i].base) for i in range(len(texts))] == [1, 1, 1, 1, 2, 1, 0, 0, 0, 1]
+    masked = pii.mask_pii(docs(spark, [(1, "from 10.0.0.1 to 0.0.0.0", "s")]))
+    assert masked.first().text == "from [IP] to [IP]"
+
+
 def test_quality(spark):
     junk = lambda i: " | ".join(prose(i, 30).upper().split()) + "!!"
     rows = [(i, junk(i) if i % 4 == 0 else prose(i, 60), "s") for i in range(400)] + [(1000, None, "s"), (1001, "", "s")]
