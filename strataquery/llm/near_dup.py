@@ -214,7 +214,10 @@ def _tile(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tid, class_id) of every row: tid stands for its text, class_id is the smallest id of its class.
+    """(id, tid, class_id, label) of every row: tid stands for its text, class_id is the smallest id of its class.
+
+    label, the smallest tid of the class, tells classes apart: unrelated classes can have one class_id where ids repeat or
+    are null.
 
     Equal texts are one class member each (a null text counts as empty, all empty texts are equal), and texts linked by an
     alignment of SIMILARITY or more are in one class, directly or over others. Texts under SHINGLE words are alike only if
@@ -269,12 +272,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         if not found.isEmpty():
             labels = materialize(components(links), "labels")
     if labels is None:
-        classes = texts.select("tid", F.col("rep").alias("class_id"))
+        classes = texts.select("tid", F.col("rep").alias("class_id"), F.col("tid").alias("label"))
     else:
         named = texts.select("tid", "rep").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
         least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-        classes = named.join(least, "label").select("tid", "class_id")
-    return rows.select(F.col("id").alias(id_col), "tid").join(classes, "tid").select(id_col, "tid", "class_id")
+        classes = named.join(least, "label").select("tid", "class_id", "label")
+    return rows.select(F.col("id").alias(id_col), "tid").join(classes, "tid").select(id_col, "tid", "class_id", "label")
 
 
 def _settle(now: DataFrame, still: DataFrame, texts: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -289,20 +292,22 @@ def _settle(now: DataFrame, still: DataFrame, texts: DataFrame, bodies: DataFram
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class with all its columns: that of the class's smallest id, of equal ids and texts any one."""
+    """One row of each class with all its columns: that of the class's smallest id (null last), of equal ids that of the
+    smallest tid, of equal ids and texts any one."""
     classes = near_duplicates(documents, id_col, text_col)
-    named = F.col(id_col).eqNullSafe(F.col("class_id"))
-    stay = materialize(classes.where(named).groupBy(id_col, "class_id").agg(F.min("tid").alias("tid"), F.count(F.lit(1)).alias("rows")), "stay")
+    member = F.struct(F.col(id_col).isNull().alias("__null"), F.coalesce(id_col, F.lit(0)).alias("__id"), F.col("tid").alias("__tid"))
+    rows = classes.select("label", member.alias("member")).groupBy("label", "member").agg(F.count(F.lit(1)).alias("rows"))
+    stay = rows.groupBy("label").agg(F.min(F.struct("member", "rows")).alias("first"))
+    stay = materialize(stay.select("first.member.*", (F.col("first.rows") > 1).alias("__repeats")), "stay")
     key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    own = documents.withColumn("__tid", key).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
-    stay = stay.select(F.coalesce(id_col, F.lit(0)).alias("__id"), F.col("tid").alias("__tid"), (F.col("rows") > 1).alias("__repeats"))
-    kept = own.join(stay, ["__id", "__tid"])
+    own = documents.withColumn("__tid", key).withColumn("__null", F.col(id_col).cast("long").isNull()).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
+    kept = own.join(stay, ["__null", "__id", "__tid"])
     columns = documents.columns
     once = kept.where("not __repeats").select(*columns)
     if stay.where("__repeats").isEmpty():
         return once
-    return once.unionByName(kept.where("__repeats").dropDuplicates(["__id", "__tid"]).select(*columns))
+    return once.unionByName(kept.where("__repeats").dropDuplicates(["__null", "__id", "__tid"]).select(*columns))
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.lower(F.hex("label")).alias("class_key"))

@@ -281,6 +281,16 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_dup.near_duplicates(docs(spark, [])).collect() == []
 
 
+def test_classes_of_null_and_repeated_ids_stay_apart(spark):
+    a, b, c, d, e = (prose(i, 60) for i in range(50, 55))
+    rows = [(None, a, "s"), (None, b, "s"), (None, b, "t"), (5, c, "s"), (5, d, "s"), (0, e, "s"), (None, e, "s")]
+    got = near_dup.near_duplicates(docs(spark, rows)).collect()
+    assert len(got) == len(rows) and len({r.label for r in got}) == 5
+    assert all((x.tid == y.tid) == (x.label == y.label) for x in got for y in got)
+    kept = near_dup.keep_one(docs(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("None", a), ("None", b), ("5", c), ("5", d), ("0", e)])
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (None, 3)] + [(200, x) for x in range(201, 260)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
