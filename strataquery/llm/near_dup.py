@@ -2,8 +2,9 @@
 
 Method: a text's k-mers are its runs of five words, each labelled with how often it came before. Each of several sketches
 takes the few k-mers with the smallest hashes and keeps their order in the text, so that texts share a sketch when they
-are alike as sequences, not as sets. Texts that share a sketch are candidates; an alignment within the band that the
-threshold allows decides. Linked texts form classes.
+are alike as sequences, not as sets. Short texts, whose sketches hold most of what they have, are also found by single
+k-mers: of two alike texts, the rarest k-mers of each always have one in common. Texts that share a sketch or such a k-mer
+are candidates; an alignment within the band that the threshold allows decides. Linked texts form classes.
 """
 
 from __future__ import annotations
@@ -18,12 +19,19 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import materialize, table, tidy
-from .textvec import byte_view, chunks, finish, words_of
+from .textvec import byte_view, chunks, find, finish, words_of
 
 #: Words of a k-mer, and the least similarity: shingles aligned in order, over all shingles of either text.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Sketches, and k-mers of each. At similarity 0.8 a pair shares no sketch with probability (1 - 0.8**5)**24 < 1e-4.
+#: Sketches, and k-mers of each. Texts that share I of U k-mers, in one order, share no sketch with probability
+#: (1 - C(I, 5) / C(U, 5))**24.
 SKETCHES, PER_SKETCH = 24, 5
+#: No pair is lost in which a text has at most SHORT shingles; texts of REACH shingles can be alike to such a one.
+SHORT = 30
+REACH = int(SHORT / SIMILARITY + 1e-9)
+#: Most common k-mers of short texts that are put last among a text's k-mers, so that few texts meet in one of them. Which
+#: they are changes no result.
+COMMON = 1 << 16
 #: Rounds in which each bucket compares its members with one of them; texts of a tile when that doesn't settle it.
 ROUNDS, TILE = 3, 1024
 _SEEDS = np.random.default_rng(9).integers(1, 2**63, SKETCHES).astype(np.uint64)
@@ -83,6 +91,18 @@ def sketches(kmers: np.ndarray) -> np.ndarray:
     return out
 
 
+def rarest(kmers: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The k-mers that come first by (count, hash), so many that two texts of SIMILARITY or more have one in common.
+
+    Such a text shares at least SIMILARITY of its own k-mers, which are all different; all but these, and one more, come
+    first. common is sorted; k-mers it lacks count as 0.
+    """
+    at = find(common, kmers)
+    often = np.where(at >= 0, counts[at], 0) if len(common) else np.zeros(len(kmers), np.int64)
+    n = len(kmers)
+    return kmers[np.lexsort((kmers, often))[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]] if n else kmers
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether an alignment of the two shingle sequences matches at least similarity of all their shingles.
 
@@ -132,7 +152,8 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def sketch_table(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tid, n, bands) of every row: tid stands for the whole text, n counts its shingles, bands are its sketches."""
+    """(id, tid, n, bands, kmers) of every row: tid stands for the whole text, n counts its shingles, bands are its
+    sketches, kmers all k-mers of a text of at most REACH shingles (else none)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     ready = documents.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("tid"), text.alias("text"))
 
@@ -141,14 +162,40 @@ def sketch_table(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for part in chunks(batch, 2):
                 h, edges = shingles(part.column(2))
                 kmers = labelled(h, edges)
-                rows = [sketches(kmers[x:y]) if y > x else np.zeros(0, np.uint64) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-                ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-                values = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.diff(edges)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], names=["id", "tid", "n", "bands"]
-                )
+                spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+                bands = _lists([sketches(kmers[x:y]) if y > x else kmers[:0] for x, y in spans])
+                short = _lists([kmers[x:y] if y - x <= REACH else kmers[:0] for x, y in spans])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(edges)), bands, short], names=["id", "tid", "n", "bands", "kmers"])
+
+    return ready.mapInArrow(tidy(run), "id long, tid binary, n long, bands array<long>, kmers array<long>")
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    values = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
+
+
+def with_rarest(texts: DataFrame) -> DataFrame:
+    """texts (tid, rep, n, bands) with the rarest k-mers of short texts behind the sketches in bands."""
+    often = texts.select(F.explode("kmers").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    most = often.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    common, counts = most["h"].to_numpy().view(np.uint64), most["n"].to_numpy()
+    order = np.argsort(common)
+    common, counts = common[order], counts[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands, kmers = (_parts(batch.column(k)) for k in ("bands", "kmers"))
+            both = _lists([np.concatenate([x, rarest(y, common, counts)]) if len(y) else x for x, y in zip(bands, kmers, strict=True)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("tid", "rep", "n")), both], names=["tid", "rep", "n", "bands"])
+
+    return texts.select("tid", "rep", "n", "bands", "kmers").mapInArrow(tidy(run), "tid binary, rep long, n long, bands array<long>")
+
 
-    return ready.mapInArrow(tidy(run), "id long, tid binary, n long, bands array<long>")
+def _parts(lists: pa.ListArray) -> list[np.ndarray]:
+    values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return np.split(values, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if len(lists) else []
 
 
 def _compatible(n: str, m: str):
@@ -174,13 +221,13 @@ def _verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 def _tile(key: tuple, rows: pa.Table) -> pa.Table:
     """Links between texts of one tile of a bucket that no link connects yet: shared shingles bound what is aligned.
 
-    A pair is looked at in the first sketch its texts share only.
+    A pair is looked at in the first sketch or k-mer its texts share only.
     """
-    band, _, left, right = (k.as_py() for k in key)
+    band, own_hash, left, right = (k.as_py() for k in key)
     rows = rows.sort_by("tid")
     tids, label = rows["tid"].to_pylist(), rows["label"].to_pylist()
     block = rows["block"].to_numpy()
-    bands = np.array(rows["bands"].to_pylist(), np.int64)
+    bands = [{(min(k, SKETCHES), h) for k, h in enumerate(b)} for b in rows["bands"].to_pylist()]
     h, edges = shingles(rows["text"].combine_chunks())
     kmers, sizes, n = labelled(h, edges), np.diff(edges), len(tids)
     owner = np.repeat(np.arange(n), sizes)
@@ -206,7 +253,7 @@ def _tile(key: tuple, rows: pa.Table) -> pa.Table:
             ok &= block != block[i]
         for j in sorted(np.flatnonzero(ok).tolist(), key=lambda j: -share[j]):
             p, q = root(label[i]), root(label[j])
-            if p != q and int(np.argmax(bands[i] == bands[j])) == band and aligned(h[edges[i] : edges[i + 1]], h[edges[j] : edges[j + 1]]):
+            if p != q and min(bands[i] & bands[j]) == (band, own_hash) and aligned(h[edges[i] : edges[i + 1]], h[edges[j] : edges[j + 1]]):
                 parent[p] = q
                 links.append((tids[i], tids[j]))
     a, b = zip(*links, strict=True) if links else ((), ())
@@ -224,13 +271,14 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     they hold the same words. Repeated rows stay; null ids get a class but never name one unless all its ids are null.
     An empty table gives an empty result.
 
-    A bucket, the texts that share a sketch, never meets in one task: in ROUNDS rounds its members are compared with one
+    A bucket, the texts that share a sketch or a rare k-mer, never meets in one task: in ROUNDS rounds its members are compared with one
     of them, the one whose sketches are the most common; members that still are in different classes are then compared
     tile by tile. Pairs that a class connects already need no comparison.
     """
     rows = materialize(sketch_table(documents, id_col, text_col), "sketches")
-    texts = materialize(rows.groupBy("tid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
-    entries = texts.select("tid", "n", F.posexplode("bands").alias("band", "h"))
+    texts = rows.groupBy("tid").agg(F.min("id").alias("rep"), *(F.first(k).alias(k) for k in ("n", "bands", "kmers")))
+    texts = materialize(with_rarest(materialize(texts, "texts")), "texts")
+    entries = texts.select("tid", "n", F.posexplode("bands").alias("band", "h")).withColumn("band", F.least("band", F.lit(SKETCHES)))
     sizes = entries.groupBy("band", "h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = entries.join(sizes, ["band", "h"])
     shared = materialize(shared, "shared")

@@ -291,6 +291,36 @@ def test_classes_of_null_and_repeated_ids_stay_apart(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("None", a), ("None", b), ("5", c), ("5", d), ("0", e)])
 
 
+def test_short_texts_lose_no_link(spark):
+    rng = random.Random(8)
+    texts = []
+    for n in [8] * 30 + [9] * 30 + [10, 12, 14, 17, 20, 26, 34] * 8:  # words; one more at the end or the begin
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+        more = f"w{rng.randint(0, 10**6)}"
+        texts += [" ".join(base), " ".join([*base, more] if rng.random() < 0.5 else [more, *base])]
+    common = [f"all{i}" for i in range(12)]  # a line that many unlike texts have
+    texts += [" ".join(common + [f"v{rng.randint(0, 10**6)}" for _ in range(8)]) for _ in range(30)]
+    links = plain_links(texts)
+    assert len(links) == 116
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert {(i, j) for j in got for i in got if i < j and got[i] == got[j]} == links
+
+
+def test_rarest_kmers_of_alike_texts_meet():
+    rng = np.random.default_rng(4)
+    for n in range(1, near_dup.REACH + 1):
+        for m in range(n, int(n / near_dup.SIMILARITY + 1e-9) + 1):
+            least = int(np.ceil((n + m) * near_dup.SIMILARITY / (1 + near_dup.SIMILARITY) - 1e-9))
+            if least > n:
+                continue
+            for _ in range(5):
+                pool = rng.integers(0, 2**63, n + m - least).astype(np.uint64)
+                a, b = rng.permutation(pool[:n]), rng.permutation(pool[n - least :])
+                common = np.sort(rng.choice(pool, len(pool) // 2, replace=False))
+                counts = rng.integers(2, 5, len(common))
+                assert set(near_dup.rarest(a, common, counts).tolist()) & set(near_dup.rarest(b, common, counts).tolist())
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (None, 3)] + [(200, x) for x in range(201, 260)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
