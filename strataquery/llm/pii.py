@@ -151,9 +151,11 @@ def _score(instances: DataFrame) -> DataFrame:
 
     instances: (pattern, value, kind, text_key), kind null where the base knows nothing of the value.
     """
-    edges = instances.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.approx_count_distinct("text_key").alias("texts"))
-    seeds = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"), F.sum("texts").alias("texts"))
-    live = materialize(seeds.where((F.col("seeds") >= SUPPORT) & (F.col("texts") >= SUPPORT)).select("pattern", F.col("kind").alias("of"), "seeds"), "patterns")
+    edges = instances.groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
+    known = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
+    texts = instances.where("kind is not null").select("pattern", "kind", "text_key").distinct().groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("texts"))
+    live = known.where(F.col("seeds") >= SUPPORT).join(texts.where(F.col("texts") >= SUPPORT), ["pattern", "kind"])
+    live = materialize(live.select("pattern", F.col("kind").alias("of"), "seeds"), "patterns")
     graph = materialize(edges.join(live, "pattern").withColumn("trust", F.when(F.col("kind") == F.col("of"), 1.0).otherwise(0.0)), "graph")
     for turn in range(ROUNDS):
         patterns = graph.groupBy("pattern", "of").agg((F.sum("trust") / F.count(F.lit(1))).alias("confidence"))

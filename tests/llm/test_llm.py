@@ -131,6 +131,14 @@ def test_pii_finds_addresses_with_zero_parts(spark):
     assert masked.first().text == "from [IP] to [IP]"
 
 
+def test_pii_patterns_need_seeds_of_many_texts(spark):
+    one = " ".join(f"please write me at user{i}@mail.example.com today" for i in range(40))
+    other = "please write me at root@localhost today"
+    for lists, trusted in (([one], False), ([one] * 12, False), ([one + " " * i for i in range(9)], False), ([one + " " * i for i in range(10)], True)):
+        rows = pii.find_pii(docs(spark, [(i, t, "s") for i, t in enumerate([*lists, other])])).collect()
+        assert [[(s.kind, s.start, s.end) for s in r.added] for r in rows if r.id == len(lists)] == [[("email", 19, 33)] if trusted else []]
+
+
 def test_quality(spark):
     junk = lambda i: " | ".join(prose(i, 30).upper().split()) + "!!"
     rows = [(i, junk(i) if i % 4 == 0 else prose(i, 60), "s") for i in range(400)] + [(1000, None, "s"), (1001, "", "s")]
