@@ -198,26 +198,56 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprint_documents(docs(spark, [])).collect() == []
 
 
-def test_class_lm(spark):
-    rows = [*TEXTS[:7], *((100 + i, prose(i, 50), "s") for i in range(120))]
+def lower_tokens(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+
+
+@pytest.mark.parametrize("most", [class_lm.HELD, 30, 0])  # all words are held, some, none
+def test_class_lm(spark, monkeypatch, most):
+    monkeypatch.setattr(class_lm, "HELD", most)
+    rows = [*TEXTS[:7], *((100 + i, prose(i, 50) + f" once{i} twice{i // 2} Twice{i // 2}", "s") for i in range(120))]
     frame = docs(spark, rows)
     learns = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
     trained = class_lm.train(frame.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2).select("text"))
     got = class_lm.score_documents(frame, trained).collect()
-    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))), None]
-    counts = Counter(w for i, t, _ in rows if learns(i) for w in tokens(t))
+    counts = Counter(w for i, t, _ in rows if learns(i) for w in [*lower_tokens(t), None])
     n, v = sum(counts.values()), len(counts)
     text = {i: t for i, t, _ in rows}
     assert len(got) == len(rows)
+    hash_of = lambda w: int(class_lm.words_of(*class_lm.byte_view(pa.array([w]))).hashes[0])
+    known = {hash_of(w): w for w in counts if w is not None}
+    klass = {known[int(k)]: int(c) for k, c in zip(trained.held.keys, trained.held.klass)} | {known[r.key % 2**64]: r.klass for r in trained.rest.collect()}
+    assert set(klass) == set(known.values()) and len(trained.held.keys) <= most and all(0 < c < class_lm.CLASSES for c in klass.values())
+    assert trained.rest.count() == 0 or {known[r.key % 2**64]: r.n for r in trained.rest.collect()}.items() <= counts.items()
+    tokens_of, words_in = Counter(), Counter(klass.values())
+    for w, c in klass.items():
+        tokens_of[c] += counts[w]
     for r in got:
-        own = tokens(text[r.doc_id])
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not learns(r.doc_id), len(own), sum(counts[w] > 0 for w in own), n)
-        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own))
-        assert r.score < 0
+        own = lower_tokens(text[r.doc_id])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not learns(r.doc_id), len(own) + 1, sum(counts[w] > 0 for w in own) + 1, n)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in [*own, None]))
+        path = [0, *(klass.get(w, trained.unseen) for w in own), 0]
+        steps = sum(trained.transition[a, b] for a, b in zip(path, path[1:]))
+        words = sum(math.log10((counts[w] + 1) / (tokens_of[c] + words_in[c] + 1)) for w, c in zip(own, path[1:]))
+        assert r.score == pytest.approx(steps + words)
+    assert np.allclose((10**trained.transition).sum(axis=1), 1)
     assert class_lm.score_documents(frame.limit(0), trained).collect() == []
     assert len(class_lm.score_documents(frame, class_lm.train(frame.limit(0).select("text"))).collect()) == len(rows)
 
 
+def test_every_word_is_placed_by_its_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "HELD", 12)
+    rng = random.Random(2)
+    one, two = [f"a{i}" for i in range(5)], [f"b{i}" for i in range(5)]
+    texts = [" ".join(rng.choice(side) for side in (one, two) * 20) for _ in range(60)]
+    texts += [f"a1 {w} a2 {w} a0 {w} a3" for w in ("new", "odd")] + [f"b1 {w} b2 {w} b0 {w} b3" for w in ("rare", "last")]
+    trained = class_lm.train(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]).select("text"))
+    hash_of = lambda w: int(class_lm.words_of(*class_lm.byte_view(pa.array([w]))).hashes[0])
+    klass = {int(k): int(c) for k, c in zip(trained.held.keys, trained.held.klass)} | {r.key % 2**64: r.klass for r in trained.rest.collect()}
+    in_one, in_two = ({klass[hash_of(w)] for w in words} for words in ((*one, "rare", "last"), (*two, "new", "odd")))
+    assert not in_one & in_two
+
+
 def test_exchange_finds_two_languages():
     counts = np.zeros((9, 9))
     counts[:4, :4] = counts[4:8, 4:8] = 10
