@@ -226,7 +226,8 @@ def test_class_lm(spark, monkeypatch, most):
         own = lower_tokens(text[r.doc_id])
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not learns(r.doc_id), len(own) + 1, sum(counts[w] > 0 for w in own) + 1, n)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in [*own, None]))
-        path = [0, *(klass.get(w, trained.unseen) for w in own), 0]
+        kinds = class_lm.endings(*(lambda raw, offsets: (raw, class_lm.words_of(raw, offsets)))(*class_lm.byte_view(pa.array([text[r.doc_id] or ""]))))
+        path = [0, *(klass.get(w, trained.unseen[k]) for w, k in zip(own, kinds, strict=True)), 0]
         steps = sum(trained.transition[a, b] for a, b in zip(path, path[1:]))
         words = sum(math.log10((counts[w] + 1) / (tokens_of[c] + words_in[c] + 1)) for w, c in zip(own, path[1:]))
         assert r.score == pytest.approx(steps + words)
