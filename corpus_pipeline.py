@@ -16,8 +16,8 @@ from strataquery.llm.shared import materialize, table
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score_quality(docs.withColumn("__whole", F.col("text")), model, text_col="__whole", keep=docs.columns)
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = quality.score_quality(docs, model, keep=docs.columns, names=("__held_out", "__score", "__predicted"))
+    return scored.where("__predicted = 1").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

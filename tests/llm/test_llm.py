@@ -152,6 +152,52 @@ def test_quality(spark):
     assert len(quality.score_quality(frame, quality.fit_quality(frame, labels.limit(0))).collect()) == len(rows)
 
 
+def test_quality_sums_and_minimum(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [prose(i, 20 + i % 30) if i % 5 else "".join(rng.choice(list("aB1 |!?$"), 80)) for i in range(300)]
+    frame = spark.createDataFrame([(t, i % 5 != 0 and i % 2 == 0) for i, t in enumerate(texts)], "text string, positive boolean").repartition(21)
+    x = quality.features(pa.array(texts))
+    good = np.array([i % 5 != 0 and i % 2 == 0 for i in range(300)])
+    sums = {k: quality.unpacked(n, raw) for k, n, raw in quality._sum_tree(frame, 21)}
+    for kind, rows in ((0, x), (1, x[good])):
+        want = quality.Moments.of(rows)
+        assert sums[kind].n == len(rows) and np.allclose(sums[kind].products, want.products, atol=1e-3)
+    monkeypatch.setattr(quality, "RIDGE", 0.3)
+    y, z = (np.append(v, np.ones((len(v), 1)), axis=1) for v in (x[good], x))
+    scale = 1 / np.sqrt(np.maximum(z.var(axis=0), 1e-6))
+
+    def risk(w, prior):
+        loss = lambda rows, sign: (((1 - sign * (rows @ w)) ** 2) / 4).mean()
+        return prior * loss(y, 1) + max(0, loss(z, -1) - prior * loss(y, -1)) + 0.3 / len(y) / 4 * ((w[:-1] / scale[:-1]) ** 2).sum()
+
+    for prior in (0.3, 0.8, 0.95):
+        model = quality.fit_nnpu(quality.Moments.of(x[good]), quality.Moments.of(x), prior)
+        least = risk(model.weights, prior)
+        for _ in range(60):
+            assert risk(model.weights + rng.normal(0, 0.02, len(model.weights)) * scale * rng.integers(0, 2, len(scale)), prior) >= least - 1e-6
+
+
+def test_prior_of_a_mixture():
+    rng = np.random.default_rng(1)
+    bins = lambda v: np.histogram(v, bins=1000, range=(-6, 6))[0]
+    mixed = np.concatenate([rng.normal(2, 1, 14_000), rng.normal(-2, 1, 6_000)])
+    assert quality.estimated_prior(bins(rng.normal(2, 1, 8_000)), bins(mixed)) == pytest.approx(0.7, abs=0.05)
+
+
+def test_quality_of_odd_tables(spark):
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    rows = [(i % 90, prose(i, 30) if i % 3 else "| ! " * 20, "s") for i in range(180)] + [(None, "x", "s"), (None, None, None)]
+    frame = docs(spark, rows).withColumn("score", F.lit("old")).withColumn("held_out", F.lit(1)).withColumn("a b.c", F.lit(2))
+    model = quality.fit_quality(frame, labels)
+    got = quality.score_quality(frame, model, keep=frame.columns)
+    assert sorted(got.columns) == sorted(frame.columns + ["predicted"]) and got.count() == len(rows)
+    assert dict(got.dtypes)["score"] == "double" and dict(got.dtypes)["held_out"] == "boolean"
+    beside = quality.score_quality(frame, model, keep=frame.columns, names=("h", "s", "p"))
+    assert beside.columns == [*frame.columns, "h", "s", "p"] and beside.where("score = 'old'").count() == len(rows)
+    assert quality.score_quality(frame.limit(0), quality.fit_quality(frame.limit(0), labels)).collect() == []
+    assert {r.score for r in quality.score_quality(frame, quality.fit_quality(frame, labels.limit(0))).collect()} == {0.5}
+
+
 def test_mixing(spark):
     rows = [(i, prose(i, 10 + i % 7), ["a", "b", "c", None][min(i % 9, 3)]) for i in range(900)] + [(901, None, "zz"), (901, None, "zz")]
     plan = mixing.mix_plan(docs(spark, rows))
