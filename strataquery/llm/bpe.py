@@ -2,7 +2,8 @@
 
 Method: forced-boundary splitting. Where two neighbouring bytes never stand side by side inside any vocabulary token,
 no merge can cross, so the text is cut there for certain; fragments are encoded independently and concatenated.
-Borders of pre-tokens are such cuts too. Equal pre-tokens are encoded once while a bounded table remembers them.
+Borders of pre-tokens are such cuts too. Equal pre-tokens are encoded once while a bounded table remembers them; a hash
+finds the entry, and the characters themselves decide whether it is the same pre-token.
 """
 
 from __future__ import annotations
@@ -259,6 +260,7 @@ class Codec:
         self.where = np.zeros(1 << SLOT_BITS, np.int64)
         self.flat = np.zeros(1 << 16, np.int32)
         self.bounds, self.count = np.zeros(1 << 12, np.int64), 0  # where each known pre-token's ids begin in flat
+        self.chars, self.spans = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)  # its characters, and where they begin
 
     def _normal(self, text: str) -> str:
         if not self.lowers:
@@ -279,6 +281,14 @@ class Codec:
         if number + len(new) >= len(self.bounds):
             self.bounds = np.concatenate([self.bounds, np.zeros(max(len(self.bounds), len(new)), np.int64)])
         self.bounds[number + 1 : number + 1 + len(new)] = used + np.cumsum(sizes)
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        used = int(self.spans[number])
+        if used + len(points) > len(self.chars):
+            self.chars = np.concatenate([self.chars, np.zeros(max(len(self.chars), len(points)), np.uint32)])
+        self.chars[used : used + len(points)] = points
+        if number + len(new) >= len(self.spans):
+            self.spans = np.concatenate([self.spans, np.zeros(max(len(self.spans), len(new)), np.int64)])
+        self.spans[number + 1 : number + 1 + len(new)] = used + np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
         self.count += len(new)
         return number + np.arange(len(new))
 
@@ -308,6 +318,8 @@ class Codec:
             numbers = self._learn([joined[s : s + z] for s, z in zip(starts[at].tolist(), lengths[at].tolist(), strict=True)])
             number[missed] = numbers[back]
             self.keys[slot[at]], self.where[slot[at]] = new, numbers
+        if len(wrong := self._unlike(points, starts, lengths, number)):
+            number[wrong] = self._learn([joined[s : s + z] for s, z in zip(starts[wrong].tolist(), lengths[wrong].tolist(), strict=True)])
         bounds = self.bounds
         first, count = bounds[number], bounds[number + 1] - bounds[number]
         total = int(count.sum())
@@ -317,6 +329,19 @@ class Codec:
         edge = np.searchsorted(starts, np.append(begins, len(points)))
         return ids, upto[edge[1:]] - upto[edge[:-1]]
 
+    def _unlike(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Pre-tokens that are not the known ones they were taken for, character by character: a hash decides nothing."""
+        known = self.spans[number]
+        odd = lengths != self.spans[number + 1] - known
+        sizes = np.where(odd, 0, lengths)
+        total = int(sizes.sum())
+        run = np.cumsum(sizes) - sizes
+        step = np.arange(total)
+        differ = points[step + np.repeat(starts - run, sizes)] != self.chars[step + np.repeat(known - run, sizes)]
+        if differ.any():
+            odd[np.repeat(np.arange(len(sizes)), sizes)[differ]] = True
+        return np.flatnonzero(odd)
+
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in order; null counts as empty."""
         at = 0
