@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import parallelism, range_bounds, table
+from .shared import LOWEST, ranges, table, tidy
 from .textvec import CHUNK_BYTES, Counter, byte_view, chunks, find, finish, words_of
 
 #: Terms count that are in at least this share of the documents (and in two) and at most this share.
@@ -68,7 +68,8 @@ def lexicon(documents: DataFrame, text_col: str = "text", least: float = LEAST_S
 
 
 def fingerprints(texts: pa.Array, terms: np.ndarray) -> np.ndarray:
-    """A row of FAMILIES * LEVELS hashes for each text; 0 where a subset has none of its terms.
+    """A row of FAMILIES * LEVELS hashes of _DIGITS hexadecimal digits for each text, plus 1; 0 where a subset has none of
+    its terms.
 
     A text without any term of the lexicon is hashed by all its distinct terms; a text without terms has zeros.
     """
@@ -86,19 +87,19 @@ def fingerprints(texts: pa.Array, terms: np.ndarray) -> np.ndarray:
                 place, value, who = place[stay], value[stay], who[stay]
             edges = np.searchsorted(who, np.arange(n + 1))
             upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-            sums = finish(upto[edges[1:]] - upto[edges[:-1]], np.diff(edges)) | np.uint64(1)
+            sums = (finish(upto[edges[1:]] - upto[edges[:-1]], np.diff(edges)) >> np.uint64(64 - 4 * _DIGITS)) + np.uint64(1)
             out[:, f, level] = np.where(np.diff(edges) > 0, sums, 0)
     return out.reshape(n, -1)
 
 
 def as_text(rows: np.ndarray) -> list[str]:
     """Hash by hash in _DIGITS hexadecimal digits, `-` for an empty subset."""
-    shift = np.uint64(64 - 4 * _DIGITS)
-    return [".".join([f"{x:0{_DIGITS}x}" if full else _NONE for x, full in zip(short, row != 0, strict=True)]) for short, row in zip((rows >> shift).tolist(), rows, strict=True)]
+    return [".".join([f"{x - 1:0{_DIGITS}x}" if x else _NONE for x in row]) for row in rows.tolist()]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal hashes among the subsets that meet either text; 1 for two texts without terms."""
+    """Share of equal hashes, as the fingerprints show them, among the subsets that meet either text; 1 for two texts
+    without terms."""
     some = (a != 0) | (b != 0)
     n = some.sum(axis=1)
     return np.where(n > 0, ((a == b) & some).sum(axis=1) / np.maximum(n, 1), 1.0)
@@ -114,32 +115,33 @@ def fingerprint_documents(documents: DataFrame, id_col: str = "doc_id", text_col
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The next row is that of the next id, after the last the first; null ids come first, rows of one id follow one another
-    by their texts. A null text is empty; empty texts share one fingerprint. A table of one row is its own next; an empty
+    by the xxhash64 of their texts. A null text is empty; empty texts share one fingerprint. A table of one row is its own next; an empty
     table gives an empty result. Other columns are ignored.
     """
-    spark = documents.sparkSession
-    ready = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    ready = documents.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     terms = lexicon(ready)
-    size, least, nulls = ready.agg(F.sum(F.octet_length("text")), F.min("id"), F.count_if(F.col("id").isNull())).first()
-    bounds = np.array(range_bounds(ready.select("id"), "id", max(parallelism(spark), -(-(size or 0) // TASK_BYTES))), np.int64)
-    lowest = np.iinfo(np.int64).min
-    first = lowest if nulls or least is None else least
+    key = F.struct(F.coalesce("id", F.lit(int(LOWEST))).alias("id"), "tie")
+    size, least = ready.agg(F.sum(F.octet_length("text")), F.min(key)).first()
+    cut = ranges(ready.select("id", "tie"), size or 0, TASK_BYTES)
+    last = len(cut) - 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row to its range; the first of each range, and of all, also as what follows the range before."""
         for batch in batches:
             for part in chunks(batch, 1):
-                keys = part.column(0).fill_null(lowest).to_numpy(zero_copy_only=False)
-                texts = [(t or "").encode() for t in part.column(1).to_pylist()]
+                keys, ties = part.column(0).fill_null(LOWEST).to_numpy(zero_copy_only=False), part.column(2).to_numpy()
+                texts = [t.encode() for t in part.column(1).to_pylist()]
                 packed = [pa.compress(t, "zstd", asbytes=True) for t in texts]
-                range_of = np.searchsorted(bounds, keys, side="right")
+                range_of, begins = cut.of(keys, ties)
                 rows = [(int(p), False, i) for i, p in enumerate(range_of)]
-                rows += [(int(range_of[i]) - 1, True, i) for i in np.flatnonzero(np.isin(keys, bounds))]
-                rows += [(len(bounds), True, i) for i in np.flatnonzero(keys == first)]
+                rows += [(int(range_of[i]) - 1, True, i) for i in np.flatnonzero(begins)]
+                rows += [(last, True, i) for i in np.flatnonzero((keys == least.id) & (ties == least.tie))]
                 p, ahead, at = zip(*rows, strict=True)
+                where = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p, pa.int32()), pa.array(ahead), part.column(0).take(pa.array(at)), pa.array([len(texts[i]) for i in at], pa.int64()), pa.array([packed[i] for i in at], pa.binary())],
-                    names=["part", "ahead", "id", "n", "packed"],
+                    [pa.array(p, pa.int32()), pa.array(ahead), part.column(0).take(where), part.column(2).take(where), pa.array([len(texts[i]) for i in at], pa.int64()), pa.array([packed[i] for i in at], pa.binary())],
+                    names=["part", "ahead", "id", "tie", "n", "packed"],
                 )
 
     def marked(rows: list[tuple[int | None, str]], following: str | None) -> pa.RecordBatch:
@@ -178,9 +180,9 @@ def fingerprint_documents(documents: DataFrame, id_col: str = "doc_id", text_col
         if held:
             yield marked(held, None)
 
-    dealt = ready.mapInArrow(deal, "part int, ahead boolean, id long, n long, packed binary")
-    rows = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("ahead", F.col("id").asc_nulls_first(), "packed").select("ahead", "id", "n", "packed")
-    return rows.mapInArrow(run, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = ready.mapInArrow(tidy(deal), "part int, ahead boolean, id long, tie long, n long, packed binary")
+    rows = dealt.repartitionById(len(cut), "part").sortWithinPartitions("ahead", F.col("id").asc_nulls_first(), "tie", "packed").select("ahead", "id", "n", "packed")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

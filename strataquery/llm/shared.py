@@ -6,7 +6,9 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,19 +64,57 @@ def id_crc(column: str) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0))
 
 
-#: Sampled ids for each bound that range_bounds looks for.
-SAMPLE_PER_PART = 50
+#: Sampled rows for each range that ranges looks for, and the most ranges: a range of more bytes is written in pieces by
+#: its one task, so that neither the driver nor the blocks of the shuffle grow with the table beyond that.
+SAMPLE_PER_PART, MOST_RANGES = 50, 8192
+LOWEST = np.iinfo(np.int64).min
 
 
-def range_bounds(df: DataFrame, id_col: str, parts: int) -> list[int]:
-    """Ascending ids that cut df's rows into about parts even ranges, from a bounded sample chosen by the ids' hash."""
-    n = df.count()
+@dataclass(frozen=True)
+class Ranges:
+    """Rows cut into ranges by (id, tie), ascending; a null id comes first. ids and ties are the least row of each range
+    but the first; at most MOST_RANGES."""
+
+    ids: np.ndarray
+    ties: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ids) + 1
+
+    def of(self, ids: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of each row, and whether the row is the least one of its range's bound."""
+        low, high = np.searchsorted(self.ids, ids, side="left"), np.searchsorted(self.ids, ids, side="right")
+        out, first = high.copy(), np.zeros(len(ids), bool)
+        for i in np.flatnonzero(low < high):  # rows whose id is some bound's
+            own = self.ties[low[i] : high[i]]
+            out[i] = low[i] + np.searchsorted(own, ties[i], side="right")
+            first[i] = out[i] > low[i] and own[out[i] - low[i] - 1] == ties[i]
+        return out, first
+
+
+def ranges(keyed: DataFrame, size: int, bytes_each: int) -> Ranges:
+    """Even ranges of keyed(id, tie) of about bytes_each of size bytes, from a sample chosen by the rows' hash.
+
+    Rows of one id are told apart by tie, so that an id that many rows bear, or null, is cut too; only rows equal in both
+    stay together. The driver gets about SAMPLE_PER_PART rows a range.
+    """
+    spark = keyed.sparkSession
+    parts = min(max(parallelism(spark), -(-size // bytes_each)), MOST_RANGES)
+    n = keyed.count()
+    none = np.zeros(0, np.int64)
     if n == 0 or parts < 2:
-        return []
+        return Ranges(none, none)
     every = max(1, n // (SAMPLE_PER_PART * parts))
-    sample = df.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(F.lit("bounds"), id_col), F.lit(every)) == 0)).select(F.col(id_col).cast("long").alias("id"))
-    ids = sorted(r.id for r in sample.distinct().collect())
-    return sorted({ids[len(ids) * i // parts] for i in range(1, parts)}) if ids else []
+    sample = keyed.where(F.pmod(F.xxhash64(F.lit("bounds"), "id", "tie"), F.lit(every)) == 0)
+    found = sample.select(F.coalesce("id", F.lit(int(LOWEST))).alias("id"), "tie").groupBy("id", "tie").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    ids, ties, times = (found[c].to_numpy() for c in ("id", "tie", "n"))
+    order = np.lexsort((ties, ids))
+    upto = np.cumsum(times[order])
+    if not len(order):
+        return Ranges(none, none)
+    cuts = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts, side="right"))
+    cuts = order[cuts[(cuts > 0) & (cuts < len(order))]]
+    return Ranges(ids[cuts], ties[cuts])
 
 
 def give_back() -> None:

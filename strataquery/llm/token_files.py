@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Codec, library_words, text_parts, vocabulary_path
-from .shared import new_folder, parallelism, range_bounds, table
+from .shared import LOWEST, new_folder, ranges, table, tidy
 
 END_ID, SEQUENCE, BATCH_SEQUENCES = 2, 2048, 128
-#: Bytes of text meant for one shard.
-SHARD_BYTES = 256 << 20
+#: Bytes of text meant for one shard, and ids from which on a shard takes no more documents.
+SHARD_BYTES, SHARD_IDS = 256 << 20, 1 << 28
 
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -35,6 +35,7 @@ class TokenWriter:
     """Writes one shard: documents' ids one after another, cut into sequences; the last is padded and masked."""
 
     def __init__(self, path: str, width: np.dtype, sequence: int = SEQUENCE, batch: int = BATCH_SEQUENCES):
+        self.uri = path
         self.store, self.path = _store(path)
         self.temporary = f"{self.path}.{uuid.uuid4().hex}"
         self.sequence, self.room, self.width = sequence, sequence * batch, np.dtype(width)
@@ -120,17 +121,18 @@ class TokenFile:
             yield self.index.get_batch(i)
 
 
-def write_tokens(documents: DataFrame, folder: str, vocabulary: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE) -> list[dict]:
+def write_tokens(
+    documents: DataFrame, folder: str, vocabulary: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, shard_ids: int = SHARD_IDS
+) -> list[dict]:
     """Encode every whole text, append end_id, write shards to folder in ascending id order; the manifest, a row a shard.
 
     A null text is empty and has the end id alone. Null ids come first, rows of one id lie side by side in the order of
-    their ids' bytes. An empty table writes nothing. The driver holds one small row a shard and nothing of the documents.
+    the xxhash64 of their texts. A shard that grows beyond SHARD_IDS ids is followed by another of the same task. An empty
+    table writes nothing. The driver holds one small row a shard and nothing of the documents.
     """
-    spark = documents.sparkSession
-    ready = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    size = ready.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(parallelism(spark), -(-size // SHARD_BYTES))
-    bounds = np.array(range_bounds(ready.select("id"), "id", parts), np.int64)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    ready = documents.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    cut = ranges(ready.select("id", "tie"), ready.agg(F.sum(F.octet_length("text"))).first()[0] or 0, SHARD_BYTES)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary, library_words)
@@ -138,34 +140,40 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str, end_id: int
         for batch in batches:
             for part, texts in text_parts(batch, 1):
                 ids = [np.concatenate([x, tail]).astype(width) for x in codec.encode(texts)]
-                keys = part.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+                range_of, _ = cut.of(part.column(0).fill_null(LOWEST).to_numpy(zero_copy_only=False), part.column(2).to_numpy())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.searchsorted(bounds, keys, side="right"), pa.int32()), part.column(0),
+                        pa.array(range_of, pa.int32()), part.column(0), part.column(2),
                         pa.array([len(x) for x in ids], pa.int64()), pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True) for x in ids]),
                     ],
-                    names=["part", "id", "n", "packed"],
+                    names=["part", "id", "tie", "n", "packed"],
                 )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, writer = TaskContext.get().partitionId(), None
-        name = f"{folder}/shard-{number:08d}.arrow"
+        task, piece, writer = TaskContext.get().partitionId(), 0, None
         width = _width(Codec.size_of(vocabulary), end_id)
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            return pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "piece": pa.array([piece], pa.int32()), "path": [writer.uri], "n_ids": [writer.total], "n_documents": [writer.documents]})
+
         for batch in batches:
             for key, n, packed in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if writer is not None and writer.total >= shard_ids:
+                    yield closed()
+                    writer, piece = None, piece + 1
                 if writer is None:
-                    writer = TokenWriter(name, width, sequence)
+                    writer = TokenWriter(f"{folder}/shard-{task:08d}-{piece:06d}.arrow", width, sequence)
                 writer.add(key.as_py(), np.frombuffer(pa.decompress(packed.as_buffer(), n.as_py() * width.itemsize, "zstd"), width))
         if writer is not None:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "path": [name], "n_ids": [writer.total], "n_documents": [writer.documents]})
+            yield closed()
 
     store, place = _store(folder)
     store.create_dir(place, recursive=True)
-    encoded = ready.mapInArrow(encode, "part int, id long, n long, packed binary")
-    dealt = encoded.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("id", "packed").select("id", "n", "packed")
-    shards = dealt.mapInArrow(write, "shard int, path string, n_ids long, n_documents long").collect()
-    return [r.asDict() for r in sorted(shards, key=lambda r: r.shard)]
+    encoded = ready.mapInArrow(tidy(encode), "part int, id long, tie long, n long, packed binary")
+    dealt = encoded.repartitionById(len(cut), "part").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie", "packed").select("id", "n", "packed")
+    shards = dealt.mapInArrow(tidy(write), "task int, piece int, path string, n_ids long, n_documents long").collect()
+    return [r.asDict() for r in sorted(shards, key=lambda r: (r.task, r.piece))]
 
 
 def _width(size: int, end_id: int | None) -> np.dtype:
