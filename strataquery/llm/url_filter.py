@@ -38,6 +38,18 @@ class Rule:
         return Rule(verdict, "*.\\" + "\\".join(host), "\\" + "\\".join(path) + STAR if path else STAR, host + path)
 
 
+def rules_of(listed: DataFrame, most: int = 100_000) -> list[Rule]:
+    """Rules of a table verdict, host, path, name, in the order of its column place; globs are allowed in host and path.
+
+    The list goes to every task as masks, so a table of more than most rows is refused with ValueError. A null host or path
+    stands for any, a null name for host and path.
+    """
+    rows = listed.orderBy("place").select("verdict", "host", "path", "name").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return [Rule(r.verdict, STAR if r.host is None else r.host, STAR if r.path is None else r.path, r.name or f"{r.host or STAR}{r.path or STAR}") for r in rows]
+
+
 #: The listed rules of the query: host and its subdomains, path prefix.
 SITE_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Globs that judge what no listed rule fits; all else is allowed. Hosts here have a dot before them.
@@ -116,7 +128,7 @@ class Automaton:
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first :// up to / ? # or the end, A-Z lower-cased. Path: on to ? # or the end. Null, or no ://: both empty."""
-    rest = F.when(F.locate("://", url) > 0, F.expr("substring({0}, locate('://', {0}) + 3)".format("__url")))
+    rest = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3))
     host = F.translate(F.regexp_extract(rest, r"(?s)^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
@@ -127,7 +139,8 @@ def judge_urls(pages: DataFrame, sites: list[Rule], globs: list[Rule], default:
 
     The longest of the sites rules that fit names rule and verdict (of equal lengths, the first listed); if none fits,
     rule is null and the first of globs that fits gives the verdict, else default. A null url, or one without ://, has
-    an empty host and path. Every row of the table has its row in the result, repeated ids and null ids too.
+    an empty host and path. Every row of the table has its row in the result, repeated ids and null ids too; an empty
+    table gives an empty result. Columns are taken by name, others are ignored.
     """
     rules = [*sites, *globs]
     by_length = sorted(range(len(sites)), key=lambda i: (-len(sites[i].name), i))
@@ -150,8 +163,8 @@ def judge_urls(pages: DataFrame, sites: list[Rule], globs: list[Rule], default:
                     [*part.columns, pa.array(names, pa.string()), pa.array(verdicts, pa.string())], names=[id_col, "host", "path", "rule", "verdict"]
                 )
 
-    host, path = host_and_path(F.col("__url"))
-    ready = pages.select(F.col(id_col).cast("long"), F.col(url_col).alias("__url")).select(id_col, host.alias("host"), path.alias("path"))
+    host, path = host_and_path(F.col(url_col))
+    ready = pages.select(F.col(id_col).cast("long").alias(id_col), host.alias("host"), path.alias("path"))
     return ready.mapInArrow(run, f"`{id_col}` long, host string, path string, rule string, verdict string")
 
 
