@@ -32,8 +32,11 @@ REACH = int(SHORT / SIMILARITY + 1e-9)
 #: Most common k-mers of short texts that are put last among a text's k-mers, so that few texts meet in one of them. Which
 #: they are changes no result.
 COMMON = 1 << 16
-#: Rounds in which each bucket compares its members with one of them; texts of a tile when that doesn't settle it.
-ROUNDS, TILE = 3, 1024
+#: Rounds in which each bucket compares its members with one of them; texts of a side of a tile, and shingles of one, when
+#: that doesn't settle it.
+ROUNDS, TILE, TILE_SHINGLES = 3, 512, 1 << 20
+#: Places from which on a shingle's places are kept as the bits of one integer.
+MANY = 64
 _SEEDS = np.random.default_rng(9).integers(1, 2**63, SKETCHES).astype(np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -134,14 +137,19 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     places: dict[int, list[int]] = defaultdict(list)
     for i, h in enumerate(a.tolist()):
         places[h].append(i)
+    # Where a shingle stands often, its places are one integer too, so that repeated text costs no more than other text.
+    masks = {h: sum_of_bits(at, len(a)) for h, at in places.items() if len(at) > MANY}
     size, low, steps, lost = 2 * width + 1, -width, (1 << (2 * width + 1)) - 1, 0
     full, n = steps, len(a)
     for j, h in enumerate(b.tolist()):
         low = j - width
-        hits = 0
-        for i in places.get(h, ()):
-            if low <= i < low + size:
-                hits |= 1 << (i - low)
+        if h in masks:
+            hits = (masks[h] >> low if low >= 0 else masks[h] << -low) & full
+        else:
+            hits = 0
+            for i in places.get(h, ()):
+                if low <= i < low + size:
+                    hits |= 1 << (i - low)
         if hits:
             u = steps & hits
             steps = ((steps + u) | (steps - u)) & full
@@ -151,6 +159,13 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return done + lost + (size - steps.bit_count()) >= need
 
 
+def sum_of_bits(places: list[int], n: int) -> int:
+    """The integer whose bits at places are set, of n bits."""
+    flags = np.zeros(n, np.uint8)
+    flags[places] = 1
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
 def sketch_table(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tid, n, bands, kmers) of every row: tid stands for the whole text, n counts its shingles, bands are its
     sketches, kmers all k-mers of a text of at most REACH shingles (else none)."""
@@ -298,7 +313,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         if used is not None:
             now = now.join(used.withColumnRenamed("hub", "tid"), ["band", "h", "tid"], "left_anti")
         hub = F.max(F.struct("central", "tid", "label", "n")).alias("hub")
-        still = now.groupBy("band", "h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("left"), hub).where("low <> high")
+        still = now.groupBy("band", "h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("left"), F.sum("n").alias("shingles"), hub).where("low <> high")
         still = materialize(still, "still")
         if still.isEmpty():
             break
@@ -329,8 +344,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _settle(now: DataFrame, still: DataFrame, texts: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Compare all members of different classes of the buckets that are left, in tiles of about TILE texts a side."""
-    blocks = still.select("band", "h", F.ceil(F.col("left") / TILE).alias("blocks"))
+    """Compare all members of different classes of the buckets that are left, in tiles of about TILE texts a side, or of
+    fewer where these hold more than TILE_SHINGLES shingles."""
+    blocks = still.select("band", "h", F.greatest(F.ceil(F.col("left") / TILE), F.least(F.ceil(F.col("shingles") / TILE_SHINGLES), "left")).alias("blocks"))
     rows = now.select("band", "h", "tid", "label").join(blocks, ["band", "h"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
