@@ -44,6 +44,13 @@ def test_topk(spark):
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_topk_of_repeated_rows_and_unequal_lengths(spark):
+    rows = [(50, [1.0, 0.0])] * 2 + [(1, [1.0, 0.0])] * 3 + [(2, [0.5, 0.5]), (3, [9.0]), (100, [1.0]), (4, [2.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    of_50 = [(1, 1, 65536), (2, 1, 65536), (3, 1, 65536), (4, 2, 32768)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted([(50, *x) for x in of_50 * 2] + [(100, 1, 3, 589824), (100, 2, 4, 131072)])
+
+
 def test_products_stay_exact():
     big = np.array([[2**40, 3]]), np.array([[2**21, 5], [2**30, 1]])
     assert topk._products(*big).tolist() == [[2**61 + 15, 2**63 - 1]]
@@ -66,6 +73,17 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode_documents(docs(spark, []), bpe.vocabulary_path("word_bpe_49k.json")).collect() == []
 
 
+def test_equal_hashes_never_stand_for_equal_text(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "run_hashes", lambda values, starts: (values[starts] % 3).astype(np.uint64))  # 0 too, of empty slots
+    texts = [prose(i, 30) + " 'll 12" for i in range(40)] + ["", "a", "zebra zebra zebu"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        codec, library = bpe.Codec(bpe.vocabulary_path(name)), Tokenizer.from_file(bpe.vocabulary_path(name))
+        for _ in range(2):
+            assert [x.tolist() for x in codec.encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_cuts_are_certain():
     codec = bpe.Codec(bpe.vocabulary_path("word_bpe_49k.json"))
     model = codec.encode_word.__self__
@@ -91,6 +109,38 @@ def test_token_files(spark):
     assert token_files.write_tokens(docs(spark, []), path + "-none", bpe.vocabulary_path("byte_bpe_50k.json")) == []
 
 
+def test_token_files_of_many_batches_and_pieces(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary_path("byte_bpe_50k.json"))
+    rows = [(i // 3, prose(i, 200), "s") for i in range(150)] + [(None, prose(i, 5), "s") for i in range(50)] + [(7, "same", "s")] * 20
+    path = new_folder(spark, "test-pieces")
+    manifest = token_files.write_tokens(docs(spark, rows), path, bpe.vocabulary_path("byte_bpe_50k.json"), sequence=8, shard_ids=3000)
+    assert len(manifest) > len({x["task"] for x in manifest})
+    got = sorted(token_files.read_tokens(spark, manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((i for i, _, _ in rows), key=lambda i: (i is not None, i or 0))
+    upto = 0
+    for r in got:
+        assert r.start == upto
+        upto += r.n_tokens
+    sums = Counter((i, zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t, _ in rows)
+    assert sums == Counter((r.doc_id, r.ids_crc32) for r in got)
+
+
+def test_ranges_cut_repeated_ids(spark):
+    from strataquery.llm import shared
+
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, i * 7919 % 1009) for i in range(3000)]
+    cut = shared.ranges(spark.createDataFrame(rows, "id long, tie long"), 1000, 50)
+    keys = [(shared.LOWEST if i is None else i, t) for i, t in rows]
+    part, first = cut.of(np.array([k[0] for k in keys]), np.array([k[1] for k in keys]))
+    bounds = list(zip(cut.ids.tolist(), cut.ties.tolist()))
+    assert bounds == sorted(set(bounds)) and len(cut) > 10
+    assert part.tolist() == [sum(b <= k for b in bounds) for k in keys] and first.tolist() == [k in bounds for k in keys]
+    assert np.bincount(part).max() < 600
+    assert len(shared.ranges(spark.createDataFrame([], "id long, tie long"), 1000, 50)) == 1
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -227,7 +277,7 @@ def test_mixing(spark):
 def test_fingerprints(spark):
     rows = [*TEXTS, *((100 + i, prose(i % 30, 120), "s") for i in range(60))]
     got = fingerprint.fingerprint_documents(docs(spark, rows)).collect()
-    order = sorted(((i is not None, i or 0), t or "") for i, t, _ in rows)
+    order = sorted(((i is not None, i or 0), t or "") for i, t, _ in rows)  # rows of one id are equal here
     assert len(got) == len(rows)
     by_text = {}
     for r in got:
@@ -236,7 +286,7 @@ def test_fingerprints(spark):
     assert all(len(v) == 1 for v in by_text.values())
     for r in got:
         k = next(n for n, (key, _) in enumerate(order) if key == ((r.doc_id is not None), r.doc_id or 0))
-        if r.doc_id == 4:
+        if r.doc_id == 4:  # twice; see the test of the order
             continue
         text, following = order[k][1], order[(k + 1) % len(order)][1]
         edited = fingerprint.edited_text(text, following)
@@ -244,6 +294,52 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprint_documents(docs(spark, [])).collect() == []
 
 
+def plain_fingerprints(texts, terms):
+    """The definition, text by text: the hashes of a subset's terms are summed and spread."""
+    one = lambda x, salt: int(fingerprint.finish(np.array([x], np.uint64), salt)[0])
+    out = []
+    for t in texts:
+        raw = fingerprint.byte_view(pa.array([t]))
+        words = {int(h) for h in fingerprint.words_of(*raw).hashes}
+        own = sorted(words & terms or words)
+        line = []
+        for f in range(fingerprint.FAMILIES):
+            for level in range(fingerprint.LEVELS):
+                kept = [h for h in own if one(h ^ int(fingerprint._SEEDS[f, 0]), 1) >> (64 - level) == 0]
+                total = sum(one(h ^ int(fingerprint._SEEDS[f, 1]), 2) for h in kept) % 2**64
+                line.append(f"{one(total, len(kept)):016x}"[:5] if kept else "-")
+        out.append(".".join(line))
+    return out
+
+
+def test_fingerprints_by_definition(spark):
+    rows = [(i, (prose(i, 12 + i % 9) + f" rare{i // 2}") if i % 10 else "", "s") for i in range(80)] + [(90, "Only Here", "s"), (91, None, "s")]
+    got = sorted(fingerprint.fingerprint_documents(docs(spark, rows)).collect(), key=lambda r: r.doc_id)
+    texts = [t or "" for _, t, _ in rows]
+    hashes = [{int(h) for h in fingerprint.words_of(*fingerprint.byte_view(pa.array([t]))).hashes} for t in texts]
+    often = Counter(h for x in hashes for h in x)
+    most = max(0.05 * len(rows), 2)
+    terms = {h for h, n in often.items() if 2 <= n <= most}
+    edited = [fingerprint.edited_text(t, n) for t, n in zip(texts, [*texts[1:], texts[0]])]
+    own, changed = plain_fingerprints(texts, terms), plain_fingerprints(edited, terms)
+    assert [r.fingerprint for r in got] == own and [r.edited_fingerprint for r in got] == changed
+
+    def like(a, b):
+        pairs = [(x, y) for x, y in zip(a.split("."), b.split(".")) if (x, y) != ("-", "-")]
+        return sum(x == y for x, y in pairs) / len(pairs) if pairs else 1.0
+
+    for i, r in enumerate(got):
+        assert r.near_edited == pytest.approx(like(own[i], changed[i])) and r.near_next == pytest.approx(like(own[i], own[(i + 1) % len(own)]))
+
+
+def test_fingerprints_follow_the_documented_order(spark):
+    rows = [(4, prose(i, 30), "s") for i in range(40)] + [(None, prose(i, 9), "s") for i in range(20)] + [(9, "x", "s")]
+    frame = docs(spark, rows)
+    order = [(r.doc_id, r.text) for r in frame.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).select("doc_id", "text").collect()]
+    want = Counter((k, hashlib.sha256(fingerprint.edited_text(t, order[(i + 1) % len(order)][1]).encode()).hexdigest()) for i, (k, t) in enumerate(order))
+    assert Counter((r.doc_id, r.edited_sha256) for r in fingerprint.fingerprint_documents(frame).collect()) == want
+
+
 def lower_tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
 
@@ -333,6 +429,41 @@ def plain_links(texts):
     return out
 
 
+def test_rules_from_a_table_and_odd_tables(spark):
+    listed = spark.createDataFrame([(2, "allow", None, "/x*", None), (1, "block", "*.e.com", None, "e")], "place int, verdict string, host string, path string, name string")
+    rules = url_filter.rules_of(listed)
+    assert rules == [url_filter.Rule("block", "*.e.com", "*", "e"), url_filter.Rule("allow", "*", "/x*", "*/x*")]
+    with pytest.raises(ValueError):
+        url_filter.rules_of(listed, most=1)
+    pages = spark.createDataFrame([(1, "http://a.e.com/x", "h", "p", "r"), (None, "http://b.org/x1", "h", "p", "r")], "page_id long, url string, host string, path string, rule string")
+    found = url_filter.judge_urls(pages, [], rules, default="block").collect()
+    assert sorted((r.host, r.path, r.rule, r.verdict) for r in found) == [("a.e.com", "/x", None, "block"), ("b.org", "/x1", None, "allow")]
+    assert url_filter.judge_urls(pages.limit(0), [], rules).collect() == []
+
+
+def test_aligned_equals_brute_force_on_repetitive_texts():
+    import time
+
+    rng = np.random.default_rng(7)
+    for n in [5, 20, 60, 150, 300] * 8:
+        a = rng.integers(0, rng.choice([1, 2, 3, 50]) + 1, n).astype(np.uint64)
+        b = np.delete(a, rng.integers(0, n, rng.integers(0, max(1, n // 5))))
+        b = np.insert(b, rng.integers(0, len(b) + 1, rng.integers(0, max(1, n // 6))), rng.integers(0, 4))
+        row = [0] * (len(b) + 1)
+        for x in a.tolist():
+            last = 0
+            for k, y in enumerate(b.tolist()):
+                last, row[k + 1] = row[k + 1], max(row[k + 1], row[k], last + 1 if x == y else 0)
+        assert near_dup.aligned(a, b) == (row[-1] >= 0.8 * (len(a) + len(b) - row[-1]))
+    began = time.process_time()
+    same = np.full(16_000, 7, np.uint64)
+    other = same.copy()
+    other[::9] = np.arange(len(other[::9])) + 100
+    near_dup.aligned(same, other)
+    assert near_dup.aligned(np.append(1, same).astype(np.uint64), np.append(same, 2).astype(np.uint64))
+    assert time.process_time() - began < 4
+
+
 def test_near_duplicates(spark, monkeypatch):
     rng = random.Random(3)
     texts = []
