@@ -7,6 +7,7 @@ are trusted, an instance by its best pattern), and patterns of high confidence f
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,31 +27,48 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 CARD_DIGITS, PHONE_DIGITS = (16, 19), (8, 15)
-#: Candidates: runs without blanks that hold a digit or @. Blanks are space and \t-\r.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Candidates: runs without blanks that hold a digit, @ or an at in brackets. Blanks are space and \t-\r.
+CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*(?:[0-9@]|[(\[](?:at|AT)[)\]]))[^\x20\x09-\x0D]++"
+#: The last two words of what stands before a span.
+TWO_WORDS = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$"
 EDGES = r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$"
 #: What an instance of each kind must look like where only its context speaks for it.
-SHAPES = {"email": r"^[^@]+@[^@]+$", "ip": r"^[0-9]{1,3}([.,:][0-9]{1,3}){3}$", "card": r"^[0-9][0-9-]{12,22}$", "phone": r"^[+(]?[0-9][0-9().-]{6,18}$"}
+SHAPES = {"email": r"^[^@]+(?:@|[(\[](?:at|AT)[)\]])[^@]+$", "ip": r"^[0-9]{1,3}([.,:][0-9]{1,3}){3}$", "card": r"^[0-9][0-9-]{12,22}$", "phone": r"^[+(]?[0-9][0-9().-]{6,18}$"}
 #: A pattern needs so many different seeds in as many texts, and this share of trusted instances; rounds of scoring.
 SUPPORT, CONFIDENCE, ROUNDS = 10, 0.9, 3
 _OPEN, _CLOSE, _OTHER = "\x01", "\x02", "\x03"
 _CHUNK = 512
 
 
-def _running(sizes: Column) -> Column:
-    """Sums of all entries before each; in two levels, so that very long arrays stay cheap."""
+def _before(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What join makes of 0 and all entries before each, of an array that is not empty; join is a sum or the like. In two
+    levels, so that very long arrays stay cheap."""
     zero = F.lit(0).cast("long")
     none = F.array().cast("array<long>")
-    sums = lambda part: F.aggregate(part, F.struct(zero.alias("at"), none.alias("all")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _CHUNK).cast("int")), lambda c: sums(F.slice(sizes, c * _CHUNK + 1, _CHUNK)))
+    folded = lambda part: F.aggregate(part, F.struct(zero.alias("at"), none.alias("all")), lambda s, x: F.struct(join(s["at"], x).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _CHUNK).cast("int")), lambda c: folded(F.slice(values, c * _CHUNK + 1, _CHUNK)))
     empty = F.array().cast("array<array<long>>")
     whole = F.aggregate(
         parts, F.struct(zero.alias("at"), empty.alias("all")),
-        lambda s, p: F.struct((s["at"] + p["at"]).alias("at"), F.concat(s["all"], F.array(F.transform(p["all"], lambda x: x + s["at"]))).alias("all")),
+        lambda s, p: F.struct(join(s["at"], p["at"]).alias("at"), F.concat(s["all"], F.array(F.transform(p["all"], lambda x: join(s["at"], x)))).alias("all")),
     )
     return F.flatten(whole["all"])
 
 
+def _clear(candidates: str, spans: list[str]) -> Column:
+    """The candidates that no span overlaps. Candidates lie apart, ascending; both are sorted together once and each looks
+    at the farthest end before it and at its next neighbour."""
+    ends = [F.transform(F.col(c), lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("own"), s["end"].alias("end"))) for c in spans]
+    mine = F.transform(F.col(candidates), lambda c: F.struct(c["start"].alias("start"), F.lit(1).alias("own"), c["end"].alias("end")))
+    every = F.array_sort(F.concat(*ends, mine))
+    reach = _before(F.transform(every, lambda x: F.when(x["own"] == 0, x["end"]).otherwise(F.lit(0).cast("long"))), F.greatest)
+    after = F.slice(F.concat(every, F.slice(every, 1, 1)), F.lit(2), F.size(every))  # the last one's is not looked at: it begins before
+    near = F.zip_with(F.zip_with(every, reach, lambda x, r: F.struct(x.alias("x"), r.alias("reach"))), after, lambda x, a: F.struct(x["x"]["own"].alias("own"), ((x["reach"] > x["x"]["start"]) | ((a["own"] == 0) & (a["start"] >= x["x"]["start"]) & (a["start"] < x["x"]["end"]))).alias("met")))
+    met = F.filter(near, lambda x: x["own"] == 1)
+    kept = F.filter(F.zip_with(F.col(candidates), met, lambda c, m: F.struct(c.alias("c"), m["met"].alias("met"))), lambda x: ~x["met"])
+    return F.when(F.size(candidates) == 0, F.col(candidates)).otherwise(F.transform(kept, lambda x: x["c"]))
+
+
 def _marked(text: Column, pattern: str, needs: str = "") -> Column:
     """The text cut before each match; each later piece is a match, a mark and what follows."""
     pieces = F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN, -1)
@@ -66,7 +84,7 @@ def _spans(pieces: Column, starts: Column) -> Column:
         start = F.get(starts, i)
         return F.struct(
             start.alias("start"), (start + size).alias("end"), F.substring(piece, F.lit(1), size).alias("match"),
-            F.substring(F.substring_index(before, _CLOSE, -1), -80, 80).alias("left"), F.substring(F.substring_index(piece, _CLOSE, -1), 1, 80).alias("right"),
+            F.substring_index(before, _CLOSE, -1).alias("left"), F.substring_index(piece, _CLOSE, -1).alias("right"),
         )
 
     return F.when(F.size(pieces) > 1, F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), one)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,match:string,left:string,right:string>>"))
@@ -111,7 +129,7 @@ def _place(kind: str | None, span: Column) -> Column:
 
 def _contexts(left: Column, right: Column) -> Column:
     """The lexical patterns of a place: the two words before it, and the words on both sides."""
-    before = F.lower(F.regexp_extract(left, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 0))
+    before = F.lower(F.regexp_extract(left, TWO_WORDS, 0))
     words = F.split(F.trim(F.regexp_replace(before, r"[\x20\x09-\x0D]+", " ")), " ")
     after = F.lower(F.regexp_extract(right, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1))
     two = F.when(F.size(words) == 2, F.concat(F.lit("< "), F.array_join(words, " ")))
@@ -128,14 +146,13 @@ def base_spans(documents: DataFrame, text_col: str = "text") -> DataFrame:
     starts = {}
     for k in sources:
         sizes = F.transform(F.col(f"__{k}_pieces"), lambda piece, i: (F.length(piece) - F.when(i > 0, 1).otherwise(0)).cast("long"))
-        starts[f"__{k}_starts"] = _running(sizes)
+        starts[f"__{k}_starts"] = _before(sizes, lambda a, b: a + b)
     out = out.withColumns(starts)
     out = out.withColumns({f"__{k}": _spans(F.col(f"__{k}_pieces"), F.col(f"__{k}_starts")) for k in sources})
     # Entry i of the running sums is the size of all pieces before piece i, which is where its match begins.
     kept = {f"__{k}": F.filter(F.col(f"__{k}"), partial(_sound, k)) for k in KINDS}
     out = out.withColumns(kept).drop(*(f"__{k}_{x}" for k in sources for x in ("pieces", "starts")))
-    clear = lambda c: reduce(lambda a, k: a & ~F.exists(F.col(f"__{k}"), lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])), KINDS, F.lit(True))
-    return out.withColumn("__candidate", F.filter("__candidate", clear))
+    return out.withColumn("__candidate", _clear("__candidate", [f"__{k}" for k in KINDS]))
 
 
 def _listed(spans: Column) -> Column:
@@ -210,20 +227,23 @@ def mask_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spans = spans.groupBy(F.coalesce("id", F.lit(0)).alias("__id"), F.col("text_key").alias("__key")).agg(F.first("spans").alias("__spans"))
     keyed = documents.withColumn("__row_id", F.coalesce(F.col(id_col).cast("long"), F.lit(0))).withColumn("__row_key", F.xxhash64(F.col(text_col)))
     joined = keyed.join(spans, (F.col("__row_id") == F.col("__id")) & (F.col("__row_key") == F.col("__key")), "left")
-    text = F.col(text_col)
+    text, found = F.col(text_col), F.col("__spans").isNotNull()
     ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        new = F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"))
-        inside = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
-        return F.when(s["start"] >= state["at"], new).otherwise(inside)
-
-    walked = F.aggregate(ordered, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")), step)
-    done = joined.withColumn("__walked", F.when(F.col("__spans").isNotNull(), walked))
-    rest = F.substring(text, (F.col("__walked.at") + 1).cast("int"), F.length(text))
-    masked = F.when(F.col("__spans").isNull(), text).otherwise(F.concat(F.array_join("__walked.out", ""), rest))
-    return done.withColumn(text_col, masked).select(*documents.columns)
+    # A span that begins before the farthest end so far lies in a place that is masked already.
+    joined = joined.withColumn("__ordered", F.when(found, ordered)).withColumn("__points", F.when(found, F.encode(text, "UTF-32")))
+    reach = _before(F.transform("__ordered", lambda s: s["end"]), F.greatest)
+    heads = F.filter(F.zip_with("__ordered", reach, lambda s, r: F.struct(s.alias("s"), r.alias("reach"))), lambda x: x["s"]["start"] >= x["reach"])
+
+    def piece(begin: Column, end: Column) -> Column:
+        """The characters from begin to before end, at fixed width, so that no piece is looked for from the text's begin. The
+        mark before them is what a decoder takes away."""
+        raw = F.substring(F.col("__points"), (begin * 4 + 1).cast("int"), ((end - begin) * 4).cast("int"))
+        return F.decode(F.concat(F.unhex(F.lit("0000FEFF")), raw), "UTF-32")
+
+    parts = F.transform(heads, lambda x: F.concat(piece(x["reach"], x["s"]["start"]), F.lit("["), F.upper(x["s"]["kind"]), F.lit("]")))
+    rest = piece(F.array_max(F.transform("__ordered", lambda s: s["end"])), F.octet_length("__points") / 4)
+    masked = F.when(found, F.concat(F.array_join(parts, ""), rest)).otherwise(text)
+    return joined.withColumn(text_col, masked).select(*documents.columns)
 
 
 def _is_kind(kind: str, span: Column) -> Column:

@@ -189,6 +189,45 @@ def test_pii_patterns_need_seeds_of_many_texts(spark):
         assert [[(s.kind, s.start, s.end) for s in r.added] for r in rows if r.id == len(lists)] == [[("email", 19, 33)] if trusted else []]
 
 
+def test_pii_masks_as_brute_force_does(spark):
+    rng = random.Random(9)
+    parts = ["a@b.co", "1.2.3.4", "+49 30 1234567", "4111 1111 1111 1111", "+4111111111111111", "x", "é😀", "\ufeff", " ", "@", "9"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(300)] + ["\ufeffa@b.co\ufeff", None]
+
+    def plain(text):
+        spans, out, at = sorted((b, e, k) for k, b, e in plain_spans(text)), "", 0
+        for b, e, kind in spans:
+            if b >= at:
+                out += text[at:b] + f"[{kind.upper()}]"
+            at = max(at, e)
+        return out + text[at:]
+
+    got = {r.doc_id: r.text for r in pii.mask_pii(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert all(got[i] == (None if t is None else plain(t)) for i, t in enumerate(texts))
+
+
+def test_pii_of_texts_rich_in_spans(spark):
+    import time
+
+    seconds = []
+    for n in (4000, 16_000):
+        text = " ".join(f"user{i}@mail.example.com id{i}" for i in range(n))
+        frame = docs(spark, [(1, text, "s")])
+        began = time.time()
+        row = pii.find_pii(frame).first()
+        masked = pii.mask_pii(frame).first().text
+        seconds.append(time.time() - began)
+        assert len(row.base) == n and masked == " ".join(f"[EMAIL] id{i}" for i in range(n))
+    assert seconds[1] < 8 * seconds[0] + 5
+
+
+def test_pii_patterns_beside_long_words_and_hidden_addresses(spark):
+    long = "w" * 300
+    texts = [f"{long} {long} user{i}@mail.example.com today" for i in range(12)] + [f"{long} {long} root(at)mail.example.org today", f"{long} x root(at)mail.example.org"]
+    rows = {r.id: r for r in pii.find_pii(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [(s.kind, s.start, s.end) for s in rows[12].added] == [("email", 602, 602 + len("root(at)mail.example.org"))] and rows[13].added == []
+
+
 def test_quality(spark):
     junk = lambda i: " | ".join(prose(i, 30).upper().split()) + "!!"
     rows = [(i, junk(i) if i % 4 == 0 else prose(i, 60), "s") for i in range(400)] + [(1000, None, "s"), (1001, "", "s")]
