@@ -13,6 +13,14 @@ from ..sources.python_code import relation
 #: Relations that hold where a predicate is false.
 FLIPPED = {"==": "!=", "!=": "==", "is": "is not", "is not": "is", "isinstance": "not_isinstance", "not_isinstance": "isinstance"}
 PLACE = ["path", "line", "column"]
+#: Statements that open a branch.
+BRANCHES = ("if", "for", "while", "try", "except", "match", "case")
+
+
+def capped(rows: DataFrame, order: list[str], limit: int) -> DataFrame:
+    """The first limit rows with the count of all and whether any were left out."""
+    total = rows.agg(F.count(F.lit(1)).alias("edge_count"))
+    return rows.orderBy(*order).limit(limit).crossJoin(F.broadcast(total)).withColumn("edges_truncated", F.col("edge_count") > limit)
 
 
 def words_of(term: str) -> list[str]:
@@ -103,8 +111,15 @@ def discriminations(x: DataFrame, term: str) -> DataFrame:
     return found.select(*PLACE, "kind", "operator", "member", "expression").orderBy(*PLACE, "kind")
 
 
-def tests(x: DataFrame, term: str) -> DataFrame:
-    return relation(x, "tests").where(F.col("symbol") == term).groupBy("path", "test", "evidence").agg(F.min("line").alias("line"), F.min("column").alias("column")).orderBy(*PLACE, "evidence")
+def tests(x: DataFrame, symbols: list[str]) -> DataFrame:
+    """Test functions that use a symbol, where they stand, and each use with how the symbol is bound there."""
+    used = F.sort_array(F.collect_list(F.struct("line", "column", F.col("evidence").alias("kind"), "name", "expression"))).alias("evidence")
+    found = relation(x, "tests").where(F.col("symbol").isin(symbols)).groupBy("symbol", "path", "test", "test_line", "test_column", "test_kind").agg(used)
+    return found.select("symbol", "path", F.col("test_line").alias("line"), F.col("test_column").alias("column"), F.col("test").alias("qualified_name"), F.col("test_kind").alias("kind"), "evidence").orderBy("symbol", *PLACE, "kind")
+
+
+def matching_imports(x: DataFrame, symbol: str) -> DataFrame:
+    return relation(x, "symbol_imports").where(F.col("symbol") == symbol).withColumnRenamed("symbol", "imported_name").orderBy(*PLACE, "module", "relative_level", "local_name")
 
 
 def neighborhood(x: DataFrame, term: str) -> DataFrame:
@@ -265,10 +280,16 @@ def profiles(x: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     key = ["path", "qualified_name"]
     rank = Window.partitionBy("at", "kind").orderBy("line", "column", "text")
     near = relation(x, "sites").join(F.broadcast(targets.select("at", *key)), key).withColumn("__n", F.row_number().over(rank))
-    listed = F.sort_array(F.collect_list(F.when(F.col("__n") <= most, F.struct("kind", "line", "column", "text")))).alias("sites")
-    sites = near.groupBy("at").agg(listed, (F.max("__n") > most).alias("sites_truncated"))
+    fields = ("line", "column", "text", "end_line", "end_column", "generator_count", "filter_count", "conditional_result", "nested_comprehension")
+    listed = F.sort_array(F.collect_list(F.when(F.col("__n") <= most, F.struct(*fields)))).alias("sites")
+    of_kind = near.groupBy("at", "kind").agg(F.count(F.lit(1)).alias("site_count"), listed).withColumn("truncated", F.col("site_count") > most)
+    sites = of_kind.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("kind", "site_count", "truncated", "sites"))).alias("sites"))
     counts = relation(x, "measures").groupBy(*key, "line", "column").agg(F.sort_array(F.collect_list(F.struct("measure", "count", "diagnostic"))).alias("measures"))
-    wanted = targets.join(relation(x, "functions").join(counts, [*key, "line", "column"], "left"), key, "left")
+    typed = relation(x, "density").select("path", F.col("name").alias("qualified_name"), "line", "column", "primitive_count", "specialized_count")
+    own = relation(x, "functions").join(counts, [*key, "line", "column"], "left").join(typed, [*key, "line", "column"], "left").na.fill(0, ["primitive_count", "specialized_count"])
+    total = F.col("primitive_count") + F.col("specialized_count")
+    own = own.withColumn("total_count", total).withColumn("primitive_ratio", F.try_divide("primitive_count", total))
+    wanted = targets.join(own, key, "left")
     wanted = wanted.withColumn("matches", F.count("line").over(Window.partitionBy("at"))).dropDuplicates(["at"])
     wanted = wanted.join(x.select("path", F.col("parse_status").alias("file_status")), "path", "left").join(sites, "at", "left")
     status = F.when(F.col("file_status").isin("syntax_error", "unreadable"), "unavailable").when(F.col("matches") == 0, "not_found").when(F.col("matches") > 1, "ambiguous").otherwise("found")

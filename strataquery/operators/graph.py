@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpointed
 
 #: Edges beyond which centrality is refused: its work is nodes times edges, and every task holds the edges.
 MAX_EDGES = 1_000_000
+#: How the numbers of a summary are made.
+FORMULAS = {
+    "average_degree": "sum(degrees) / node_count", "average_edge_weight": "sum(edge_weights) / edge_count", "bridge_score": "sum(edge_betweenness) / node_degree",
+    "bridge_edge_ratio": "bridge_edge_count / edge_count", "cross_community_edge_ratio": "cross_community_edge_count / edge_count",
+}
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -45,9 +50,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def community_ids(labels: DataFrame) -> DataFrame:
-    """node, community: components numbered by their smallest node, with the size of each. Numbering looks at one row per component."""
+    """node, community: components numbered by their smallest node, with the size of each. One window looks at a row a range."""
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    ranks = sizes.selectExpr("label", "size", "cast(row_number() over (order by label) - 1 as long) as community")
+    # numbered range by range: each range's own places, plus how many components stand in the ranges before it
+    ranged = sizes.repartitionByRange("label").sortWithinPartitions("label").withColumn("__at", F.monotonically_increasing_id())
+    ranged = checkpointed(ranged.withColumn("__part", F.shiftright("__at", 33)).withColumn("__own", F.col("__at").bitwiseAND((1 << 33) - 1)))
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranks = ranged.join(F.broadcast(before.select("__part", "__before")), "__part").select("label", "size", (F.col("__own") + F.col("__before")).alias("community"))
     return labels.join(ranks, "label").select("node", "community", "size")
 
 
@@ -145,17 +155,20 @@ def node_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def summary(nodes: DataFrame, edges: DataFrame) -> dict:
-    """The numbers of the whole graph. Communities are its components, so no edge crosses them."""
+    """The numbers of the whole graph, and DataFrames of its communities. Communities are its components, so no edge
+    crosses them."""
     simple = simple_edges(edges)
     e = simple.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("weight"), F.lit(0.0)).cast("double").alias("w")).first()
     n = all_nodes(nodes, edges).count()
     labels = components(nodes, edges)
-    sizes = [r.size for r in community_ids(labels).groupBy("community").agg(F.max("size").alias("size")).orderBy("community").collect()]
+    ids = community_ids(labels)
+    sizes = ids.groupBy("community").agg(F.max("size").alias("size"))
     cross = simple.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb").count()
     bridges = len(bridge_edges(collected_edges(edges)))
     per = lambda x, of: round(x / of, 2) if of else 0.0
     return {
         "node_count": n, "edge_count": e.n, "total_edge_weight": e.w, "average_degree": per(2 * e.n, n), "average_edge_weight": per(e.w, e.n),
-        "community_method": "connected_components", "component_count": len(sizes), "component_sizes": sizes, "cross_community_edge_count": cross,
+        "community_method": "connected_components", "community_ids": ids.select("node", "community").orderBy("node"), "component_count": sizes.count(),
+        "component_sizes": sizes.orderBy("community"), "formulas": FORMULAS, "cross_community_edge_count": cross,
         "cross_community_edge_ratio": per(cross, e.n), "bridge_edge_count": bridges, "bridge_edge_ratio": per(bridges, e.n),
     }

@@ -1,11 +1,15 @@
 """History operators: DataFrames of commits and file changes in, reports out.
 
-commits: commit, ts, author, subject. changes: commit, ts, path, additions, deletions.
+commits: seq, commit, ts, author_name, author_email, subject. changes: commit, ts, path, additions, deletions, and where
+an order is asked for commit_seq.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Conventional-commit prefixes and the categories they stand for.
@@ -16,14 +20,6 @@ CATEGORIES = {
 CONVENTIONAL = r"^([A-Za-z]+)(\([^)]*\))?!?:\s"
 
 
-def bounded(commits: DataFrame, limit: int) -> DataFrame:
-    """The newest limit commits, and whether there were more: one row too many is fetched to tell."""
-    newest = commits.orderBy(F.col("ts").desc(), F.col("commit").desc()).limit(limit + 1)
-    place = F.row_number().over(Window.orderBy(F.col("ts").desc(), F.col("commit").desc()))
-    marked = newest.withColumn("seq", (place - 1).cast("long"))
-    return marked.withColumn("truncated", F.max("seq").over(Window.partitionBy(F.lit(1))) >= limit).where(F.col("seq") < limit)
-
-
 def hotspots(changes: DataFrame) -> DataFrame:
     """Per path: different commits, additions, deletions, churn, churn per commit."""
     per_path = changes.groupBy("path").agg(
@@ -33,14 +29,6 @@ def hotspots(changes: DataFrame) -> DataFrame:
     return per_path.withColumn("changed_lines", churn).withColumn("average_churn", churn / F.col("commit_count"))
 
 
-def recent_commits(changes: DataFrame, k: int) -> DataFrame:
-    """Each path's k newest commits, newest first, as one string."""
-    newest = Window.partitionBy("path").orderBy(F.col("ts").desc(), F.col("commit").desc())
-    ranked = changes.select("path", "commit", "ts").distinct().withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= k)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("rn", "commit"))), lambda x: x["commit"].cast("string"))
-    return ranked.groupBy("path").agg(F.array_join(listed, ",").alias("recent_commits"))
-
-
 def weekly(commits: DataFrame) -> DataFrame:
     """Commits of each week from Monday on, weeks without any included."""
     weeks = commits.groupBy(F.to_date(F.date_trunc("week", "ts")).alias("week_start")).agg(F.count(F.lit(1)).alias("commit_count"))
@@ -58,7 +46,15 @@ def categories(commits: DataFrame, known: dict[str, str] = CATEGORIES) -> DataFr
 
 
 def ownership(commits: DataFrame) -> DataFrame:
-    return commits.groupBy("author").agg(F.count(F.lit(1)).alias("commit_count"), F.min("commit").alias("first_commit"), F.max("commit").alias("last_commit"))
+    """Commits of each author, newest first: commits(seq, commit, author_name, author_email)."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", "commit"))), lambda x: x["commit"]).alias("commits")
+    return commits.groupBy("author_name", "author_email").agg(F.count(F.lit(1)).alias("commit_count"), listed)
+
+
+def commit_lists(changes: DataFrame) -> DataFrame:
+    """Each path's different commits, newest first: changes(commit_seq, commit, path)."""
+    listed = F.transform(F.array_sort(F.collect_set(F.struct("commit_seq", "commit"))), lambda x: x["commit"])
+    return changes.groupBy("path").agg(listed.alias("commits"))
 
 
 def inverse_pairs(n: Column) -> Column:
@@ -66,26 +62,53 @@ def inverse_pairs(n: Column) -> Column:
     return F.lit(2.0) / (n * (n - 1))
 
 
-def cochange(changes: DataFrame, weight=inverse_pairs, focus: Column | None = None) -> DataFrame:
-    """Affinity of path pairs: the sum of the weights of the commits that change both.
+@dataclass(frozen=True)
+class Weighting:
+    """What a pair of an N-file commit weighs, as a Column of N, with its description. A weight that is not positive and
+    finite ends the query with an error."""
+
+    weight: Callable[[Column], Column]
+    formula: str
+    pair_count_formula: str
+    per_pair_formula: str
+    invariant: str
 
-    focus keeps the pairs that hold for it, on columns `left_path` and `right_path`. Commits of one path have no pair.
+    def of(self, n: Column) -> Column:
+        w = self.weight(n)
+        sound = w.isNotNull() & ~F.isnan(w) & (w > 0) & (w < float("inf"))
+        return F.when(sound, w).otherwise(F.raise_error(F.concat(F.lit("weight must be positive and finite: "), F.coalesce(w.cast("string"), F.lit("null")))))
+
+    def told(self) -> dict[str, str]:
+        return {k: v for k, v in vars(self).items() if k != "weight"}
+
+
+#: The description of the default.
+EVEN = Weighting(inverse_pairs, "1/C(N,2)", "N*(N-1)/2", "2/(N*(N-1))", "each_eligible_commit_contributes_one_total_pair_affinity_mass")
+
+
+def cochange(changes: DataFrame, weighting: Weighting = EVEN, focus: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Affinity of path pairs: the sum of the weights of the commits that change both, with these commits, newest first
+    where changes has commit_seq.
+
+    focus keeps the pairs for which it holds of the left and the right path. Commits of one path have no pair. A commit's
+    paths are gathered once, by one shuffle, and its pairs are made where they are; a commit of N paths makes N(N-1)/2
+    rows, which is the report's own size, but never more than N of them at a time.
     """
-    paths = changes.select("commit", "path").distinct()
-    sizes = paths.groupBy("commit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = paths.join(sizes, "commit")
-    left = sized.select("commit", F.col("path").alias("left_path"), "n")
-    right = sized.select("commit", F.col("path").alias("right_path"))
-    pairs = left.join(right, "commit").where("left_path < right_path")
+    seq = F.col("commit_seq") if "commit_seq" in changes.columns else F.lit(0)
+    commits = changes.groupBy("commit").agg(F.array_sort(F.collect_set("path")).alias("paths"), F.min(seq).alias("seq")).withColumn("n", F.size("paths")).where("n > 1")
+    lefts = commits.select("commit", "seq", "n", "paths", F.posexplode("paths").alias("at", "left_path"))
+    pairs = lefts.select("commit", "seq", "n", "left_path", F.explode(F.slice("paths", F.col("at") + 2, F.col("n"))).alias("right_path"))
     if focus is not None:
-        pairs = pairs.where(focus)
-    return pairs.groupBy("left_path", "right_path").agg(F.round(F.sum(weight(F.col("n").cast("double"))), 6).alias("score"), F.count(F.lit(1)).alias("commit_count"))
+        pairs = pairs.where(focus(F.col("left_path"), F.col("right_path")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", "commit"))), lambda x: x["commit"])
+    scored = pairs.withColumn("weight", weighting.of(F.col("n").cast("double")))
+    return scored.groupBy("left_path", "right_path").agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("commit_count"), listed.alias("contributing_commits"))
 
 
 def scoped_cochange(changes: DataFrame, path) -> DataFrame:
-    """cochange of the pairs that hold path; only commits that change it meet in the self-join."""
+    """cochange of the pairs that hold path; only commits that change it are looked at."""
     own = changes.where(F.col("path") == path).select("commit").distinct()
-    return cochange(changes.join(own, "commit", "left_semi"), focus=(F.col("left_path") == path) | (F.col("right_path") == path))
+    return cochange(changes.join(own, "commit", "left_semi"), focus=lambda left, right: (left == path) | (right == path))
 
 
 def pair_cochange(changes: DataFrame, a, b) -> DataFrame:
@@ -101,10 +124,3 @@ def eligibility(changes: DataFrame) -> DataFrame:
     """How many commits can and can't have pairs."""
     n = changes.groupBy("commit").agg(F.countDistinct("path").alias("n"))
     return n.agg(F.count_if(F.col("n") > 1).alias("eligible"), F.count_if(F.col("n") <= 1).alias("excluded"))
-
-
-def first_parents(steps: DataFrame, topic: int, depth: int) -> DataFrame:
-    """The chain of parents from each chain's newest commit of the topic on: steps(chain, seq), parent is seq - 1."""
-    own = steps.where(F.col("chain") == topic)
-    top = own.agg(F.max("seq").alias("top"))
-    return own.crossJoin(F.broadcast(top)).select("chain", "seq", (F.col("top") - F.col("seq")).alias("depth"), F.when(F.col("seq") > 0, F.col("seq") - 1).alias("parent")).where(F.col("depth") < depth)

@@ -17,6 +17,8 @@ SCHEMA = (
     "commit string, seq long, path string, old_start long, old_count long, new_start long, new_count long, lines array<string>,"
     " normalized_body string, fingerprint string, hunk_id string"
 )
+#: The words for git's letters.
+MOVES = {"A": "added", "D": "deleted", "M": "modified", "R": "rename", "C": "copy"}
 #: Kept lines of a patch's body besides + - and context.
 NO_NEWLINE = "\\ No newline at end of file"
 
@@ -78,11 +80,15 @@ def match(topic: DataFrame, prior: DataFrame) -> DataFrame:
     ranges = pairs("path").withColumn("overlap", end - F.greatest("ts", "ps")).where("overlap > 0")
     ranges = ranges.select(*ids, F.lit(2).alias("rank"), F.lit("range_overlap").alias("method"), "overlap", none.alias("shared_context"))
     t, p = (context(side).select(F.col("commit").alias(f"{name}_commit"), F.col("seq").alias(f"{name}_seq"), "line") for side, name in ((topic, "topic"), (prior, "prior")))
-    shared = t.join(p, "line").groupBy(*ids).agg(F.sort_array(F.collect_list("line")).alias("shared_context"))
-    shared = shared.select(*ids, F.lit(3).alias("rank"), F.lit("context_overlap").alias("method"), F.size("shared_context").cast("long").alias("overlap"), "shared_context")
     best = Window.partitionBy(*ids).orderBy("rank")
-    every = exact.unionByName(ranges).unionByName(shared)
-    return every.withColumn("__n", F.row_number().over(best)).where("__n = 1").select(*ids, "method", "overlap", "shared_context")
+    nearer = exact.unionByName(ranges).withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n", "rank")
+    # a line that stands in many hunks is one row a side until the hunks meet; what nearer methods matched is left out before
+    # lines are gathered
+    t, p = (side.groupBy("line").agg(F.collect_list(F.struct(f"{name}_commit", f"{name}_seq")).alias(name)) for side, name in ((t, "topic"), (p, "prior")))
+    met = t.join(p, "line").select("line", F.explode("topic").alias("topic"), "prior").select("line", "topic.*", F.explode("prior").alias("prior")).select("line", "topic_commit", "topic_seq", "prior.*")
+    shared = met.join(nearer.select(*ids), ids, "left_anti").groupBy(*ids).agg(F.sort_array(F.collect_list("line")).alias("shared_context"))
+    shared = shared.select(*ids, F.lit("context_overlap").alias("method"), F.size("shared_context").cast("long").alias("overlap"), "shared_context")
+    return nearer.select(*ids, "method", "overlap", "shared_context").unionByName(shared)
 
 
 def unmatched(topic: DataFrame, matches: DataFrame) -> DataFrame:
@@ -91,6 +97,14 @@ def unmatched(topic: DataFrame, matches: DataFrame) -> DataFrame:
     return ids.join(matches, ["topic_commit", "topic_seq"], "left_anti").select("*", F.lit("no_match").alias("method"), F.lit("unmatched").alias("status"))
 
 
+def path_status(changes: DataFrame) -> DataFrame:
+    """name_status rows with the word for what became of the path."""
+    words = F.create_map(*(F.lit(v) for pair in MOVES.items() for v in pair))
+    moved = F.coalesce(F.try_element_at(words, F.col("status")), F.lit("path_transition"))
+    stayed = F.coalesce(F.try_element_at(words, F.col("status")), F.lit("discontinuity"))
+    return changes.withColumn("status", F.when(F.col("previous_path").isNotNull(), moved).otherwise(stayed))
+
+
 def added_branches(found: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
     """Added lines that open a branch, with their number in the new file: commit, path, line, keyword, text."""
     new = F.filter("lines", lambda x: x.startswith("+") | x.startswith(" "))

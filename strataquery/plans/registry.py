@@ -1,4 +1,4 @@
-"""All queries of the evidence operators over the driver's tables, with SQL that must give the same rows."""
+"""The operators of history, graph and code over the driver's tables, with SQL that must give the same rows."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence as ev
+from ..operators import code
 from ..operators import graph as gr
 from ..operators import history as hi
 
@@ -40,24 +40,11 @@ class Tables:
         return lines.join(orders, "commit")
 
     def order_commits(self) -> DataFrame:
-        return self.orders.select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("ts"), F.col("o_custkey").alias("author"))
+        return self.orders.select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("ts"))
 
     def event_commits(self) -> DataFrame:
         subject = F.concat(F.when(F.col("event_type") == "error", "fix").when(F.col("event_type") == "signup", "feat").otherwise(F.col("event_type")), F.lit("(k): "), F.col("props"))
-        return self.events.select(F.col("event_id").alias("commit"), "ts", F.col("user_id").alias("author"), subject.alias("subject"))
-
-    def names(self) -> DataFrame:
-        return self.part.select(F.col("p_brand").alias("path"), F.col("p_name").alias("name"))
-
-    def lines(self) -> DataFrame:
-        pieces = self.documents.select(F.col("doc_id").alias("id"), F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "text"))
-        return pieces.select("id", (F.col("at") + 1).cast("long").alias("line"), "text")
-
-    def bodies(self) -> DataFrame:
-        return self.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-
-    def operations(self) -> DataFrame:
-        return self.events.select(F.to_date("ts").cast("string").alias("path"), F.col("user_id").alias("scope"), F.col("event_type").alias("field"), F.col("event_id").alias("seq"))
+        return self.events.select(F.col("event_id").alias("commit"), "ts", subject.alias("subject"))
 
 
 _CHANGES = "changes as (select l_orderkey as commit, o_orderdate as ts, l_suppkey as path, cast(l_quantity as bigint) as additions, cast(l_linenumber as bigint) as deletions from lineitem join orders on l_orderkey = o_orderkey)"
@@ -68,20 +55,25 @@ _FOCUS = 7
 _PAIR = (3, 11)
 
 
+def rounded(pairs: DataFrame) -> DataFrame:
+    """Sums of doubles depend on their order, so that they are compared to six places."""
+    return pairs.select("left_path", "right_path", F.round("score", 6).alias("score"), "commit_count")
+
+
 @query("cochange_global", f"{_PAIRS} {_SCORES} group by all")
 def cochange_global(spark, sf_dir):
-    return hi.cochange(Tables(spark, sf_dir).changes())
+    return rounded(hi.cochange(Tables(spark, sf_dir).changes()))
 
 
 @query("cochange_file", f"{_PAIRS} {_SCORES} where left_path = {_FOCUS} or right_path = {_FOCUS} group by all")
 def cochange_file(spark, sf_dir):
-    return hi.scoped_cochange(Tables(spark, sf_dir).changes(), _FOCUS)
+    return rounded(hi.scoped_cochange(Tables(spark, sf_dir).changes(), _FOCUS))
 
 
 @query("cochange_pair", f"""{_PAIRS} select {_PAIR[0]}::bigint as left_path, {_PAIR[1]}::bigint as right_path,
  coalesce(round(sum(2.0::double / (n::double * (n::double - 1))), 6), 0.0::double) as score, count(*) as commit_count from pairs where left_path = {_PAIR[0]} and right_path = {_PAIR[1]}""")
 def cochange_pair(spark, sf_dir):
-    return hi.pair_cochange(Tables(spark, sf_dir).changes(), *_PAIR)
+    return rounded(hi.pair_cochange(Tables(spark, sf_dir).changes(), *_PAIR))
 
 
 @query("cochange_eligibility", f"with {_CHANGES}, n as (select commit, count(distinct path) as n from changes group by commit) select count(*) filter (n > 1) as eligible, count(*) filter (n <= 1) as excluded from n")
@@ -95,17 +87,6 @@ def hotspots(spark, sf_dir):
     return hi.hotspots(Tables(spark, sf_dir).changes())
 
 
-@query("snapshot_recent", f"""with {_CHANGES}, d as (select distinct path, commit, ts from changes), r as (select *, row_number() over (partition by path order by ts desc, commit desc) as rn from d)
- select path, string_agg(cast(commit as varchar), ',' order by rn) as recent_commits from r where rn <= 5 group by path""")
-def snapshot_recent(spark, sf_dir):
-    return hi.recent_commits(Tables(spark, sf_dir).changes(), 5)
-
-
-@query("history_window", "select o_orderkey as commit, o_orderdate as ts, o_custkey as author, row_number() over (order by o_orderdate desc, o_orderkey desc) - 1 as seq, (select count(*) > 100 from orders) as truncated from orders order by o_orderdate desc, o_orderkey desc limit 100")
-def history_window(spark, sf_dir):
-    return hi.bounded(Tables(spark, sf_dir).order_commits(), 100)
-
-
 @query("weekly_distribution", """with w as (select cast(date_trunc('week', o_orderdate) as date) as week_start, count(*) as commit_count from orders group by 1),
  s as (select cast(unnest(generate_series((select min(week_start) from w)::timestamp, (select max(week_start) from w)::timestamp, interval 7 days)) as date) as week_start)
  select s.week_start, coalesce(commit_count, 0) as commit_count from s left join w on s.week_start = w.week_start""")
@@ -120,176 +101,6 @@ def message_categories(spark, sf_dir):
     return hi.categories(Tables(spark, sf_dir).event_commits())
 
 
-@query("ownership", "select o_custkey as author, count(*) as commit_count, min(o_orderkey) as first_commit, max(o_orderkey) as last_commit from orders group by 1")
-def ownership(spark, sf_dir):
-    return hi.ownership(Tables(spark, sf_dir).order_commits())
-
-
-@query("topic_walk", """with recursive walk(chain, seq, depth) as (
- select conv_id, max(turn), cast(0 as bigint) from conversations where conv_id = 0 group by conv_id
- union all select c.conv_id, c.turn, w.depth + 1 from walk w join conversations c on c.conv_id = w.chain and c.turn = w.seq - 1 where w.depth + 1 < 50)
- select chain, seq, depth, case when seq > 0 then seq - 1 end as parent from walk""")
-def topic_walk(spark, sf_dir):
-    return hi.first_parents(Tables(spark, sf_dir).conversations.select(F.col("conv_id").alias("chain"), F.col("turn").alias("seq")), 0, 50)
-
-
-_SPLIT = r"list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(p_name, '([A-Z])([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[^a-z0-9]+'), lambda w: w <> '')"
-
-
-@query("names_match", f"select p_brand as path, p_name as name from part where list_has_all({_SPLIT}, ['small'])")
-def names_match(spark, sf_dir):
-    return ev.match_names(Tables(spark, sf_dir).names(), ["small"])
-
-
-@query("neighborhood_lexical", f"""select p_name as name, count(*) as occurrences, count(distinct p_brand) as paths, case when p_name = 'small ring' then 'exact' else 'lexical' end as pass
- from part where list_has_any({_SPLIT}, ['small', 'ring']) group by p_name""")
-def neighborhood_lexical(spark, sf_dir):
-    return ev.lexical_neighborhood(Tables(spark, sf_dir).names(), "small ring", ["small", "ring"])
-
-
-@query("structural_shared_file", "select p_name as name, count(distinct p_brand) as files from part where p_name <> 'small ring' and p_brand in (select p_brand from part where p_name = 'small ring') group by 1")
-def structural_shared_file(spark, sf_dir):
-    return ev.shared_file(Tables(spark, sf_dir).names(), "small ring")
-
-
-@query("structural_cooccurrence", """with c as (select p_brand, p_name, count(*) as n from part group by 1, 2 having count(*) > 1)
- select a.p_name as name, cast(sum(least(a.n, b.n)) as bigint) as weight from c a join c b on a.p_brand = b.p_brand where b.p_name = 'small ring' and a.p_name <> 'small ring' group by 1""")
-def structural_cooccurrence(spark, sf_dir):
-    return ev.cooccurrence(Tables(spark, sf_dir).names(), "small ring")
-
-
-@query("behavioral_edges", "select event_type as neighbor, case when value > 10 then 'field write' else 'field read' end as relationship, count(*) as sites from events where user_id = 8 group by all")
-def behavioral_edges(spark, sf_dir):
-    events = Tables(spark, sf_dir).events
-    edges = events.select(F.col("user_id").alias("owner"), F.col("event_type").alias("neighbor"), F.when(F.col("value") > 10, "field write").otherwise("field read").alias("relationship"))
-    return ev.behavioral(edges, 8)
-
-
-_LINES = "lines as (select doc_id as id, unnest(string_split(lower(text), chr(10))) as text, unnest(generate_series(1, len(string_split(text, chr(10))))) as line from documents where text is not null)"
-
-
-@query("repeated_literals", f"with {_LINES} select text as value, count(*) as occurrences, count(distinct id) as paths, min(id) as first_path from lines where text <> '' group by text having count(*) > 1")
-def repeated_literals(spark, sf_dir):
-    lines = Tables(spark, sf_dir).lines().where("text <> ''")
-    return ev.repeated(lines.withColumnRenamed("text", "value"), ["value"], "id").select("value", "occurrences", "paths", "first_path")
-
-
-@query("repeated_groups", """with o as (select l_orderkey as owner, string_agg(cast(l_suppkey as varchar), ',' order by l_linenumber, l_suppkey) as members, count(*) as size from lineitem group by 1 having count(*) >= 2)
- select members, size, count(*) as occurrences, min(owner) as first_owner from o group by 1, 2 having count(*) > 1""")
-def repeated_groups(spark, sf_dir):
-    return ev.member_groups(Tables(spark, sf_dir).lineitem.select(F.col("l_orderkey").alias("owner"), F.col("l_linenumber").alias("seq"), F.col("l_suppkey").alias("member")))
-
-
-@query("duplicates_groups", "select sha256(text) as fingerprint, count(*) as occurrences, min(doc_id) as first_id from documents where text is not null group by 1 having count(*) > 1")
-def duplicates_groups(spark, sf_dir):
-    return ev.duplicate_groups(Tables(spark, sf_dir).bodies().where("body is not null"))
-
-
-@query("duplicates_pairs", "select a.doc_id as left_id, b.doc_id as right_id from documents a join documents b on a.text = b.text and a.doc_id < b.doc_id")
-def duplicates_pairs(spark, sf_dir):
-    return ev.duplicate_pairs(Tables(spark, sf_dir).bodies())
-
-
-@query("duplicates_compact", "select substr(sha256(text), 1, 16) as digest, count(*) as occurrences from documents where text is not null group by sha256(text) having count(*) > 1")
-def duplicates_compact(spark, sf_dir):
-    groups = ev.duplicate_groups(Tables(spark, sf_dir).bodies().where("body is not null"))
-    return groups.select(F.substring("fingerprint", 1, 16).alias("digest"), "occurrences")
-
-
-@query("primitive_density", """with f as (select p_brand as path, cast(count(*) filter (p_size <= 10) as bigint) as primitive_count, cast(count(*) filter (p_size > 25) as bigint) as specialized_count from part group by 1)
- select *, case when primitive_count + specialized_count = 0 then null else primitive_count::double / (primitive_count + specialized_count) end as primitive_ratio from f""")
-def primitive_density(spark, sf_dir):
-    flag = lambda c: c.cast("long")
-    return ev.density(Tables(spark, sf_dir).part.select(F.col("p_brand").alias("path"), flag(F.col("p_size") <= 10).alias("primitive"), flag(F.col("p_size") > 25).alias("specialized")))
-
-
-@query("shared_scopes", "select user_id as scope, count(*) as occurrences from events where event_type in ('click', 'error', 'purchase') group by 1 having count(distinct event_type) = 3")
-def shared_scopes(spark, sf_dir):
-    return ev.shared_scopes(Tables(spark, sf_dir).events.select(F.col("user_id").alias("scope"), F.col("event_type").alias("name")), ["click", "error", "purchase"])
-
-
-@query("lifecycle_groups", "select user_id as scope, event_type as field, count(*) as operations, min(event_id) as first_seq, max(event_id) as last_seq from events group by 1, 2")
-def lifecycle_groups(spark, sf_dir):
-    return ev.lifecycle_groups(Tables(spark, sf_dir).operations())
-
-
-@query("lifecycle_transitions", """with o as (select cast(cast(ts as date) as varchar) as path, user_id as scope, event_type as field, event_id as seq from events),
- l as (select *, lag(scope) over w as from_scope, lag(field) over w as from_field, lag(seq) over w as from_seq from o window w as (partition by path order by seq))
- select path, scope, from_field, field as to_field, from_seq, seq as to_seq from l where scope = from_scope""")
-def lifecycle_transitions(spark, sf_dir):
-    return ev.transitions(Tables(spark, sf_dir).operations())
-
-
-@query("guard_rollup", """with g as (select l_returnflag as carrier, l_linenumber as value, l_linestatus = 'F' as early_exit, case when l_discount > 0.05 then '==' else 'is not' end as operator from lineitem)
- select carrier, value, case when not early_exit then operator when operator = '==' then '!=' else 'is' end as effect_when, count(*) as guards, count(*) filter (early_exit) as early_exits, count(*) filter (not early_exit) as enclosed from g group by 1, 2, 3""")
-def guard_rollup(spark, sf_dir):
-    guards = Tables(spark, sf_dir).lineitem.select(
-        F.col("l_returnflag").alias("carrier"), F.col("l_linenumber").alias("value"), (F.col("l_linestatus") == "F").alias("early_exit"), F.when(F.col("l_discount") > 0.05, "==").otherwise("is not").alias("operator")
-    )
-    return ev.guard_rollup(guards)
-
-
-@query("field_affinity", """with d as (select distinct l_orderkey as f, l_partkey as x from lineitem)
- select a.x as left_field, b.x as right_field, count(*) as functions from d a join d b on a.f = b.f and a.x < b.x group by 1, 2 having count(*) >= 2""")
-def field_affinity(spark, sf_dir):
-    return ev.field_affinity(Tables(spark, sf_dir).lineitem.select(F.col("l_orderkey").alias("function"), F.col("l_partkey").alias("field")))
-
-
-@query("repeated_rules", "select event_type as kind, props as normalized, count(*) as occurrences, count(distinct user_id) as paths, min(user_id) as first_path from events group by 1, 2 having count(*) > 1")
-def repeated_rules(spark, sf_dir):
-    rules = Tables(spark, sf_dir).events.select(F.col("event_type").alias("kind"), F.col("props").alias("normalized"), "user_id")
-    return ev.repeated(rules, ["kind", "normalized"], "user_id")
-
-
-@query("hunk_exact_match", "select a.doc_id as topic_id, b.doc_id as prior_id from documents a join documents b on sha256(a.text) = sha256(b.text) and a.doc_id <> b.doc_id where a.source = 'src0'")
-def hunk_exact_match(spark, sf_dir):
-    docs = Tables(spark, sf_dir).documents.select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("fingerprint"))
-    topic = docs.where("source = 'src0'").select(F.col("doc_id").alias("topic_id"), "fingerprint")
-    return topic.join(docs.select(F.col("doc_id").alias("prior_id"), "fingerprint"), "fingerprint").where("topic_id <> prior_id").select("topic_id", "prior_id")
-
-
-@query("hunk_unmatched", "select doc_id as topic_id from documents a where source = 'src0' and not exists (select 1 from documents b where b.text = a.text and b.doc_id <> a.doc_id)")
-def hunk_unmatched(spark, sf_dir):
-    topic = Tables(spark, sf_dir).documents.where("source = 'src0'").select(F.col("doc_id").alias("topic_id"))
-    return topic.join(hunk_exact_match(spark, sf_dir), "topic_id", "left_anti")
-
-
-_HUNKS = "h as (select l_orderkey as id, l_suppkey as path, l_partkey as start, cast(l_quantity as bigint) as count from lineitem)"
-
-
-@query("hunk_range_overlap", f"""with {_HUNKS} select t.id as topic_id, p.id as prior_id, cast(least(t.start + greatest(t.count, 1), p.start + greatest(p.count, 1)) - greatest(t.start, p.start) as bigint) as overlap
- from h t join h p on t.path = p.path where t.id = 1 and p.id <> 1 and least(t.start + greatest(t.count, 1), p.start + greatest(p.count, 1)) > greatest(t.start, p.start)""")
-def hunk_range_overlap(spark, sf_dir):
-    hunks = Tables(spark, sf_dir).lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("path"), F.col("l_partkey").alias("start"), F.col("l_quantity").cast("long").alias("count"))
-    return ev.range_overlaps(hunks.where("id = 1"), hunks.where("id <> 1"))
-
-
-@query("branch_additions", rf"""with {_LINES}, k as (select id, line, regexp_extract(text, '^\s*(if|for|while|try|except|match|case)\b', 1) as keyword from lines) select id, line, keyword from k where keyword <> ''""")
-def branch_additions(spark, sf_dir):
-    return ev.branch_additions(Tables(spark, sf_dir).lines())
-
-
-@query("inventory", """select url as path, case when string_split(url, '/')[-1] = '__init__.py' then 'package' when starts_with(string_split(url, '/')[-1], 'test_') or list_contains(string_split(url, '/'), 'tests') then 'test' else 'module' end as kind,
- cast(octet_length(encode(html)) as bigint) as bytes, cast(len(html) - len(replace(html, chr(10), '')) + case when len(html) > 0 and not ends_with(html, chr(10)) then 1 else 0 end as bigint) as lines from pages""")
-def inventory(spark, sf_dir):
-    return ev.inventory(Tables(spark, sf_dir).pages.select(F.col("url").alias("path"), F.col("html").alias("content")))
-
-
-@query("import_targets", """with m as (select n_name from nation where n_regionkey <= 2) select s_name as source, n.n_name as target, coalesce(m.n_name, 'module:' || n.n_name) as node
- from supplier join nation n on s_nationkey = n_nationkey left join m on m.n_name = n.n_name""")
-def import_targets(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    nation = t.nation
-    edges = t.supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("source"), F.col("n_name").alias("target"))
-    return ev.import_targets(edges, nation.where("n_regionkey <= 2").select(F.col("n_name").alias("module")))
-
-
-@query("graph_degrees", """with e as (select least(o_custkey, o_orderkey) as a, greatest(o_custkey, o_orderkey) as b, count(*) as weight from orders group by 1, 2),
- u as (select a as node, weight from e union all select b, weight from e) select node, count(*) as degree, cast(sum(weight) as bigint) as weight from u group by 1""")
-def graph_degrees(spark, sf_dir):
-    return ev.degrees(Tables(spark, sf_dir).orders.select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("target"), F.lit(1).cast("long").alias("weight")))
-
-
 def places(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Suppliers below nations below regions, as nodes and edges; r:, n: and s: keep their names apart."""
     region, nation, supplier = (F.concat(F.lit(f"{k}:"), F.col(c)) for k, c in (("r", "n_regionkey"), ("n", "n_nationkey"), ("s", "s_suppkey")))
@@ -316,13 +127,30 @@ def graph_edge_betweenness(spark, sf_dir):
     return gr.edge_betweenness(*places(Tables(spark, sf_dir))).withColumn("betweenness", F.round("betweenness", 6))
 
 
-@query("test_mapping_status", """select p_partkey as symbol, count(distinct l_orderkey) as candidates, case when count(distinct l_orderkey) > 0 then 'mapped' else 'unmapped' end as mapping_status
- from part left join lineitem on l_partkey = p_partkey group by 1""")
-def test_mapping_status(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return ev.mapping_status(t.part.select(F.col("p_partkey").alias("symbol")), t.lineitem.select(F.col("l_partkey").alias("symbol"), F.col("l_orderkey").alias("test")))
+@query("graph_bridge_scores", f"""with {_TREE}, c as (select top, count(*) as size from m group by 1), n as (select count(*) as n from m),
+ b as (select child, parent, 2.0::double * below * (size - below) / (n * (n - 1)) as betweenness from p join c on c.top = p.top cross join n), ends as (select child as node, betweenness from b union all select parent, betweenness from b)
+ select m.node, count(betweenness) as degree, coalesce(round(sum(betweenness) / count(betweenness), 2), 0.0) as bridge_score from m left join ends on ends.node = m.node group by m.node""")
+def graph_bridge_scores(spark, sf_dir):
+    return gr.node_scores(*places(Tables(spark, sf_dir)))
+
+
+@query("repeated_lines", """with l as (select doc_id, unnest(string_split(lower(text), chr(10))) as value from documents where text is not null)
+ select value, count(*) as occurrence_count, min(doc_id) as first_id from l where value <> '' group by value having count(*) > 1""")
+def repeated_lines(spark, sf_dir):
+    pieces = Tables(spark, sf_dir).documents.select("doc_id", F.explode(F.split(F.lower("text"), "\n")).alias("value")).where("value <> ''")
+    return code.occurrences(pieces, ["value"], ["doc_id"]).select("value", "occurrence_count", F.col("occurrences")[0]["doc_id"].alias("first_id"))
+
+
+@query("event_transitions", """with o as (select cast(cast(ts as date) as varchar) as path, event_id as line, event_type as field, case when value > 10 then 'field_write' else 'field_read' end as kind, cast(user_id % 7 as varchar) as scope from events),
+ l as (select *, lag(scope) over w as s0, lag(field) over w as f0, lag(kind) over w as from_kind, lag(line) over w as from_line from o window w as (partition by path order by line))
+ select path, scope, field, from_kind, kind as to_kind, from_line, line as to_line from l where s0 = scope and f0 = field""")
+def event_transitions(spark, sf_dir):
+    kind = F.when(F.col("value") > 10, "field_write").otherwise("field_read")
+    operation = F.struct(F.col("event_id").alias("line"), F.lit(0).alias("column"), F.lit("it").alias("carrier"), F.col("event_type").alias("field"), kind.alias("kind"), (F.col("user_id") % 7).cast("string").alias("scope"))
+    events = Tables(spark, sf_dir).events.select(F.to_date("ts").cast("string").alias("path"), operation.alias("operation"))
+    return code.operation_transitions(events.groupBy("path").agg(F.collect_list("operation").alias("operations")), "it")
 
 
 @query("review_edges", "select s_name as source, s_nationkey as target, (select count(*) from supplier) as edge_count, (select count(*) > 16 from supplier) as edges_truncated from supplier order by s_name, s_nationkey limit 16")
 def review_edges(spark, sf_dir):
-    return ev.capped(Tables(spark, sf_dir).supplier.select(F.col("s_name").alias("source"), F.col("s_nationkey").alias("target")), ["source", "target"], 16)
+    return code.capped(Tables(spark, sf_dir).supplier.select(F.col("s_name").alias("source"), F.col("s_nationkey").alias("target")), ["source", "target"], 16)

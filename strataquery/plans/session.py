@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpointed
-from ..operators import code, evidence, graph, history, hunks
+from ..operators import code, graph, history, hunks
 from ..sources import git, python_code
 from ..sources.structure import MEASURES
 
@@ -26,6 +26,10 @@ SHA = re.compile(r"[0-9a-fA-F]{7,40}")
 REVISION = re.compile(r"[A-Za-z0-9_./-]+([~^][0-9]*)?")
 
 OPERATIONS: dict[str, tuple[Callable[..., dict[str, Any]], tuple[str, ...]]] = {}
+#: What a parameter's values are; text, if it is not named here.
+TYPES = {"since_unix_time": "integer", "limit": "integer", "lines": "array of integers", "paths": "array of strings", "terms": "array of strings", "targets": "array of (path, qualified_name)"}
+#: Names that callers may give to an operation's seed besides its own.
+OTHER_NAMES = {"commit": ("revision", "term"), "path": ("term",), "revision": ("term",), "carrier": ("term",), "seed": ("term",)}
 
 
 class Rejected(Exception):
@@ -62,8 +66,9 @@ def check(name: str, value: Any) -> Any:
             raise bad(f"must be 1 to {MOST['paths']}")
         return [check("path", p) for p in value]
     elif name == "terms":
-        if not 2 <= len(set(value)) <= MOST["terms"]:
-            raise bad(f"must be 2 to {MOST['terms']} different names")
+        sound = isinstance(value, (list, tuple)) and 2 <= len(value) <= MOST["terms"] and all(isinstance(t, str) and t.isidentifier() for t in value)
+        if not sound or len(set(value)) < len(value):
+            raise bad(f"must be 2 to {MOST['terms']} different identifiers")
     elif name == "commit" and not SHA.fullmatch(str(value)):
         raise bad("must be 7 to 40 hexadecimal digits")
     elif name == "revision" and not REVISION.fullmatch(str(value)):
@@ -72,7 +77,7 @@ def check(name: str, value: Any) -> Any:
         raise bad("must be positive integers")
     elif name == "detail" and value != "compact":
         raise bad("must be compact")
-    elif name == "term" and not (isinstance(value, str) and value.strip()):
+    elif name in ("term", "seed", "carrier") and not (isinstance(value, str) and value.strip()):
         raise bad("must not be empty")
     return value
 
@@ -119,6 +124,7 @@ class Session:
 
     def run(self, name: str, **given) -> dict[str, Any]:
         """The envelope of one query; what cannot be answered is rejected, with a code, not raised."""
+        name = next((n for n in OPERATIONS if name == tool_name(n)), name)
         query = {"repository_root": self.repository} | {k: v for k, v in given.items() if v is not None}
         head = {"schema_version": "1", "status": "ok", "operation": name, "query": query}
         try:
@@ -126,6 +132,10 @@ class Session:
                 raise Rejected("not_implemented", "The operation is not known.", correction={"valid_operations": sorted(OPERATIONS)})
             f, parameters = OPERATIONS[name]
             known = {p.rstrip("?") for p in parameters}
+            for own in (p for p in parameters if p in OTHER_NAMES):
+                for other in OTHER_NAMES[own]:
+                    if other in given and other not in known and own not in given:
+                        given[own] = given.pop(other)
             if wrong := sorted(k for k in given if k not in known):
                 raise Rejected("invalid_query", f"no such parameter: {', '.join(wrong)}")
             if missing := [p for p in parameters if not p.endswith("?") and given.get(p) is None]:
@@ -144,25 +154,32 @@ class Session:
             return head | {"status": "rejected", "error": {"code": "repository_access_failed", "message": str(e), "command": list(e.command), "returncode": e.returncode, "stderr": e.stderr}}
 
 
+def tool_name(operation_name: str) -> str:
+    return operation_name.replace(".", "_")
+
+
 def contract() -> list[dict[str, Any]]:
-    """Every operation with its parameters, sorted by name."""
-    return [{"name": n, "parameters": [{"name": p.rstrip("?"), "required": not p.endswith("?")} for p in OPERATIONS[n][1]]} for n in sorted(OPERATIONS)]
-
-
-def check_examples(examples: list[dict[str, Any]]) -> list[str]:
-    """What is wrong with examples {tool, arguments}: operations or arguments that do not exist, arguments that lack."""
-    declared = {o["name"]: o["parameters"] for o in contract()}
-    wrong = []
-    for i, example in enumerate(examples, 1):
-        name, given = example.get("tool"), set(example.get("arguments", {}))
-        if name not in declared:
-            wrong.append(f"example {i}: unknown tool {name!r}")
-            continue
-        if odd := sorted(given - {p["name"] for p in declared[name]}):
-            wrong.append(f"example {i}: unknown arguments: {', '.join(odd)}")
-        if lacking := sorted({p["name"] for p in declared[name] if p["required"]} - given):
-            wrong.append(f"example {i}: missing required arguments: {', '.join(lacking)}")
-    return wrong
+    """Every operation with its tool's name, its parameters and their types, sorted by name. All of them only read, give the
+    same answer to the same call, and look at nothing but the repository."""
+    marks = {"read_only": True, "idempotent": True, "open_world": False}
+    told = lambda p: {"name": p.rstrip("?"), "type": TYPES.get(p.rstrip("?"), "string"), "required": not p.endswith("?")}
+    return [{"name": n, "tool": tool_name(n), "parameters": [told("repository_root"), *map(told, OPERATIONS[n][1])]} | marks for n in sorted(OPERATIONS)]
+
+
+def check_examples(spark: SparkSession, examples: list[dict[str, Any]]) -> DataFrame:
+    """example, problem, names: what examples {tool, arguments} get wrong against the contract, by anti-joins of the two.
+
+    problem is unknown_tool, unknown_arguments or missing_arguments; names are sorted. Examples are numbered from 1.
+    """
+    declared = spark.createDataFrame([(o["tool"], p["name"], p["required"]) for o in contract() for p in o["parameters"]], "tool string, argument string, required boolean")
+    called = spark.createDataFrame([(i, str(x.get("tool"))) for i, x in enumerate(examples, 1)], "example int, tool string")
+    called = called.withColumn("tool", F.replace("tool", F.lit("."), F.lit("_")))
+    given = spark.createDataFrame([(i, a) for i, x in enumerate(examples, 1) for a in x.get("arguments", {})], "example int, argument string").join(called, "example")
+    strange = called.join(declared, "tool", "left_anti").select("example", F.lit("unknown_tool").alias("problem"), F.col("tool").alias("name"))
+    known = called.join(strange, "example", "left_anti")
+    odd = given.join(known.select("example"), "example", "left_semi").join(declared, ["tool", "argument"], "left_anti").select("example", F.lit("unknown_arguments").alias("problem"), F.col("argument").alias("name"))
+    lacking = known.join(declared.where("required"), "tool").join(given, ["example", "tool", "argument"], "left_anti").select("example", F.lit("missing_arguments").alias("problem"), F.col("argument").alias("name"))
+    return strange.unionByName(odd).unionByName(lacking).groupBy("example", "problem").agg(F.sort_array(F.collect_list("name")).alias("names")).orderBy("example", F.desc("problem"))
 
 
 def plain(value: Any) -> Any:
@@ -180,7 +197,7 @@ def plain(value: Any) -> Any:
 
 
 def to_json(envelope: dict[str, Any]) -> str:
-    """The envelope with all rows read, keys sorted."""
+    """The envelope as JSON, keys sorted. All rows of its DataFrames are read to the driver: a report, not a way to move data."""
     return json.dumps(plain(envelope), sort_keys=True, default=str)
 
 
@@ -193,22 +210,16 @@ def _history(s: Session, since_unix_time: int, limit: int) -> dict:
     return {"provenance": s.scope(since_unix_time, limit), "commits": kept.select(F.col("commit").alias("sha"), "parents", "committed", "author_name", "author_email", "subject")}
 
 
-def commit_lists(changes: DataFrame) -> DataFrame:
-    """Each path's commits, newest first."""
-    listed = F.transform(F.array_sort(F.collect_set(F.struct("commit_seq", "commit"))), lambda x: x["commit"])
-    return changes.groupBy("path").agg(listed.alias("commits"))
-
-
 @operation("git.snapshot", *BOUNDS)
 def _snapshot(s: Session, since_unix_time: int, limit: int, tip: str | None = None) -> dict:
-    files = commit_lists(s.changes(since_unix_time, limit, tip)).select("path", F.size("commits").alias("commit_count"), F.col("commits").alias("recent_commits"))
+    files = history.commit_lists(s.changes(since_unix_time, limit, tip)).select("path", F.size("commits").alias("commit_count"), F.col("commits").alias("recent_commits"))
     return {"provenance": s.scope(since_unix_time, limit, tip), "files": files.orderBy("path")}
 
 
 @operation("git.hotspots", *BOUNDS)
 def _hotspots(s: Session, since_unix_time: int, limit: int) -> dict:
     changes = s.changes(since_unix_time, limit)
-    files = history.hotspots(changes).join(commit_lists(changes), "path")
+    files = history.hotspots(changes).join(history.commit_lists(changes), "path")
     return {"provenance": s.scope(since_unix_time, limit), "files": files.orderBy(F.desc("commit_count"), F.desc("changed_lines"), "path")}
 
 
@@ -228,7 +239,7 @@ def _sorted_pairs(pairs: DataFrame) -> DataFrame:
 @operation("git.cochange", *BOUNDS)
 def _cochange(s: Session, since_unix_time: int, limit: int) -> dict:
     changes = s.changes(since_unix_time, limit)
-    return {"provenance": s.scope(since_unix_time, limit), "pairs": _sorted_pairs(history.cochange(changes)), "eligibility": history.eligibility(changes)}
+    return {"provenance": s.scope(since_unix_time, limit), "weighting": history.EVEN.told(), "pairs": _sorted_pairs(history.cochange(changes)), "eligibility": history.eligibility(changes)}
 
 
 @operation("git.cochange.file", "path", *BOUNDS)
@@ -246,7 +257,7 @@ def _cochange_pair(s: Session, left_path: str, right_path: str, since_unix_time:
 def added_branches(s: Session, since_unix_time: int, limit: int, paths: str) -> dict:
     kept = s.commits(since_unix_time, limit, paths).where(F.col("seq") < limit)
     single = [r.commit for r in kept.where("size(parents) = 1").select("commit").collect()]
-    found = hunks.added_branches(hunks.hunks(s.read("patches", commits=single)), evidence.BRANCHES)
+    found = hunks.added_branches(hunks.hunks(s.read("patches", commits=single)), code.BRANCHES)
     skipped = kept.where("size(parents) <> 1").select("commit", F.when(F.size("parents") > 1, "merge").otherwise("root").alias("reason"))
     order = kept.select("commit", "seq")
     return {"events": found.join(order, "commit"), "skipped": skipped.orderBy("commit")}
@@ -342,29 +353,40 @@ def _topic_family(s: Session, commit: str, since_unix_time: int, limit: int) ->
             members += number
             active = checkpointed(reached)
             steps.append((found, active.select("commit", "hunk_id", "fingerprint", "path").withColumn("depth", F.lit(depth))))
-    out: dict[str, Any] = {"topic": shas[:1], "termination": end, "member_count": members, "matches": [], "members": [], "path_transitions": [], "skipped": [c for c in chain if c["skipped"]]}
-    matches = None
-    for found, reached in steps:
-        matches = found if matches is None else matches.unionByName(found)
-        out["members"] = reached if isinstance(out["members"], list) else out["members"].unionByName(reached)
-    if matches is None:
-        return out | {"unmatched": topic.select("hunk_id", "path", "fingerprint")}
+    empty = every.limit(0)
+    matches = hunks.match(empty, empty).withColumn("depth", F.lit(0))
+    reached = empty.select("commit", "hunk_id", "fingerprint", "path").withColumn("depth", F.lit(0))
+    for found, then in steps:
+        matches, reached = matches.unionByName(found), reached.unionByName(then)
+    named = lambda side: every.select(F.col("commit").alias(f"{side}_commit"), F.col("seq").alias(f"{side}_seq"), F.col("hunk_id").alias(f"{side}_hunk_id"))
+    edges = matches.join(named("topic"), ["topic_commit", "topic_seq"]).join(named("prior"), ["prior_commit", "prior_seq"])
+    edges = edges.select(F.col("topic_commit").alias("parent_commit"), F.col("prior_commit").alias("commit"), F.col("topic_hunk_id").alias("parent_hunk_id"), F.col("prior_hunk_id").alias("hunk_id"), "depth", "method")
+    depths = s.spark.createDataFrame([(c["sha"], c["depth"]) for c in chain[1:]], "commit string, depth int")
+    moves = hunks.path_status(s.read("name_status", commits=shas[1:])) if shas[1:] else hunks.path_status(s.read("name_status"))
+    moves = moves.join(reached.select("commit").distinct(), "commit", "left_semi").join(depths, "commit").select("commit", "depth", "status", "path", "previous_path")
     mine = matches.select(F.col("topic_commit").alias("commit"), F.col("topic_seq").alias("seq"))
-    status = F.when(F.col("status") == "R", "rename").when(F.col("status") == "C", "copy").when(F.col("status").isin("A", "D", "M"), F.col("status")).otherwise("discontinuity")
-    moves = s.read("name_status", commits=shas[1:]).join(out["members"].select("commit").distinct(), "commit", "left_semi").withColumn("status", status)
-    return out | {"matches": matches.orderBy("depth", "topic_seq", "prior_seq"), "unmatched": topic.join(mine, ["commit", "seq"], "left_anti").select("hunk_id", "path", "fingerprint"), "path_transitions": moves}
+    unmatched = topic.join(mine, ["commit", "seq"], "left_anti").select("hunk_id", "path", "fingerprint")
+    skipped = [c for c in chain if c["skipped"]]
+    meta = {k: v for k, v in one_commit(s, shas[0]).asDict().items() if k != "seq"} if shas else None
+    return {
+        "report_version": "1", "topic_sha": shas[0] if shas else commit, "topic_metadata": meta, "topic_hunks": topic.orderBy("seq"), "termination": end, "budget_limit": limit,
+        "history_commits": chain, "skipped_commits": skipped, "members": reached.orderBy("depth", "hunk_id"), "matches": matches.orderBy("depth", "topic_seq", "prior_seq"),
+        "ancestry_edges": edges.orderBy("depth", "parent_hunk_id", "hunk_id"), "unmatched_hunks": unmatched, "path_transitions": moves.orderBy("depth", "path"),
+        "counts": {
+            "members": members, "matches": matches.count(), "ancestry_edges": matches.count(), "unmatched_hunks": unmatched.count(), "skipped_commits": len(skipped), "path_transitions": moves.count(),
+        },
+    }
 
 
 @operation("git.line_origins", "revision", "path", "lines")
 def _line_origins(s: Session, revision: str, path: str, lines: list[int]) -> dict:
-    return {"lines": s.read("blame", tip=revision, path=path, lines=lines)}
+    return {"revision": revision, "path": path, "lines": s.read("blame", tip=revision, path=path, lines=lines)}
 
 
 @operation("git.ownership", *BOUNDS)
 def _ownership(s: Session, since_unix_time: int, limit: int) -> dict:
     kept = s.commits(since_unix_time, limit).where(F.col("seq") < limit)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", "commit"))), lambda x: x["commit"]).alias("commits")
-    return {"authors": kept.groupBy("author_name", "author_email").agg(F.count(F.lit(1)).alias("commit_count"), listed).orderBy("author_name", "author_email")}
+    return {"authors": history.ownership(kept).orderBy("author_name", "author_email")}
 
 
 def holds_path(paths: list[str]):
@@ -391,8 +413,8 @@ def review_context(s: Session, limit: int, paths: list[str] | None) -> dict:
     x = s.source()
     chosen = s.source(paths)
     first = python_code.relation(chosen, "names").where("kind in ('class', 'function')").select(*code.PLACE, "name", "kind").orderBy(*code.PLACE).limit(limit)
-    tests = python_code.relation(x, "tests").join(first.select(F.col("name").alias("symbol")).distinct(), "symbol", "left_semi")
-    return {"names": first, "tests": tests.orderBy("symbol", *code.PLACE), "dependencies": evidence.capped(code.imports(chosen), ["path", "line", "target_module", "imported_names", "relative_level"], limit)}
+    symbols = sorted({r.name for r in first.select("name").collect()})
+    return {"names": first, "tests": code.tests(x, symbols), "dependencies": code.capped(code.imports(chosen), ["path", "line", "target_module", "imported_names", "relative_level"], limit)}
 
 
 def packet(s: Session, since_unix_time: int, limit: int, paths: list[str] | None = None) -> dict:
@@ -429,8 +451,8 @@ def on_source(name: str, report: Callable[[DataFrame], DataFrame], key: str) ->
     operation(name)(lambda s: {key: report(s.source()), "warnings": code.warnings(s.source())})
 
 
-def on_term(name: str, **reports: Callable[[DataFrame, str], DataFrame]) -> None:
-    operation(name, "term")(lambda s, term: {key: f(s.source(), term) for key, f in reports.items()} | {"warnings": code.warnings(s.source())})
+def on_term(name: str, parameter: str, **reports: Callable[[DataFrame, str], DataFrame]) -> None:
+    operation(name, parameter)(lambda s, **given: {key: f(s.source(), given[parameter]) for key, f in reports.items()} | {"warnings": code.warnings(s.source())})
 
 
 @operation("python.structural_complexity", "measure")
@@ -482,19 +504,23 @@ on_source("python.complexity", code.complexity, "functions")
 on_source("python.literals", code.literals, "literals")
 on_source("python.groups", code.groups, "groups")
 on_source("python.primitive_density", code.density, "files")
-on_term("python.names", occurrences=code.names)
-on_term("python.discriminations", declarations=code.declarations, discriminations=code.discriminations)
-on_term("python.neighborhood", nodes=code.neighborhood, edges=code.neighborhood_edges)
-on_term("python.neighborhood.structural", edges=code.structural)
-on_term("python.neighborhood.behavioral", edges=code.behavioral)
+on_term("python.names", "term", occurrences=code.names)
+on_term("python.discriminations", "term", declarations=code.declarations, discriminations=code.discriminations)
+on_term("python.neighborhood", "seed", nodes=code.neighborhood, edges=code.neighborhood_edges)
+on_term("python.neighborhood.structural", "seed", edges=code.structural)
+on_term("python.neighborhood.behavioral", "seed", edges=code.behavioral)
+
+
+def identifier(carrier: str) -> str:
+    if not carrier.isidentifier():
+        raise Rejected("invalid_query", "carrier must be an identifier")
+    return carrier
 
 
-@operation("python.carrier_guards", "term", "path?")
-def _carrier_guards(s: Session, term: str, path: str | None = None) -> dict:
-    if not term.isidentifier():
-        raise Rejected("invalid_query", "term must be an identifier")
+@operation("python.carrier_guards", "carrier", "path?")
+def _carrier_guards(s: Session, carrier: str, path: str | None = None) -> dict:
     x = s.source([path] if path else None)
-    return {"occurrences": code.guards(x, term), "groups": code.guard_groups(x, term), "warnings": code.warnings(x)}
+    return {"occurrences": code.guards(x, identifier(carrier)), "groups": code.guard_groups(x, carrier), "warnings": code.warnings(x)}
 
 
 @operation("python.graph_topology")
@@ -515,14 +541,15 @@ def _duplicates_compact(s: Session, detail: str | None = None) -> dict:
 
 @operation("python.tests", "term")
 def _tests(s: Session, term: str) -> dict:
-    found = code.tests(s.source(), term)
-    return {"candidates": found, "mapping_status": "unmapped" if found.isEmpty() else "mapped", "warnings": code.warnings(s.source())}
+    found = code.tests(s.source(), [term])
+    status = "no_mapping_found" if found.isEmpty() else "matched"
+    return {"language": "python", "symbol": term, "mapping_status": status, "candidates": found.drop("symbol"), "matching_imports": code.matching_imports(s.source(), term), "warnings": code.warnings(s.source())}
 
 
-@operation("python.neighborhood.historical", "term", *BOUNDS)
-def _historical(s: Session, term: str, since_unix_time: int, limit: int) -> dict:
-    """What changes together with each file that holds a name of the term; the pairs are made once for all files."""
-    seeds = code.names(s.source(), term).select(F.col("path").alias("seed_path")).distinct()
+@operation("python.neighborhood.historical", "seed", *BOUNDS)
+def _historical(s: Session, seed: str, since_unix_time: int, limit: int) -> dict:
+    """What changes together with each file that holds a name of the seed; the pairs are made once for all files."""
+    seeds = code.names(s.source(), seed).select(F.col("path").alias("seed_path")).distinct()
     pairs = history.cochange(s.changes(since_unix_time, limit))
     ways = pairs.selectExpr("left_path as seed_path", "right_path as neighbor", "score", "commit_count").unionByName(pairs.selectExpr("right_path as seed_path", "left_path as neighbor", "score", "commit_count"))
     return {"provenance": s.scope(since_unix_time, limit), "edges": ways.join(seeds, "seed_path", "left_semi").orderBy("seed_path", "neighbor")}
@@ -532,11 +559,11 @@ def _historical(s: Session, term: str, since_unix_time: int, limit: int) -> dict
 def _cluster(s: Session, term: str | None = None, terms: list[str] | None = None, since_unix_time: int | None = None, limit: int | None = None) -> dict:
     """Where names occur and under which guards, how they are made, renamed and handed over, and what tests use them; of two
     names or more also the scopes and guards that all share."""
+    if term and terms:
+        raise Rejected("invalid_query", "term and terms exclude each other")
     if not term and not terms:
-        raise Rejected("invalid_query", "term or terms must be given")
+        raise Rejected("not_implemented", "The operation needs a term or terms.")
     wanted = list(terms or [term])
-    if len(set(wanted)) < len(wanted) or not all(isinstance(t, str) and t.isidentifier() for t in wanted):
-        raise Rejected("invalid_query", "names must be different identifiers")
     x = s.source()
     out = {
         "names": wanted, "occurrences": code.cluster(x, wanted), "shared_scopes": code.shared_scopes(x, wanted) if terms else [],
@@ -550,33 +577,35 @@ def _cluster(s: Session, term: str | None = None, terms: list[str] | None = None
     return out
 
 
-@operation("python.object_lifecycle", "term", "since_unix_time?", "limit?")
-def _lifecycle(s: Session, term: str, since_unix_time: int | None = None, limit: int | None = None) -> dict:
+@operation("python.object_lifecycle", "carrier", "since_unix_time?", "limit?")
+def _lifecycle(s: Session, carrier: str, since_unix_time: int | None = None, limit: int | None = None) -> dict:
+    if (since_unix_time is None) != (limit is None):
+        raise Rejected("invalid_query", "since_unix_time and limit go together")
     x = s.source()
-    parts = {of: code.bindings(x, term, of) for of in ("construction", "alias", "boundary")}
-    seen = {"operations": code.operations(x, term), "operation_groups": code.operation_groups(x, term), "transitions": code.operation_transitions(x, term)}
+    parts = {of: code.bindings(x, identifier(carrier), of) for of in ("construction", "alias", "boundary")}
+    seen = {"operations": code.operations(x, carrier), "operation_groups": code.operation_groups(x, carrier), "transitions": code.operation_transitions(x, carrier)}
     past = {"history": _snapshot(s, since_unix_time, limit)} if since_unix_time and limit else {}
     return {"constructions": parts["construction"], "aliases": parts["alias"], "boundaries": parts["boundary"]} | seen | past
 
 
-@operation("python.external_field_rules", "term")
-def _rules(s: Session, term: str) -> dict:
-    return {"declarations": code.declarations(s.source(), term), "affinities": code.field_affinities(s.source(), term), "rules": code.repeated_rules(s.source(), term), "tests": code.rule_tests(s.source(), term)}
+@operation("python.external_field_rules", "carrier")
+def _rules(s: Session, carrier: str) -> dict:
+    return {"declarations": code.declarations(s.source(), carrier), "affinities": code.field_affinities(s.source(), carrier), "rules": code.repeated_rules(s.source(), carrier), "tests": code.rule_tests(s.source(), carrier)}
 
 
-@operation("python.external_field_rules.history", "term", *BOUNDS)
-def _rules_history(s: Session, term: str, since_unix_time: int, limit: int) -> dict:
-    seen = code.external(s.source(), "accesses", term).select("path").unionAll(code.external(s.source(), "rules", term).select("path")).unionAll(code.declarations(s.source(), term).select("path")).distinct()
+@operation("python.external_field_rules.history", "carrier", *BOUNDS)
+def _rules_history(s: Session, carrier: str, since_unix_time: int, limit: int) -> dict:
+    seen = code.external(s.source(), "accesses", carrier).select("path").unionAll(code.external(s.source(), "rules", carrier).select("path")).unionAll(code.declarations(s.source(), carrier).select("path")).distinct()
     files = _snapshot(s, since_unix_time, limit)
-    return _rules(s, term) | {"history": files | {"files": files["files"].join(seen, "path", "left_semi").orderBy("path")}}
+    return _rules(s, carrier) | {"history": files | {"files": files["files"].join(seen, "path", "left_semi").orderBy("path")}}
 
 
-@operation("python.seed_evidence", "term")
-def _seed(s: Session, term: str) -> dict:
-    nodes = code.neighborhood(s.source(), term)
+@operation("python.seed_evidence", "seed")
+def _seed(s: Session, seed: str) -> dict:
+    nodes = code.neighborhood(s.source(), seed)
     places = nodes.select("name", "pass", F.explode("locations").alias("at")).select("name", "pass", "at.*")
-    more = {"carrier_guards": code.guards(s.source(), term), "object_lifecycle": _lifecycle(s, term)} if term.isidentifier() else {"carrier_guards": None, "object_lifecycle": None}
-    edges = code.neighborhood_edges(s.source(), term)
+    more = {"carrier_guards": code.guards(s.source(), seed), "object_lifecycle": _lifecycle(s, seed)} if seed.isidentifier() else {"carrier_guards": None, "object_lifecycle": None}
+    edges = code.neighborhood_edges(s.source(), seed)
     return {"nodes": nodes, "edges": edges, "locations": places, "warnings": code.warnings(s.source())} | more
 
 

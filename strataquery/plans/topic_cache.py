@@ -5,42 +5,21 @@ A report made at another revision is told as invalidated, with the fields that d
 
 from __future__ import annotations
 
-import hashlib
-import json
-from dataclasses import asdict, dataclass
+from collections.abc import Iterable
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def digest_of(fields: dict[str, Any]) -> str:
-    """SHA-256 of canonical JSON: sorted keys, no spaces."""
-    return hashlib.sha256(json.dumps(fields, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+#: The fields that one entry is kept for, and the one that may differ.
+IDENTITY = ("topic_sha", "matching_policy", "since_unix_time", "limit")
+FIELDS = {"repository_revision": "string", "topic_sha": "string", "matching_policy": "string", "since_unix_time": "long", "limit": "long"}
 
 
-@dataclass(frozen=True)
-class TopicKey:
-    repository_revision: str
-    topic_sha: str
-    matching_policy: str
-    since_unix_time: int
-    limit: int
-
-    @property
-    def identity(self) -> str:
-        """The key but for the revision: one entry is kept for it."""
-        return digest_of({k: v for k, v in asdict(self).items() if k != "repository_revision"})
-
-    def told(self) -> dict[str, Any]:
-        return asdict(self) | {"digest": digest_of(asdict(self))}
-
-
-def compare(requested: TopicKey, cached: TopicKey) -> dict[str, Any]:
-    """hit if both keys are equal, else miss with the differing fields as (cached, requested)."""
-    old, new = asdict(cached), asdict(requested)
-    differences = {k: (old[k], new[k]) for k in new if old[k] != new[k]}
-    return {"cache_status": "miss" if differences else "hit", "requested": requested.told(), "cached": cached.told(), "differences": differences}
+def canonical(columns: Iterable[str]) -> Column:
+    """SHA-256 of the columns as JSON without spaces, by name."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
 class TopicCache:
@@ -49,22 +28,36 @@ class TopicCache:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def path(self, key: TopicKey) -> str:
-        return f"{self.folder}/identity={key.identity}"
-
-    def store(self, key: TopicKey, report: str) -> None:
-        """Keep a report (JSON, as session.to_json gives it) in place of the identity's last one."""
-        row = self.spark.range(1).select(*(F.lit(v).alias(k) for k, v in asdict(key).items()), F.lit(report).alias("report"))
-        row.coalesce(1).write.mode("overwrite").parquet(self.path(key))
-
-    def lookup(self, key: TopicKey) -> dict[str, Any]:
-        """cache_status hit with the report, miss, or invalidated with what differs."""
-        out = {"cache_status": "miss", "cache_key": key.told(), "report": None, "invalidation": None}
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path(key)}/_SUCCESS")
-        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            return out
-        row = self.spark.read.parquet(self.path(key)).first()
-        found = compare(key, TopicKey(**{k: row[k] for k in asdict(key)}))
-        if found["cache_status"] == "hit":
-            return out | {"cache_status": "hit", "report": json.loads(row.report)}
-        return out | {"cache_status": "invalidated", "invalidation": found}
+    def asked(self, key: dict[str, Any]) -> DataFrame:
+        """One row: a key's fields, its digest, and the digest of its identity."""
+        if set(key) != set(FIELDS):
+            raise ValueError(f"a key has the fields {', '.join(FIELDS)}")
+        row = self.spark.range(1).select(*(F.lit(key[k]).cast(t).alias(k) for k, t in FIELDS.items()))
+        return row.select("*", canonical(FIELDS).alias("digest"), canonical(IDENTITY).alias("identity"))
+
+    def store(self, key: dict[str, Any], report: str) -> None:
+        """Keep a report (JSON, as session.to_json gives it) in place of its identity's last one."""
+        rows = self.asked(key).withColumn("report", F.lit(report)).coalesce(1)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("identity").parquet(self.folder)
+
+    def entries(self) -> DataFrame:
+        """All entries; none where nothing was ever stored."""
+        schema = ", ".join([*(f"{k} {t}" for k, t in FIELDS.items()), "digest string", "report string", "identity string"])
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(sc._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.folder)
+
+    def lookup(self, key: dict[str, Any]) -> DataFrame:
+        """One row: cache_status hit with the report, miss, or invalidated with the fields that differ as name, cached and
+        requested."""
+        asked = self.asked(key)
+        own = asked.first().identity  # names the one partition that is read
+        kept = self.entries().where(F.col("identity") == own).select("identity", "report", F.struct(*FIELDS).alias("kept"))
+        both = asked.join(kept, "identity", "left")
+        unlike = [F.when(~F.col(k).eqNullSafe(F.col(f"kept.{k}")), F.struct(F.lit(k).alias("name"), F.col(f"kept.{k}").cast("string").alias("cached"), F.col(k).cast("string").alias("requested"))) for k in FIELDS]
+        found = both.withColumn("differences", F.when(F.col("kept").isNull(), F.array().cast("array<struct<name:string,cached:string,requested:string>>")).otherwise(F.array_compact(F.array(*unlike))))
+        status = F.when(F.col("kept").isNull(), "miss").when(F.size("differences") == 0, "hit").otherwise("invalidated")
+        told = found.withColumn("cache_status", status)
+        return told.select("cache_status", *FIELDS, "digest", F.when(F.col("cache_status") == "hit", F.col("report")).alias("report"), "differences")

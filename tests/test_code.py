@@ -140,11 +140,29 @@ def test_rules(spark):
     assert rows(code.rule_tests(x, "Order"), "test", "symbol") == [("test_b", "b")]
 
 
+def test_comprehension_sites(spark):
+    x = extraction(spark, ("a.py", "def f(a):\n    return {k: (v if v else [w for w in v]) for k, v in a if k if v}, [x for y in a for x in y]\n"), relations=("sites",))
+    found = python_code.relation(x, "sites").where("kind = 'comprehension'").orderBy("column")
+    assert rows(found, "column", "end_column", "generator_count", "filter_count", "conditional_result", "nested_comprehension") == [(11, 68, 1, 2, True, True), (28, 42, 1, 0, False, False), (70, 95, 2, 0, False, False)]
+
+
 def test_tests(spark):
     text = "from m import pay as p, charge\nimport m\ndef test_a():\n    p()\n    m.pay()\ndef test_b():\n    charge = 1\n    charge\ndef other(): p()\n"
     x = extraction(spark, ("test_a.py", text))
-    assert rows(code.tests(x, "pay"), "test", "evidence") == [("test_a", "imported_alias"), ("test_a", "imported_module_attribute")]
-    assert rows(code.tests(x, "charge"), "test", "evidence") == [("test_b", "shadowed_name")]
+    told = lambda symbol: [(r.qualified_name, r.kind, r.line, [(e.kind, e.name, e.expression) for e in r.evidence]) for r in code.tests(x, [symbol]).collect()]
+    assert told("pay") == [("test_a", "function", 3, [("imported_alias", "p", "p()"), ("imported_module_attribute", "pay", "m.pay")])]
+    assert told("charge") == [("test_b", "function", 6, [("shadowed_name", "charge", "charge")])]
+    assert rows(code.matching_imports(x, "pay"), "line", "module", "local_name") == [(1, "m", "p"), (2, "m", "m")]
+    assert told("none") == [] and code.matching_imports(x, "none").collect() == []
+
+
+def test_tests_see_what_functions_bind(spark):
+    text = "import a.b as c, d.e\nclass T:\n    def test_m(self):\n        from z import pay\n        [pay for pay in d.e.charge]\n        with pay() as charge: charge\n        def inner(): refund()\n        c.refund\ndef test_n(refund):\n    refund\ndef outer():\n    def test_o(): pay()\n"
+    x = extraction(spark, ("test_b.py", text))
+    told = lambda symbol: [(r.qualified_name, r.kind, [(e.kind, e.line) for e in r.evidence]) for r in code.tests(x, [symbol]).collect()]
+    assert told("pay") == [("T.test_m", "method", [("imported_name", 5), ("imported_name", 6)])]
+    assert told("charge") == [("T.test_m", "method", [("imported_module_attribute", 5), ("exact_name", 6)])]
+    assert told("refund") == [("T.test_m", "method", [("imported_module_attribute", 8)]), ("test_n", "function", [("exact_name", 10)])]
 
 
 def patch(path, *parts):

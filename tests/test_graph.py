@@ -10,6 +10,10 @@ def frames(spark, edges, nodes=()):
     return spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(edges, "source string, target string, weight double")
 
 
+def sizes(summary):
+    return [r["size"] for r in summary["component_sizes"].collect()]
+
+
 def scores(nodes, edges):
     return {r.node: r.bridge_score for r in graph.node_scores(nodes, edges).collect()}
 
@@ -17,7 +21,7 @@ def scores(nodes, edges):
 def test_two_edges(spark):
     nodes, edges = frames(spark, [("a", "b", 2.0), ("b", "c", 1.0)])
     got = graph.summary(nodes, edges)
-    assert (got["average_degree"], got["average_edge_weight"], got["component_sizes"], got["bridge_edge_count"], got["cross_community_edge_count"]) == (1.33, 1.5, [3], 2, 0)
+    assert (got["average_degree"], got["average_edge_weight"], sizes(got), got["bridge_edge_count"], got["cross_community_edge_count"]) == (1.33, 1.5, [3], 2, 0)
 
 
 def test_parallel_edges_are_one(spark):
@@ -35,8 +39,14 @@ def test_path_beside_an_isolated_node(spark, order):
 
 def test_empty_and_isolated(spark):
     got = graph.summary(*frames(spark, []))
-    assert (got["node_count"], got["average_degree"], got["component_sizes"], got["bridge_edge_ratio"]) == (0, 0.0, [], 0.0)
-    assert graph.summary(*frames(spark, [], ["x"]))["component_sizes"] == [1]
+    assert (got["node_count"], got["average_degree"], sizes(got), got["bridge_edge_ratio"]) == (0, 0.0, [], 0.0)
+    assert sizes(graph.summary(*frames(spark, [], ["x"]))) == [1]
+
+
+def test_communities_are_numbered_by_their_smallest_node(spark):
+    nodes, edges = frames(spark, [(f"n{i:03}", f"n{i + 100:03}", 1.0) for i in range(100)])
+    ids = {r.node: (r.community, r.size) for r in graph.community_ids(graph.components(nodes, edges)).collect()}
+    assert ids == {f"n{i:03}": (i % 100, 2) for i in range(200)}
 
 
 def test_bridges_and_components_against_brute_force(spark):

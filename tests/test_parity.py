@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from strataquery.plans import registry
+from strataquery.plans import operations, registry
 
 AT = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,12 +18,15 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(registry.SQL))
+QUERIES, SQL = registry.QUERIES | operations.QUERIES, registry.SQL | operations.SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, duck, name):
-    frame = registry.QUERIES[name](spark, AT)
+    frame = QUERIES[name](spark, AT)
     columns = sorted(frame.columns)
     mine = sorted(repr([r[c] for c in columns]) for r in frame.collect())
-    result = duck.sql(registry.SQL[name])
+    result = duck.sql(SQL[name])
     assert sorted(result.columns) == columns
     places = [result.columns.index(c) for c in columns]
     assert mine == sorted(repr([r[i] for i in places]) for r in result.fetchall())

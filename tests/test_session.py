@@ -1,14 +1,11 @@
 """Queries by name on small repositories."""
 
-import hashlib
 import json
-from dataclasses import replace
-
 import pytest
 from test_git import commit, repository, run  # noqa: F401
 
 from strataquery.plans.session import OPERATIONS, Session, check_examples, plain, to_json
-from strataquery.plans.topic_cache import TopicCache, TopicKey
+from strataquery.plans.topic_cache import TopicCache
 
 BOUNDS = {"since_unix_time": 1, "limit": 10}
 
@@ -35,7 +32,11 @@ def test_rejections(session, tmp_path_factory):
     assert code("git.cochange.pair", left_path="a", right_path="./a", **BOUNDS) == "invalid_query"
     assert code("git.review_packet.files", paths=[], **BOUNDS) == "invalid_query"
     assert code("git.topic", commit="abcdef0123") == "repository_access_failed"
-    assert code("python.variable_cluster") == "invalid_query"
+    assert code("python.variable_cluster") == "not_implemented"
+    for wrong in ({"term": "a", "terms": ["a", "b"]}, {"terms": ["a"]}, {"terms": ["a", "a"]}, {"terms": ["a", "b c"]}, {"terms": list("abcdefghi")}):
+        assert code("python.variable_cluster", **wrong) == "invalid_query"
+    for wrong in ({"carrier": "a b"}, {"carrier": "a", "limit": 3}, {"term": "a", "since_unix_time": 3}, {}):
+        assert code("python.object_lifecycle", **wrong) == "invalid_query"
     outside = Session(session.spark, str(tmp_path_factory.mktemp("plain")))
     assert outside.run("python.inventory")["error"]["code"] == "not_a_repository"
 
@@ -45,7 +46,7 @@ def test_history_of_a_renamed_file(session, repository):  # noqa: F811
     run(repository, "mv", "old.py", "new.py")
     second = commit(repository, {"other.py": "b = 2\n"}, "odd")
     out = data(session, "git.cochange", **BOUNDS)
-    assert out["pairs"] == [{"left_path": "new.py", "right_path": "other.py", "score": 2.0, "commit_count": 2}]
+    assert out["pairs"] == [{"left_path": "new.py", "right_path": "other.py", "score": 2.0, "commit_count": 2, "contributing_commits": [second, first]}]
     assert {f["path"]: f["commits"] for f in data(session, "git.hotspots", **BOUNDS)["files"]} == {"new.py": [second, first], "other.py": [second, first]}
     cut = data(session, "git.snapshot", since_unix_time=1, limit=1)
     assert cut["provenance"]["truncated"] and [f["recent_commits"] for f in cut["files"]] == [[second], [second]]
@@ -69,9 +70,12 @@ def test_family_follows_matching_hunks(session, repository):  # noqa: F811
         shas.append(commit(repository, {"a.py": "".join(body), "z.py": f"{i}\n"} if i < 2 else {"a.py": "".join(body)}))
     out = data(session, "git.topic_family", commit=shas[2], **BOUNDS)
     assert [(m["depth"], m["commit"], m["path"]) for m in sorted(out["members"], key=lambda m: m["depth"])] == [(1, shas[1], "a.py"), (2, shas[0], "a.py")]
-    assert out["termination"] == "exhausted" and out["unmatched"] == []
+    assert out["termination"] == "exhausted" and out["unmatched_hunks"] == []
+    assert [(e["parent_commit"], e["commit"], e["depth"], e["method"]) for e in out["ancestry_edges"]] == [(shas[2], shas[1], 1, "range_overlap"), (shas[1], shas[0], 2, "range_overlap")]
+    assert [(t["commit"], t["depth"], t["status"], t["path"]) for t in out["path_transitions"]] == [(sha, d, "modified", p) for d, sha in ((1, shas[1]), (2, shas[0])) for p in ("a.py", "z.py")]
+    assert out["counts"] == {"members": 2, "matches": 2, "ancestry_edges": 2, "unmatched_hunks": 0, "skipped_commits": 0, "path_transitions": 4}
     assert [(m["method"], m["depth"]) for m in out["matches"]] == [("range_overlap", 1), ("range_overlap", 2)]
-    assert data(session, "git.topic_family", commit=shas[2], since_unix_time=1, limit=1)["member_count"] == 0
+    assert data(session, "git.topic_family", commit=shas[2], since_unix_time=1, limit=1)["counts"]["members"] == 0
 
 
 def test_branches_and_merges(session, repository):  # noqa: F811
@@ -85,13 +89,17 @@ def test_branches_and_merges(session, repository):  # noqa: F811
 def test_all_operations_answer(session, repository):  # noqa: F811
     commit(repository, {"pkg/__init__.py": "", "pkg/order.py": "class Order:\n    x: int\n    y: int\n", "bad.py": "def nope(:\n"})
     last = commit(repository, {"pkg/use.py": "from .order import Order\n\ndef use(order: Order):\n    if order.x == 1:\n        order.y = 2\n    return order\n", "tests/test_use.py": "from pkg.use import use\n\ndef test_use():\n    use(1)\n"})
-    given = {"term": "order", "path": "pkg/use.py", "left_path": "pkg/use.py", "right_path": "tests/test_use.py", "paths": ["pkg/use.py"], "terms": ["order", "Order"], "commit": last, "revision": "HEAD", "lines": [1], "measure": "paths", "qualified_name": "use", "targets": [("pkg/use.py", "use")]} | BOUNDS
+    given = {"term": "order", "seed": "order", "carrier": "order", "path": "pkg/use.py", "left_path": "pkg/use.py", "right_path": "tests/test_use.py", "paths": ["pkg/use.py"], "terms": ["order", "Order"], "commit": last, "revision": "HEAD", "lines": [1], "measure": "paths", "qualified_name": "use", "targets": [("pkg/use.py", "use")]} | BOUNDS
     for name, (_, parameters) in OPERATIONS.items():
-        out = session.run(name, **{p.rstrip("?"): given[p.rstrip("?")] for p in parameters if p.rstrip("?") in given})
+        names = {p.rstrip("?") for p in parameters} - ({"terms"} if "term?" in parameters else set())
+        out = session.run(name.replace(".", "_"), **{p: given[p] for p in names if p in given})
         assert json.loads(to_json(out))["status"] == "ok", (name, out)
-    assert data(session, "python.tests", term="use")["mapping_status"] == "mapped"
-    assert data(session, "python.tests", term="none")["mapping_status"] == "unmapped"
-    assert data(session, "python.graph_topology")["topology"]["component_sizes"] == [1, 1, 3]
+    assert data(session, "python.tests", term="use")["mapping_status"] == "matched"
+    assert data(session, "python.tests", term="none")["mapping_status"] == "no_mapping_found"
+    topology = data(session, "python.graph_topology")["topology"]
+    assert [c["size"] for c in topology["component_sizes"]] == [1, 1, 3] and topology["formulas"]["average_degree"] == "sum(degrees) / node_count"
+    assert {c["node"]: c["community"] for c in topology["community_ids"]} == {"bad": 0, "pkg": 1, "pkg.order": 2, "pkg.use": 2, "tests.test_use": 2}
+    assert session.run("git.review_packet.revision", term=last, **BOUNDS)["status"] == session.run("git_review_packet_revision", revision=last, **BOUNDS)["status"] == "ok"
     assert data(session, "python.term_change_evidence", term="order", **BOUNDS)["dimensions"]["ownership"]["occurrence_count"] == 1
 
 
@@ -100,10 +108,11 @@ def test_profiles(session, repository):  # noqa: F811
     commit(repository, {"a.py": text, "bad.py": "def nope(:\n"})
     out = data(session, "python.function_profiles", targets=[("a.py", "two"), ("a.py", "C.f"), ("bad.py", "nope"), ("a.py", "none"), ("a.py", "C.f2")])["profiles"]
     assert [p["match_status"] for p in out] == ["ambiguous", "found", "unavailable", "not_found", "found"]
-    assert [(x["kind"], x["text"]) for x in out[1]["sites"]] == [
-        ("attribute_read", "a.x"), ("attribute_read", "self.x"), ("attribute_write", "self.x"), ("comparison", "lt"),
-        ("comprehension", "1 generators, 0 filters"), ("guard", "a.x < 1"),
+    assert [(k["kind"], k["site_count"], k["truncated"], [x["text"] for x in k["sites"]]) for k in out[1]["sites"]] == [
+        ("attribute_read", 2, False, ["a.x", "self.x"]), ("attribute_write", 1, False, ["self.x"]), ("comparison", 1, False, ["lt"]),
+        ("comprehension", 1, False, ["[i for i in a]"]), ("guard", 1, False, ["a.x < 1"]),
     ]
+    assert (out[1]["primitive_count"], out[1]["specialized_count"], out[1]["total_count"], out[1]["primitive_ratio"]) == (0, 0, 0, None)
     assert {m["measure"]: (m["count"], m["diagnostic"]) for m in out[4]["measures"]}["operands"] == (None, "Lambda is not defined for operands.")
     found = data(session, "python.class_profile", path="a.py", qualified_name="C", limit=1)
     assert [m["qualified_name"] for m in found["methods"]] == ["C.f"] and found["methods"][0]["method_count"] == 2
@@ -136,23 +145,30 @@ def test_cluster_with_history_and_guards_of_one_file(session, repository):  # no
     assert change["coupling"]["edge_count"] == 1 and [f["path"] for f in change["history"]["paths"]] == ["a.py", "b.py"]
 
 
-def test_examples():
-    assert check_examples([{"tool": "git.history", "arguments": BOUNDS}, {"tool": "python.inventory"}, {"tool": "python.names", "arguments": {"term": "a"}}]) == []
-    assert check_examples([{"tool": "no"}, {}, {"tool": "git.history", "arguments": {"limit": 1, "odd": 2}}]) == [
-        "example 1: unknown tool 'no'", "example 2: unknown tool None", "example 3: unknown arguments: odd", "example 3: missing required arguments: since_unix_time",
+def test_examples(spark):
+    fine = [{"tool": "git_history", "arguments": {"repository_root": "."} | BOUNDS}, {"tool": "python.inventory", "arguments": {"repository_root": "."}}]
+    assert check_examples(spark, fine).collect() == []
+    found = check_examples(spark, [*fine, {"tool": "no"}, {}, {"tool": "git.history", "arguments": {"limit": 1, "odd": 2, "b": 1}}]).collect()
+    assert [tuple(r) for r in found] == [
+        (3, "unknown_tool", ["no"]), (4, "unknown_tool", ["None"]), (5, "unknown_arguments", ["b", "odd"]), (5, "missing_arguments", ["repository_root", "since_unix_time"]),
     ]
 
 
 def test_topic_cache(spark, tmp_path):
-    cache, key = TopicCache(spark, str(tmp_path)), TopicKey("r1", "abc", "exact", 1, 10)
-    assert key.told()["digest"] == hashlib.sha256(b'{"limit":10,"matching_policy":"exact","repository_revision":"r1","since_unix_time":1,"topic_sha":"abc"}').hexdigest()
-    assert cache.lookup(key)["cache_status"] == "miss"
+    cache, key = TopicCache(spark, str(tmp_path / "topics")), {"repository_revision": "r1", "topic_sha": "abc", "matching_policy": "exact", "since_unix_time": 1, "limit": 10}
+    first = cache.lookup(key).first()
+    assert (first.cache_status, first.report, first.differences) == ("miss", None, [])
     cache.store(key, '{"member_count": 3}')
-    assert (cache.lookup(key)["cache_status"], cache.lookup(key)["report"]) == ("hit", {"member_count": 3})
-    later = cache.lookup(replace(key, repository_revision="r2"))
-    assert (later["cache_status"], later["report"], later["invalidation"]["differences"]) == ("invalidated", None, {"repository_revision": ("r1", "r2")})
-    cache.store(replace(key, repository_revision="r2"), "{}")
-    assert cache.lookup(key)["cache_status"] == "invalidated" and cache.lookup(replace(key, limit=11))["cache_status"] == "miss"
+    cache.store(key | {"limit": 12}, "[]")
+    hit = cache.lookup(key).first()
+    assert (hit.cache_status, json.loads(hit.report), hit.digest) == ("hit", {"member_count": 3}, first.digest)
+    later = cache.lookup(key | {"repository_revision": "r2"}).first()
+    assert (later.cache_status, later.report, [tuple(d) for d in later.differences]) == ("invalidated", None, [("repository_revision", "r1", "r2")])
+    assert later.digest != first.digest
+    cache.store(key | {"repository_revision": "r2"}, "{}")
+    assert [cache.lookup(k).first().cache_status for k in (key, key | {"limit": 11}, key | {"limit": 12})] == ["invalidated", "miss", "hit"]
+    with pytest.raises(ValueError):
+        cache.lookup({"topic_sha": "abc"})
 
 
 def test_empty_repository_answers(session):
