@@ -20,6 +20,8 @@ from .textvec import CHUNK_BYTES, Counter, byte_view, chunks, find, finish, word
 
 #: Terms count that are in at least this share of the documents (and in two) and at most this share.
 LEAST_SHARE, MOST_SHARE, LEAST_DOCUMENTS = 2e-4, 0.05, 2
+#: Terms that a lexicon may have: every task holds it, at 8 bytes a term.
+MOST_TERMS = 1 << 23
 #: Families of subsets; subset l of a family keeps each term with probability 2**-l.
 FAMILIES, LEVELS = 8, 10
 _DIGITS, _NONE = 5, "-"
@@ -59,11 +61,14 @@ def lexicon(documents: DataFrame, text_col: str = "text", least: float = LEAST_S
     """Sorted hashes of the terms in the band.
 
     Bounded whatever the corpus: each of N documents adds its distinct terms once, so at most (mean distinct terms of a
-    document) / least terms can be in least * N documents or more.
+    document) / least terms can be in least * N documents or more. More than MOST_TERMS are refused with ValueError.
     """
     n = documents.count()
     floor, ceiling = max(LEAST_DOCUMENTS, int(np.ceil(least * n))), most * n
-    rows = document_frequencies(documents, text_col).where((F.col("n") >= floor) & (F.col("n") <= F.lit(float(max(ceiling, floor))))).select("h").toArrow()
+    band = document_frequencies(documents, text_col).where((F.col("n") >= floor) & (F.col("n") <= F.lit(float(max(ceiling, floor)))))
+    rows = band.select("h").toArrow()
+    if rows.num_rows > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms in the band: raise the least share")
     return np.sort(rows["h"].to_numpy().view(np.uint64))
 
 

@@ -16,8 +16,9 @@ from .shared import materialize, table
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT, MOST = 150, 2
 SEED = "mix-1"
-#: Up to so many sources their targets are broadcast (some 64 bytes each); beyond, they are joined by shuffle.
-BROADCAST_SOURCES = 50_000
+#: Up to so many sources their targets are broadcast (some 64 bytes each); beyond, they are joined by shuffle, each source's
+#: rows in so many parts, so that a large one is no single task's.
+BROADCAST_SOURCES, SALTS = 50_000, 64
 
 
 def words(text: Column) -> Column:
@@ -65,9 +66,13 @@ def mix_plan(documents: DataFrame, id_col: str = "doc_id", source_col: str = "so
     sized = documents.withColumn("__size", words(F.col(text_col)))
     targets = source_targets(sized.select(F.col(source_col).alias("source"), F.col("__size").alias("size")), **how)
     targets = targets.select(F.col("source").alias("__of"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    same = F.col(source_col).eqNullSafe(F.col("__of"))
     if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    joined = sized.join(targets, F.col(source_col).eqNullSafe(F.col("__of")), "left").drop("__of")
+        joined = sized.join(F.broadcast(targets), same, "left").drop("__of")
+    else:
+        targets = targets.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        sized = sized.withColumn("__salt", F.pmod(F.xxhash64(id_col, F.length(text_col)), F.lit(SALTS)).cast("int"))
+        joined = sized.join(targets, same & (F.col("__salt") == F.col("__part")), "left").drop("__of", "__part", "__salt")
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(1.0))
     whole = F.floor(rate)
     return joined.withColumn("__copies", (whole + F.when(draw(id_col) < rate - whole, 1).otherwise(0)).cast("int"))

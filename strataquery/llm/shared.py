@@ -23,8 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="strataquery-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strataquery-"))
+        base = sc.getCheckpointDir()
     return base.rstrip("/")
 
 

@@ -18,8 +18,9 @@ from .shared import table
 QUERY_EVERY = 50
 K = 5
 SCALE = 256
-#: Rows of a shard, queries of a block, and lists merged at one level of the tree.
-SHARD_ROWS, BLOCK_ROWS, FAN_IN = 16384, 4096, 16
+#: Rows of a shard, bytes of a block of queries (the larger, the less often the rows travel), and lists merged at one level
+#: of the tree.
+SHARD_ROWS, BLOCK_BYTES, FAN_IN = 16384, 64 << 20, 16
 MIN_SHARDS = 48
 #: Rows of a product that are held at once.
 STEP = 512
@@ -96,8 +97,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     their own. A repeated query row gets one list per row, numbered alike. An empty table gives an empty result.
     """
     ready = vectors.select(F.col(id_col).cast("long").alias("id"), quantize(F.col(vec_col), scale).alias("vec"), is_query.alias("asks")).where("id is not null and vec is not null")
-    n, asked = ready.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    shards, blocks = max(MIN_SHARDS, -(-n // SHARD_ROWS)), max(1, -(-asked // BLOCK_ROWS))
+    n, asked, width = ready.agg(F.count(F.lit(1)), F.count_if("asks"), F.max(F.size("vec"))).first()
+    block_rows = max(1024, BLOCK_BYTES // (8 * max(1, width or 1)))
+    shards, blocks = max(MIN_SHARDS, -(-n // SHARD_ROWS)), max(1, -(-asked // block_rows))
     dims = ready.withColumn("dim", F.size("vec"))
     queries = (
         dims.where("asks").withColumn("qno", F.monotonically_increasing_id())
