@@ -150,19 +150,38 @@ def read_patches(repository: str, options: dict[str, str], commits: list[str]) -
         yield commit, parents[0], patch
 
 
+def blamed(repository: str, revision: str, path: str, lines: list[int]) -> dict[int, tuple]:
+    """commit, source_path, source_line, text of each line, by one call for all of them."""
+    spans = [x for line in sorted(set(lines)) for x in ("-L", f"{line},{line}")]
+    out: dict[int, tuple] = {}
+    head, source_path = [], ""
+    for x in git(repository, "blame", "--line-porcelain", *spans, revision, "--", path).decode("utf-8", "replace").split("\n"):
+        if not head:
+            head = x.split()
+        elif x.startswith("filename "):
+            source_path = x.removeprefix("filename ")
+        elif x.startswith("\t"):
+            out[int(head[2])] = head[0], source_path, int(head[1]), x[1:]
+            head = []
+    return out
+
+
 def read_blame(repository: str, options: dict[str, str], lines: list[int]) -> Iterator[tuple]:
-    """Where each line comes from; status is unavailable where git does not tell."""
+    """Where each line comes from; status is unavailable where git does not tell. Lines that the file lacks make git refuse the
+    whole call, so that they are then asked for one by one."""
     revision, path = options.get("tip") or "HEAD", safe_path(options["path"])
+    found: dict[int, tuple] = {}
+    for calls in ([lines], [[x] for x in sorted(set(lines))]):  # all at once, or else each alone
+        for some in calls if lines and not found else []:
+            try:
+                found |= blamed(repository, revision, path, some)
+            except GitError:
+                pass
     for line in lines:
-        try:
-            raw = git(repository, "blame", "--line-porcelain", "-L", f"{line},{line}", revision, "--", path).decode("utf-8", "replace").split("\n")
-        except GitError:
+        if line in found:
+            yield revision, path, line, *found[line], "available"
+        else:
             yield revision, path, line, None, None, None, None, "unavailable"
-            continue
-        sha, source_line = raw[0].split()[:2]
-        source_path = next(x.removeprefix("filename ") for x in raw if x.startswith("filename "))
-        text = next(x[1:] for x in raw if x.startswith("\t"))
-        yield revision, path, line, sha, source_path, int(source_line), text, "available"
 
 
 def read_files(repository: str, options: dict[str, str], paths: list[str]) -> Iterator[tuple]:
