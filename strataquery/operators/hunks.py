@@ -64,6 +64,13 @@ def context(side: DataFrame) -> DataFrame:
     return side.select("commit", "seq", F.explode(F.array_distinct(lines)).alias("line"))
 
 
+def keys(side: DataFrame) -> DataFrame:
+    """commit, key: everything that two hunks must have in common, one of it at least, to match."""
+    body = side.select("commit", F.concat(F.lit("body "), "fingerprint").alias("key"))
+    path = side.select("commit", F.concat(F.lit("path "), "path").alias("key"))
+    return body.unionAll(path).unionAll(context(side).select("commit", F.concat(F.lit("line "), "line")))
+
+
 def match(topic: DataFrame, prior: DataFrame) -> DataFrame:
     """Pairs of hunks by the first method that fits: equal bodies, overlapping new lines of one path, shared context lines.
     Each method is a join on a key of its own, so no pair is tried that shares neither body, path nor line."""

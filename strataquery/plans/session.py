@@ -334,18 +334,28 @@ def _topic_walk(s: Session, commit: str, since_unix_time: int, limit: int) -> di
 
 @operation("git.topic_family", "commit", *BOUNDS)
 def _topic_family(s: Session, commit: str, since_unix_time: int, limit: int) -> dict:
-    """Backward from a commit's hunks: the hunks of each parent in turn that match the hunks matched last."""
+    """Backward from a commit's hunks: the hunks of each parent in turn that match the hunks matched last.
+
+    A commit that shares no body, path or context line with the hunks matched last is passed over without a comparison, so
+    there is a round for each commit that may have kin, not for each commit.
+    """
     chain, _ = first_parents(s, commit, since_unix_time, limit)
     shas = [c["sha"] for c in chain]
     every = s.hold(("hunks", tuple(shas)), lambda: hunks.hunks(s.read("patches", commits=shas)))
     topic = every.where(F.col("commit") == shas[0]) if shas else every.limit(0)
     active, steps, members, end = topic, [], 0, "exhausted"
     single = [c for c in chain[1:] if len(c["parents"]) == 1]
-    for depth, c in enumerate(single, 1):
+    places = s.spark.createDataFrame([(c["sha"], i) for i, c in enumerate(single, 1)], "commit string, depth int")
+    known = s.hold(("hunk keys", tuple(shas)), lambda: hunks.keys(every).join(places, "commit").select("key", "depth").distinct())
+    depth = 0
+    while depth < len(single):
         if members >= limit:
             end = "limit"
             break
-        prior = every.where(F.col("commit") == c["sha"])
+        depth = known.where(F.col("depth") > depth).join(hunks.keys(active), "key", "left_semi").agg(F.min("depth").alias("depth")).first().depth
+        if depth is None:
+            break
+        prior = every.where(F.col("commit") == single[depth - 1]["sha"])
         found = checkpointed(hunks.match(active, prior).withColumn("depth", F.lit(depth)))
         reached = prior.join(found.select(F.col("prior_seq").alias("seq")).distinct(), "seq", "left_semi").dropDuplicates(["hunk_id"])
         number = reached.count()
