@@ -6,8 +6,6 @@ product that keeps only every query's k best of the shard; the lists are merged
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
