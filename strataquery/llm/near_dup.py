@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, table, tidy
+from .shared import drop_folder, materialize, table, tidy
 from .textvec import byte_view, chunks, find, finish, words_of
 
 #: Words of a k-mer, and the least similarity: shingles aligned in order, over all shingles of either text.
@@ -34,7 +34,7 @@ REACH = int(SHORT / SIMILARITY + 1e-9)
 COMMON = 1 << 16
 #: Rounds in which each bucket compares its members with one of them; texts of a side of a tile, and shingles of one, when
 #: that doesn't settle it.
-ROUNDS, TILE, TILE_SHINGLES = 3, 512, 1 << 20
+ROUNDS, TILE, TILE_SHINGLES = 3, 256, 1 << 20
 #: Places from which on a shingle's places are kept as the bits of one integer.
 MANY = 64
 _SEEDS = np.random.default_rng(9).integers(1, 2**63, SKETCHES).astype(np.uint64)
@@ -292,19 +292,24 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rows = materialize(sketch_table(documents, id_col, text_col), "sketches")
     texts = rows.groupBy("tid").agg(F.min("id").alias("rep"), *(F.first(k).alias(k) for k in ("n", "bands", "kmers")))
-    texts = materialize(with_rarest(materialize(texts, "texts")), "texts")
+    plain = materialize(texts, "texts")
+    texts = materialize(with_rarest(plain), "texts")
+    drop_folder(plain)
     entries = texts.select("tid", "n", F.posexplode("bands").alias("band", "h")).withColumn("band", F.least("band", F.lit(SKETCHES)))
     sizes = entries.groupBy("band", "h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = entries.join(sizes, ["band", "h"])
     shared = materialize(shared, "shared")
     central = shared.groupBy("tid").agg(F.sum("size").alias("central"))
     members = materialize(shared.join(central, "tid"), "members")
+    done = [shared, members]
     wanted = members.select("tid").distinct().join(texts.select("tid", "rep"), "tid").withColumn("rep", F.coalesce("rep", F.lit(0)))
     whole = documents.select(F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("rep"))
     whole = whole.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tid", F.unhex(F.md5(F.col("text").cast("binary"))))
     bodies = materialize(whole.join(wanted, ["tid", "rep"], "left_semi").select("tid", "text"), "bodies")
+    done.append(bodies)
     if bodies.count() != wanted.count():  # rows that repeat id and text
         bodies = materialize(bodies.groupBy("tid").agg(F.first("text").alias("text")), "bodies")
+        done.append(bodies)
 
     labels = links = tested = used = None
     for turn in range(ROUNDS + 1):
@@ -315,6 +320,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         hub = F.max(F.struct("central", "tid", "label", "n")).alias("hub")
         still = now.groupBy("band", "h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("left"), F.sum("n").alias("shingles"), hub).where("low <> high")
         still = materialize(still, "still")
+        done.append(still)
         if still.isEmpty():
             break
         if turn == ROUNDS:
@@ -326,14 +332,18 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = materialize(pairs, "pairs")
+            done.append(pairs)
             tested = pairs if tested is None else tested.unionByName(pairs)
             found = _verify(pairs, bodies)
             hubs = still.select("band", "h", F.col("hub.tid").alias("hub"))
             used = hubs if used is None else used.unionByName(hubs)
         found = materialize(found, "links")
+        done.append(found)
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
             labels = materialize(components(links), "labels")
+    for table_ in done:  # what follows reads rows, texts and labels alone
+        drop_folder(table_)
     if labels is None:
         classes = texts.select("tid", F.col("rep").alias("class_id"), F.col("tid").alias("label"))
     else:
@@ -345,11 +355,19 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 def _settle(now: DataFrame, still: DataFrame, texts: DataFrame, bodies: DataFrame) -> DataFrame:
     """Compare all members of different classes of the buckets that are left, in tiles of about TILE texts a side, or of
-    fewer where these hold more than TILE_SHINGLES shingles."""
-    blocks = still.select("band", "h", F.greatest(F.ceil(F.col("left") / TILE), F.least(F.ceil(F.col("shingles") / TILE_SHINGLES), "left")).alias("blocks"))
-    rows = now.select("band", "h", "tid", "label").join(blocks, ["band", "h"])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    fewer where these hold more than TILE_SHINGLES shingles.
+
+    The class that most of a bucket's members are in meets only the members that are not in it, so a bucket of one large
+    class and few others costs its size, not the square of it.
+    """
+    rows = now.select("band", "h", "tid", "label").join(still.select("band", "h", "left", "shingles"), ["band", "h"])
+    top = rows.groupBy("band", "h", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("band", "h").agg(F.max(F.struct("size", "label")).alias("top"))
+    rows = rows.join(top, ["band", "h"]).withColumn("rest", F.col("left") - F.col("top.size"))
+    of = lambda number: F.greatest(F.ceil(number / TILE), F.least(F.ceil(number * F.col("shingles") / F.col("left") / TILE_SHINGLES), number))
+    rows = rows.withColumn("rests", of(F.col("rest"))).withColumn("tops", of(F.col("top.size")))
+    hashed, in_top = F.xxhash64("tid"), F.col("label") == F.col("top.label")
+    rows = rows.withColumn("block", F.when(in_top, F.col("rests") + F.pmod(hashed, "tops")).otherwise(F.pmod(hashed, "rests")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(in_top, F.col("rests")).otherwise(F.col("rests") + F.col("tops")) - 1)))
     rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     rows = rows.join(texts.select("tid", "bands"), "tid").join(bodies, "tid").select("band", "h", "lo", "hi", "tid", "label", "block", "bands", "text")
     return rows.groupBy("band", "h", "lo", "hi").applyInArrow(_tile, "a binary, b binary").distinct()
