@@ -1,9 +1,9 @@
 """Git repositories as tables: spark.read.format("git").option("repository", ...).option("relation", ...).load().
 
 Relations: files (tracked *.py and their working-tree content), commits, changes (numstat), name_status, patches, blame.
-Each partition runs git where its task runs, so the repository's path must be one that every executor sees. files,
-name_status, patches and blame are cut into one partition per chunk of paths, commits or lines; commits and changes are
-one walk of git's own, bounded by since, until a tip, and limit.
+Each partition runs git where its task runs, so the repository's path must be one that every executor sees. files (by
+number and bytes), name_status, patches and blame are cut into one partition per chunk of paths, commits or lines; commits
+and changes are one walk of git's own, bounded by since, until a tip, and limit.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pathlib import Path, PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Paths, commits or lines that one partition handles.
-CHUNK = 256
+#: Paths, commits or lines that one partition handles, and bytes of files from which on it takes no further one.
+CHUNK, CHUNK_BYTES = 256, 1 << 16
 
 SCHEMAS = {
     "files": "path string, content binary, error string",
@@ -184,6 +184,22 @@ def read_blame(repository: str, options: dict[str, str], lines: list[int]) -> It
             yield revision, path, line, None, None, None, None, "unavailable"
 
 
+def file_chunks(repository: str, paths: list[str]) -> list[list[str]]:
+    """Paths in their order, cut into chunks of at most CHUNK paths that end where they hold CHUNK_BYTES."""
+    out: list[list[str]] = []
+    held = CHUNK_BYTES
+    for path in paths:
+        if held >= CHUNK_BYTES or len(out[-1]) == CHUNK:
+            out.append([])
+            held = 0
+        out[-1].append(path)
+        try:
+            held += (Path(repository) / path).stat().st_size
+        except OSError:
+            pass  # read_files tells it
+    return out
+
+
 def read_files(repository: str, options: dict[str, str], paths: list[str]) -> Iterator[tuple]:
     """Content of tracked files as the working tree has them; a file that cannot be read has an error instead."""
     for path in paths:
@@ -213,7 +229,8 @@ class GitReader(DataSourceReader):
         if self.relation in ("commits", "changes"):
             return [Chunk([])]
         if self.relation == "files":
-            items = sorted(x for x in fields(git(self.repository, "ls-files", "-z", "--", "*.py")))
+            items = sorted(fields(git(self.repository, "ls-files", "-z", "--", "*.py")))
+            return [Chunk(x) for x in file_chunks(self.repository, items)] or [Chunk([])]
         elif self.relation == "blame":
             items = [int(x) for x in self.options.get("lines", "").split(",") if x]
         else:

@@ -1,3 +1,6 @@
+import ast
+import time
+
 import pytest
 
 from strataquery.operators import code, hunks
@@ -187,3 +190,28 @@ def test_added_branches_have_new_line_numbers(spark):
     raw = patch("a.py", "@@ -1,2 +10,4 @@", " x", "-if gone:", "+    if new:", "+elif no:", "+formal = 1", "+for i in x:")
     frame = hunks.hunks(spark.createDataFrame([("t", bytearray(raw))], "commit string, patch binary"))
     assert rows(hunks.added_branches(frame, ("if", "for")), "line", "keyword") == [(11, "if"), (14, "for")]
+
+
+def test_segments_are_those_of_ast():
+    text = "def f(\x0c a='é\x0c',\r\n b=1):\r    x = (a,\n 'ü', b)\n    return x\x0c\nclass C:\n    y = '''1\r\n2\x0b3'''"
+    m = python_code.Module("a.py", text, ast.parse(text))
+    placed = [n for n in m.nodes if hasattr(n, "end_lineno")]
+    assert len(placed) > 12 and [m.segment(n) for n in placed] == [ast.get_source_segment(text, n) for n in placed]
+
+
+def test_scopes_and_kinds_are_in_the_order_of_the_walk():
+    text = "class A:\n    def f(self, a):\n        def g(): return a\n        return g\nasync def h(): pass\n"
+    m = python_code.Module("a.py", text, ast.parse(text))
+    assert [m.qualified(n) for n in m.all(ast.AsyncFunctionDef, ast.FunctionDef, ast.ClassDef)] == ["A", "h", "A.f", "A.f.g"]
+    assert m.scope(m.all(ast.Return)[-1]) == "A.f.g"
+
+
+def test_time_of_an_extraction_grows_with_the_file():
+    def seconds(n):
+        text = "".join(f"def f{i}(a):\n    if a.x:\n        a.y = b = {i}\n    return a\n\n\n" for i in range(n))
+        m = python_code.Module("a.py", text, ast.parse(text))
+        began = time.process_time()
+        assert sum(len(list(read(m))) for read in (python_code.variables, python_code.constructions, python_code.bindings)) > 5 * n
+        return time.process_time() - began
+
+    assert seconds(1600) < 30 * min(seconds(100) for _ in range(3)) + 0.5

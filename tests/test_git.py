@@ -71,3 +71,14 @@ def test_merge_has_no_change_rows(spark, repository):
 def test_unsafe_paths(path):
     with pytest.raises(ValueError):
         git.safe_path(path)
+
+
+def test_files_are_cut_by_their_bytes(spark, repository):
+    names = [f"m{i}.py" for i in range(7)]
+    commit(repository, {n: "x = 1\n" * (git.CHUNK_BYTES // 6 if n in ("m1.py", "m4.py") else 1) + "y = 2\n" for n in names})
+    (repository / "m6.py").unlink()
+    assert git.file_chunks(str(repository), names) == [["m0.py", "m1.py"], ["m2.py", "m3.py", "m4.py"], ["m5.py", "m6.py"]]
+    found = git.read(spark, str(repository), "files")
+    assert found.rdd.getNumPartitions() == 3
+    assert sorted((r.path, r.error) for r in found.select("path", "error").collect()) == [(n, "No such file or directory" if n == "m6.py" else None) for n in names]
+    assert [len(x) for x in git.file_chunks(str(repository), ["gone.py"] * 600)] == [256, 256, 88] and git.file_chunks(str(repository), []) == []
