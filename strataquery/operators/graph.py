@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpointed
 
-#: Edges beyond which centrality is refused: its work is nodes times edges, and every task holds the edges.
+#: Edges beyond which centrality is refused: its work is nodes times edges of the blocks, and every task holds the edges.
 MAX_EDGES = 1_000_000
+#: Most tasks over which the walks are spread.
+WALK_TASKS = 64
 #: How the numbers of a summary are made.
 FORMULAS = {
     "average_degree": "sum(degrees) / node_count", "average_edge_weight": "sum(edge_weights) / edge_count", "bridge_score": "sum(edge_betweenness) / node_degree",
@@ -69,11 +71,56 @@ def adjacency(edges: list[tuple]) -> dict:
     return near
 
 
-def shares_of_paths(start, near: dict) -> dict[tuple, float]:
-    """For each edge, the part of the shortest paths from start to every other node that cross it."""
+def blocks(edges: list[tuple]) -> tuple[list[list[tuple]], list[dict]]:
+    """Edges parted into blocks, which no single node parts any further, and for each block its nodes with their weights: how
+    many nodes are met from the node on without the block's edges, itself among them. A walk in depth, without recursion."""
+    near, met, low, below = adjacency(edges), {}, {}, {}
+    found, weights = [], []
+    for root in sorted(near):
+        if root in met:
+            continue
+        first = len(found)
+        met[root] = low[root] = len(met)
+        below[root] = 1  # nodes of the walk's tree from here on
+        stack, open_edges = [(root, None, iter(near[root]), 0)], []
+        hung: list[tuple] = []  # for each block its top, and how many nodes its branch has below that
+        while stack:
+            n, came, rest, at = stack[-1]
+            x = next(rest, None)
+            if x is None:
+                stack.pop()
+                if came is None:
+                    continue
+                low[came] = min(low[came], low[n])
+                below[came] += below[n]
+                if low[n] >= met[came]:  # nothing below n leads above came: the edges since then are a block
+                    found.append(open_edges[at:])
+                    del open_edges[at:]
+                    hung.append((came, below[n]))
+            elif x not in met:
+                met[x] = low[x] = len(met)
+                below[x] = 1
+                stack.append((x, n, iter(near[x]), len(open_edges)))
+                open_edges.append((n, x))
+            elif x != came and met[x] < met[n]:
+                open_edges.append((n, x))
+                low[n] = min(low[n], met[x])
+        size = below[root]
+        under: dict = {}  # what hangs below a node in blocks of which it is the top
+        for top, number in hung:
+            under[top] = under.get(top, 0) + number
+        for block, (top, number) in zip(found[first:], hung, strict=True):
+            inner = {n: 1 + under.get(n, 0) for e in block for n in e}
+            weights.append(inner | {top: size - number})
+    return found, weights
+
+
+def shares_of_paths(start, near: dict, weight: dict) -> dict[tuple, float]:
+    """For each edge of a block, the part of the shortest paths from start to the others that cross it, each end counted as
+    often as it weighs."""
     distance, ways, order = {start: 0}, {start: 1.0}, [start]
     for n in order:
-        for x in near.get(n, ()):
+        for x in near[n]:
             if x not in distance:
                 distance[x], ways[x] = distance[n] + 1, 0.0
                 order.append(x)
@@ -81,11 +128,11 @@ def shares_of_paths(start, near: dict) -> dict[tuple, float]:
                 ways[x] += ways[n]
     carried, out = dict.fromkeys(order, 0.0), {}
     for x in reversed(order):
-        for n in near.get(x, ()):
+        for n in near[x]:
             if distance[n] == distance[x] - 1:
-                part = ways[n] / ways[x] * (1 + carried[x])
+                part = ways[n] / ways[x] * (weight[x] + carried[x])
                 carried[n] += part
-                out[min(n, x), max(n, x)] = part
+                out[min(n, x), max(n, x)] = part * weight[start]
     return out
 
 
@@ -98,22 +145,36 @@ def collected_edges(edges: DataFrame) -> list[tuple]:
 
 
 def edge_betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """a, b, betweenness: unweighted, over n(n-1)/2 with isolated nodes counted. Start nodes are spread over the tasks."""
-    near = edges.sparkSession.sparkContext.broadcast(adjacency(collected_edges(edges)))
+    """a, b, betweenness: unweighted, over n(n-1)/2 with isolated nodes counted.
+
+    A shortest path between nodes of different blocks enters and leaves each block on its way at the nodes that part them, so
+    that each block is walked by itself, its nodes weighing what hangs at them. An edge that is a block is crossed by every
+    path between its sides. The work is nodes times edges of the blocks, not of the graph; start nodes of the larger blocks
+    are spread over the tasks.
+    """
+    session = edges.sparkSession
     n = all_nodes(nodes, edges).count()
     kind = edges.schema["source"].dataType.simpleString()
+    parted = list(zip(*blocks(collected_edges(edges)), strict=True))
+    # what crosses an edge is met from both of its ends
+    single = [(min(a, b), max(a, b), 2.0 * weight[a] * weight[b]) for ((a, b), *more), weight in parted if not more]
+    larger = session.sparkContext.broadcast([(list(weight), adjacency(block), weight) for block, weight in parted if len(block) > 1])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple, float] = {}
         for frame in frames:
-            for start in frame["node"]:
-                for edge, part in shares_of_paths(start, near.value).items():
+            for block, place in zip(frame["block"], frame["place"], strict=True):
+                starts, near, weight = larger.value[block]
+                for edge, part in shares_of_paths(starts[place], near, weight).items():
                     total[edge] = total.get(edge, 0.0) + part
         yield pd.DataFrame([(a, b, v) for (a, b), v in total.items()], columns=["a", "b", "part"])
 
-    starts = both_ways(edges).select("node").distinct()
-    parts = starts.mapInPandas(run, f"a {kind}, b {kind}, part double")
-    # every path is met from both of its ends
+    schema = f"a {kind}, b {kind}, part double"
+    parts = session.createDataFrame(single, schema)
+    if sizes := [(i, len(starts)) for i, (starts, _, _) in enumerate(larger.value)]:
+        walks = session.createDataFrame(sizes, "block long, nodes long").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nodes") - 1)).alias("place"))
+        tasks = min(sum(number for _, number in sizes), WALK_TASKS)
+        parts = parts.unionByName(walks.repartition(tasks, "block", "place").mapInPandas(run, schema))
     return parts.groupBy("a", "b").agg((F.sum("part") / max(1, n * (n - 1))).alias("betweenness"))
 
 

@@ -65,3 +65,44 @@ def test_bridges_and_components_against_brute_force(spark):
     assert graph.bridge_edges(pairs) == {e for e in pairs if len(set(parts([x for x in pairs if x != e]).values())) > len(set(parts(pairs).values()))}
     nodes, edges = frames(spark, [(a, b, 1.0) for a, b in pairs])
     assert {r.node: r.label for r in graph.components(nodes, edges).collect()} == parts(pairs)
+
+
+def betweenness_by_paths(nodes, pairs):
+    """All shortest paths of all pairs of nodes, written out."""
+    near = graph.adjacency(pairs)
+    total = dict.fromkeys(pairs, 0.0)
+    for s, t in itertools.combinations(sorted(nodes), 2):
+        paths, done = [[s]], []
+        while paths and not done:
+            paths = [[*p, x] for p in paths for x in near.get(p[-1], ()) if x not in p]
+            done = [p for p in paths if p[-1] == t]
+        for p in done:
+            for a, b in itertools.pairwise(p):
+                total[min(a, b), max(a, b)] += 1 / len(done)
+    return {e: v * 2 / (len(nodes) * (len(nodes) - 1)) for e, v in total.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_betweenness_against_all_paths(spark, seed):
+    draw = random.Random(seed)
+    names = "abcdefghijk"
+    pairs = sorted(draw.sample(list(itertools.combinations(names, 2)), 8 + 2 * seed))
+    nodes, edges = frames(spark, [(b, a, 1.0) for a, b in pairs] + [("a", "a", 1.0)], names)
+    got = {(r.a, r.b): r.betweenness for r in graph.edge_betweenness(nodes, edges).collect()}
+    assert got == pytest.approx(betweenness_by_paths(names, pairs))
+
+
+def test_blocks_and_what_hangs_at_their_nodes():
+    pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("d", "f"), ("x", "y")]
+    found = {tuple(sorted(weight)): weight for _, weight in zip(*graph.blocks(pairs), strict=True)}
+    assert found == {
+        ("a", "b", "c"): {"a": 1, "b": 1, "c": 4}, ("c", "d"): {"c": 3, "d": 3}, ("d", "e"): {"d": 5, "e": 1}, ("d", "f"): {"d": 5, "f": 1}, ("x", "y"): {"x": 1, "y": 1},
+    }
+
+
+def test_betweenness_of_a_large_tree_and_a_long_path(spark):
+    n = 30_000
+    path = [(f"p{i:05}", f"p{i + 1:05}", 1.0) for i in range(n - 1)]
+    nodes, edges = frames(spark, path)
+    got = {r.a: r.betweenness for r in graph.edge_betweenness(nodes, edges).collect()}
+    assert got == pytest.approx({a: 2 * (i + 1) * (n - 1 - i) / (n * (n - 1)) for i, (a, _, _) in enumerate(path)})
