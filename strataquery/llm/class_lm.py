@@ -3,7 +3,8 @@
 Method: exchange clustering assigns words to classes so that the likelihood of class bigrams grows; a text's probability
 is the product of smoothed class transitions and word emissions. The most frequent words are moved between classes round
 by round. Then every other word of the vocabulary is placed, by the same likelihood, in the class that its own neighbours
-speak for: first the frequent ones, beside the words placed already, then all the rest beside these. How the words of one
+speak for: first the frequent ones, beside the words placed already, then all the rest beside these. Once every word has a
+class, the most frequent words are exchanged again, now with all their neighbours in the whole text. How the words of one
 kind of ending are spread over the classes is the prior of words that are seen too rarely to speak for themselves.
 """
 
@@ -29,6 +30,10 @@ HELD = 1 << 18
 END, ITEMS = WORDS, WORDS + 1
 #: The class code of a word that has none yet, and codes on one side of a word.
 NONE, SLOTS = CLASSES, CLASSES + 1
+#: Codes of a neighbour: the item that it is, or the class code of any other word.
+CODES = ITEMS + SLOTS
+#: Rows of place_rest that are no neighbour of a word: bigrams of codes, and bigrams of two words that are not held.
+OF_CODES, OF_REST = -1, -2
 #: Kinds of endings; occurrences from which a word is placed without a prior and counts for its kind's; weight of the
 #: prior, and how many words of the general spread are added to each kind's.
 KINDS, PLAIN_FROM, PRIOR_WEIGHT, PRIOR_WORDS = 502, 24, 10.0, 2.0
@@ -61,34 +66,57 @@ def sequence(values: np.ndarray, edges: np.ndarray, end: int) -> tuple[np.ndarra
     return now, before, owner
 
 
-def exchange_classes(counts: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """Class of each item for counts[before, now]: each item in turn moves to the class that makes class bigrams likeliest.
+@dataclass
+class Bigrams:
+    """Counts of all bigrams of a text, by item where an item stands in them and by class elsewhere."""
+
+    counts: np.ndarray  # [item before, item]
+    ahead: np.ndarray  # [item, class of another word behind it]
+    behind: np.ndarray  # [item, class of another word before it]
+    others: np.ndarray  # [class before, class], of two other words
+
+    def of_classes(self, klass: np.ndarray) -> np.ndarray:
+        """Class bigrams [before, now], when the items have these classes."""
+        member = np.eye(len(self.others))[klass]
+        return member.T @ self.counts @ member + member.T @ self.ahead + self.behind.T @ member + self.others
+
+
+def between_items(counts: np.ndarray, classes: int = CLASSES) -> Bigrams:
+    n = len(counts)
+    return Bigrams(counts, np.zeros((n, classes)), np.zeros((n, classes)), np.zeros((classes, classes)))
+
+
+def exchange_classes(counts: np.ndarray | Bigrams, classes: int = CLASSES, rounds: int = ROUNDS, start: np.ndarray | None = None) -> np.ndarray:
+    """Class of each item for counts[before, now]: each item in turn moves to the class that makes class bigrams likeliest,
+    from the classes of start on, if there are any. Words that are no items keep their classes.
 
     The last item, the end, stays alone in class 0; items that never occur stay in class 1.
     """
-    n = len(counts)
-    total = counts.sum(axis=0) + counts.sum(axis=1)
+    every = counts if isinstance(counts, Bigrams) else between_items(counts, classes)
+    counts, n = every.counts, len(every.counts)
+    total = counts.sum(axis=0) + counts.sum(axis=1) + every.ahead.sum(axis=1) + every.behind.sum(axis=1)
     order = [i for i in np.lexsort((np.arange(n), -total)) if i != n - 1 and total[i] > 0]
     klass = np.ones(n, np.int64)
     klass[n - 1] = 0
     for place, i in enumerate(order):
         klass[i] = 1 + place % (classes - 1)
-    member = np.eye(classes)[klass]
-    g = member.T @ counts @ member
+    if start is not None:
+        klass = start.copy()
+    g = every.of_classes(klass)
     f = lambda x: x * np.log(np.maximum(x, 1e-300))
     for _ in range(rounds):
         moved = 0
         for i in order:
             old = klass[i]
-            out = np.bincount(klass, counts[i], classes)
-            into = np.bincount(klass, counts[:, i], classes)
+            out = np.bincount(klass, counts[i], classes) + every.ahead[i]
+            into = np.bincount(klass, counts[:, i], classes) + every.behind[i]
             own = counts[i, i]
             g[old] -= out
             g[:, old] -= into
             g[old, old] += own
             out[old] -= own
             into[old] -= own
-            rows, columns = g.sum(axis=1), g.sum(axis=0)
+            rows, columns = g.sum(axis=1) + into, g.sum(axis=0) + out  # the item's neighbours stand beside it in any class
             a, b = f(g + out) - f(g), f(g + into[:, None]) - f(g)
             gain = a.sum(axis=1) - np.diag(a) + b.sum(axis=0) - np.diag(b)
             d = np.diag(g)
@@ -193,8 +221,10 @@ def frequent_words(counts: DataFrame) -> tuple[Lexicon, int, int]:
     return Lexicon(keys[order], n[order], np.full(len(keys), NONE)), tokens, distinct
 
 
-def top_classes(texts: DataFrame, held: Lexicon) -> np.ndarray:
-    """Exchange among the WORDS most frequent words, whose classes it sets in held; the class bigram counts between them.
+def top_classes(texts: DataFrame, held: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exchange among the WORDS most frequent words, whose classes it sets in held: where they are in held, the bigram counts
+    between them, and the items' classes. These are only where the other words' classes begin: place_rest exchanges the
+    items again, with all their neighbours.
 
     The driver gets at most ITEMS**2 counts.
     """
@@ -212,8 +242,7 @@ def top_classes(texts: DataFrame, held: Lexicon) -> np.ndarray:
     bigrams = bigrams.reshape(ITEMS, ITEMS)
     klass = exchange_classes(bigrams)
     held.klass[top] = klass[: len(top)]
-    member = np.eye(CLASSES)[klass]
-    return member.T @ bigrams @ member
+    return top, bigrams, klass
 
 
 def class_totals(held: Lexicon, documents: int) -> np.ndarray:
@@ -224,13 +253,14 @@ def class_totals(held: Lexicon, documents: int) -> np.ndarray:
     return totals
 
 
-def slot_rows(batch: pa.RecordBatch, column: int) -> np.ndarray:
-    """A column of lists of (slot, n) as a dense row for each list."""
+def slot_rows(batch: pa.RecordBatch, column: int, slot_of: np.ndarray | None = None) -> np.ndarray:
+    """A column of lists of (slot, n) as a dense row for each list; slot_of tells what slot a number in the list means."""
     lists = batch.column(column)
     out = np.zeros((len(lists), 2 * SLOTS))
     owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
     flat = lists.flatten()
-    np.add.at(out, (owner, flat.field(0).to_numpy(zero_copy_only=False)), flat.field(1).to_numpy(zero_copy_only=False))
+    slots = flat.field(0).to_numpy(zero_copy_only=False)
+    np.add.at(out, (owner, slots if slot_of is None else slot_of[slots]), flat.field(1).to_numpy(zero_copy_only=False))
     return out
 
 
@@ -273,28 +303,42 @@ def place_held(texts: DataFrame, held: Lexicon, g: np.ndarray, documents: int) -
     return prior
 
 
-def place_rest(texts: DataFrame, held: Lexicon, g: np.ndarray, prior: np.ndarray, documents: int) -> tuple[DataFrame, np.ndarray]:
+def place_rest(texts: DataFrame, held: Lexicon, top: np.ndarray, bigrams: np.ndarray, klass: np.ndarray, prior: np.ndarray, documents: int) -> tuple[DataFrame, np.ndarray]:
     """(key, klass, n) of all words that are not held, each by the held words beside it; class bigram counts of the texts.
 
-    Only bigrams of two words that are not held are missing in the counts: there the classes of both were yet unknown.
+    No bigram is missing in the counts: those of two words that are not held are counted by joins once both have a class. With
+    all of them the items (top in held) are exchanged again, and their classes set in held. The driver gets at most
+    2 * CODES * CLASSES counts of codes.
     """
+    code_of = ITEMS + held.klass
+    code_of[top] = np.arange(len(top))
+    unknown = ITEMS + NONE
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES * CLASSES, np.int64)
-        give = lambda key, slot, n: pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int64))], names=["key", "slot", "n"])
+        total = np.zeros(CODES * CODES, np.int64)
+
+        def give(key: np.ndarray, slot: np.ndarray, n: np.ndarray, other: np.ndarray | None = None) -> pa.RecordBatch:
+            others = pa.nulls(len(key), pa.int64()) if other is None else pa.array(other.view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(slot.astype(np.int32)), others, pa.array(n.astype(np.int64))], names=["key", "slot", "other", "n"])
+
         for batch in batches:
             for part in chunks(batch, 0):
                 raw, offsets = byte_view(part.column(0))
                 words = words_of(raw, offsets)
-                at, klass = held.look(words.hashes)
-                now, before, _ = sequence(klass, words.edges, 0)
-                both = (now < NONE) & (before < NONE)
-                total += np.bincount(before[both] * CLASSES + now[both], minlength=CLASSES * CLASSES)
+                at = find(held.keys, words.hashes) if len(held.keys) else np.full(len(words.hashes), -1)
+                code = np.where(at >= 0, code_of[at], unknown) if len(held.keys) else np.full(len(at), unknown)
+                now, before, _ = sequence(code, words.edges, END)
+                both = (now != unknown) & (before != unknown) & ((now >= ITEMS) | (before >= ITEMS))  # those of two items are known
+                total += np.bincount(before[both] * CODES + now[both], minlength=CODES * CODES)
                 number, number_before, _ = sequence(np.where(at < 0, np.arange(len(at)), -1), words.edges, -1)
                 left, right = number >= 0, number_before >= 0
+                pair = left & right
+                if pair.any():
+                    first = words.hashes[number_before[pair]]
+                    yield give(first, np.full(len(first), OF_REST), np.ones(len(first)), words.hashes[number[pair]])
                 which = np.concatenate([number[left], number_before[right]])
                 keys = words.hashes[which]
-                slots = np.concatenate([before[left], SLOTS + now[right]]) + endings(raw, words)[which] * (2 * SLOTS)
+                slots = np.concatenate([before[left], CODES + now[right]]) + endings(raw, words)[which] * (2 * CODES)
                 order = np.lexsort((slots, keys))
                 keys, slots = keys[order], slots[order]
                 new = np.ones(len(keys), bool)
@@ -302,30 +346,46 @@ def place_rest(texts: DataFrame, held: Lexicon, g: np.ndarray, prior: np.ndarray
                 first = np.flatnonzero(new)
                 yield give(keys[first], slots[first], np.diff(first, append=len(keys)))
         cells = np.flatnonzero(total)
-        yield give(cells.astype(np.uint64), np.full(len(cells), -1), total[cells])
+        yield give(cells.astype(np.uint64), np.full(len(cells), OF_CODES), total[cells])
 
-    step, totals = transitions(g), class_totals(held, documents)
+    class_of_code = np.concatenate([klass, np.arange(SLOTS)])
+    slot_of = np.concatenate([class_of_code, SLOTS + class_of_code])
+    step, totals = transitions(between_items(bigrams).of_classes(klass)), class_totals(held, documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots, kind = slot_rows(batch, 2), batch.column(1).to_numpy()
+            slots, kind = slot_rows(batch, 2, slot_of), batch.column(1).to_numpy()
             n = slots[:, :SLOTS].sum(axis=1)  # something stands before every word
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best_class(slots, n, step, totals, prior[kind])), pa.array(n.astype(np.int64)), batch.column(2)], names=["key", "klass", "n", "cells"])
 
-    found = texts.mapInArrow(tidy(beside), "key long, slot int, n long").repartition("key").groupBy("key", "slot").agg(F.sum("n").alias("n"))
+    found = texts.mapInArrow(tidy(beside), "key long, slot int, other long, n long").repartition("key").groupBy("key", "slot", "other").agg(F.sum("n").alias("n"))
     found = materialize(found, "beside")
-    counts = np.zeros(CLASSES * CLASSES)
-    for r in found.where("slot < 0").collect():
-        counts[r.key] = r.n
-    cell = F.struct((F.col("slot") % (2 * SLOTS)).alias("slot"), "n")
-    words = found.where("slot >= 0").groupBy("key").agg(F.max(F.expr(f"slot div {2 * SLOTS}")).alias("kind"), F.collect_list(cell).alias("cells"))
+    cell = F.struct((F.col("slot") % (2 * CODES)).alias("slot"), "n")
+    words = found.where("slot >= 0").groupBy("key").agg(F.max(F.expr(f"slot div {2 * CODES}")).alias("kind"), F.collect_list(cell).alias("cells"))
     rest = materialize(words.mapInArrow(tidy(run), "key long, klass long, n long, cells array<struct<slot:int,n:long>>"), "rest")
-    counts = counts.reshape(CLASSES, CLASSES)
+    every = between_items(bigrams)
+
+    def count(before: np.ndarray, now: np.ndarray, n: np.ndarray) -> None:
+        """Add bigrams of codes of which at most one is an item."""
+        for here, to in (
+            ((before < ITEMS), (every.ahead, before, now - ITEMS)), ((now < ITEMS), (every.behind, now, before - ITEMS)), ((before >= ITEMS) & (now >= ITEMS), (every.others, before - ITEMS, now - ITEMS)),
+        ):
+            np.add.at(to[0], (to[1][here], to[2][here]), n[here])
+
+    columns = lambda rows, *names: (x[c].to_numpy() for x in [rows.toArrow()] for c in names)
+    key, n = columns(found.where(f"slot = {OF_CODES}").select("key", "n"), "key", "n")
+    count(key // CODES, key % CODES, n)
     cells = rest.select("klass", F.explode("cells").alias("cell")).groupBy("klass", F.col("cell.slot").alias("slot")).agg(F.sum("cell.n").alias("n"))
-    for r in cells.where(F.col("slot") % SLOTS != NONE).collect():
-        here, other = r.klass, r.slot % SLOTS
-        counts[(other, here) if r.slot < SLOTS else (here, other)] += r.n
-    return rest.select("key", "klass", "n"), counts
+    own, slot, n = columns(cells.where(F.col("slot") % CODES != unknown), "klass", "slot", "n")
+    other, left = slot % CODES, slot < CODES
+    count(np.where(left, other, ITEMS + own), np.where(left, ITEMS + own, other), n)
+    pairs = found.where(f"slot = {OF_REST}").select("key", "other", F.col("n").alias("times"))
+    pairs = pairs.join(rest.select("key", F.col("klass").alias("before")), "key").join(rest.select(F.col("key").alias("other"), F.col("klass").alias("now")), "other")
+    before, now, n = columns(pairs.groupBy("before", "now").agg(F.sum("times").alias("n")), "before", "now", "n")
+    count(ITEMS + before, ITEMS + now, n)
+    klass = exchange_classes(every, start=klass)
+    held.klass[top] = klass[: len(top)]
+    return rest.select("key", "klass", "n"), every.of_classes(klass)
 
 
 def train(texts: DataFrame) -> Training:
@@ -334,9 +394,9 @@ def train(texts: DataFrame) -> Training:
     counts = materialize(counted(texts, lambda raw, words: words.hashes), "words")
     documents = texts.count()
     held, tokens, distinct = frequent_words(counts)
-    g = top_classes(texts, held)
-    prior = place_held(texts, held, g, documents)
-    rest, g = place_rest(texts, held, g, prior, documents)
+    top, bigrams, klass = top_classes(texts, held)
+    prior = place_held(texts, held, between_items(bigrams).of_classes(klass), documents)
+    rest, g = place_rest(texts, held, top, bigrams, klass, prior, documents)
     totals, kinds = class_totals(held, documents), np.bincount(held.klass, minlength=CLASSES).astype(float)
     for r in rest.groupBy("klass").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
         totals[r.klass] += r.n

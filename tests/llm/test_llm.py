@@ -430,6 +430,52 @@ def test_every_word_is_placed_by_its_neighbours(spark, monkeypatch):
     assert not in_one & in_two
 
 
+@pytest.mark.parametrize("most", [class_lm.HELD, 25, 0])
+def test_transitions_count_every_bigram(spark, monkeypatch, most):
+    monkeypatch.setattr(class_lm, "HELD", most)
+    texts = [prose(i, 40) + f" once{i} twice{i // 2} alone{i}" for i in range(60)]
+    trained = class_lm.train(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]).select("text"))
+    hash_of = lambda w: int(class_lm.words_of(*class_lm.byte_view(pa.array([w]))).hashes[0])
+    klass = {int(k): int(c) for k, c in zip(trained.held.keys, trained.held.klass)} | {r.key % 2**64: r.klass for r in trained.rest.collect()}
+    counts = np.zeros((class_lm.CLASSES, class_lm.CLASSES))
+    for t in texts:
+        path = [0, *(klass[hash_of(w)] for w in lower_tokens(t)), 0]
+        np.add.at(counts, (path[:-1], path[1:]), 1)
+    assert trained.transition == pytest.approx(np.log10(class_lm.transitions(counts)))
+
+
+def test_exchange_takes_neighbours_that_are_no_items():
+    ahead = np.zeros((7, 5))  # six words that never stand beside each other, and the end
+    ahead[:3, 3] = ahead[3:6, 4] = 9
+    apart = class_lm.Bigrams(np.zeros((7, 7)), ahead, ahead[:, [0, 1, 2, 4, 3]], np.zeros((5, 5)))
+    assert class_lm.exchange_classes(apart, classes=5, start=np.array([1, 2, 1, 2, 2, 1, 0])).tolist() in ([1, 1, 1, 2, 2, 2, 0], [2, 2, 2, 1, 1, 1, 0])
+
+
+def test_no_single_move_after_an_exchange_is_likelier():
+    rng = np.random.default_rng(1)
+    classes, words = 5, 20
+    items, others = [*range(8), words - 1], [*range(8, words - 1)]
+    full = rng.integers(0, 6, (words, words)).astype(float)
+    fixed = rng.integers(1, classes, len(others))
+    m = np.eye(classes)[fixed]
+    every = class_lm.Bigrams(full[np.ix_(items, items)], full[np.ix_(items, others)] @ m, full[np.ix_(others, items)].T @ m, m.T @ full[np.ix_(others, others)] @ m)
+
+    def likelihood(klass):
+        whole = np.zeros(words, int)
+        whole[items], whole[others] = klass, fixed
+        member = np.eye(classes)[whole]
+        g = member.T @ full @ member
+        assert g == pytest.approx(every.of_classes(np.array(klass)))
+        f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+        return f(g) - f(g.sum(axis=0)) - f(g.sum(axis=1))
+
+    start = np.array([*rng.integers(1, classes, 8), 0])
+    klass = class_lm.exchange_classes(every, classes=classes, rounds=50, start=start)
+    best = likelihood(klass)
+    assert best > likelihood(start)
+    assert all(likelihood([*klass[:i], c, *klass[i + 1 :]]) <= best + 1e-9 for i in range(8) for c in range(1, classes))
+
+
 def test_exchange_finds_two_languages():
     counts = np.zeros((9, 9))
     counts[:4, :4] = counts[4:8, 4:8] = 10
